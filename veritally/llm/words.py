@@ -57,11 +57,12 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(texts: list[bytes], lower: bool = True):
+def blocks(texts: list[bytes], lower: bool = True, overlap: int = 0):
     """Yields (first, words, lengths): the words of a run of texts, and how many each has.
 
     A run holds about BLOCK_BYTES.  A text longer than that comes in several
-    runs of one entry, all with the same ``first``.
+    runs of one entry, all with the same ``first``; each then begins with the last
+    ``overlap`` words of the run before.
     """
     first, words, lengths, size = 0, [], [], 0
     for i, text in enumerate(texts):
@@ -71,7 +72,7 @@ def blocks(texts: list[bytes], lower: bool = True):
                 yield first, words, np.array(lengths)
             step = BLOCK_BYTES // 8
             for k in range(0, len(own), step):
-                part = own[k : k + step]
+                part = own[max(0, k - overlap) : k + step]
                 yield i, part, np.array([len(part)])
             first, words, lengths, size = i + 1, [], [], 0
             continue
