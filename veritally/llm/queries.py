@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import ann, bpe, html_text, langid, quality_knn, quality_rules, simhash, toxicity
+from veritally.llm import ann, bpe, html_text, langid, mixing, quality_knn, quality_rules, simhash, suffix_tree, toxicity
 from veritally.llm.common import remainder, table
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -25,6 +25,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "coverage", "rejected")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 7) == 2
+    tree, counts = suffix_tree.train(docs.where(~held_out))
+    scored = suffix_tree.score(docs, tree, counts)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.words.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, power=0.7, block_rows=16)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = remainder("doc_id", 3) == 1
@@ -73,6 +86,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op3_mixing": op3_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_toxicity": op6_toxicity,
