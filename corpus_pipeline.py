@@ -33,8 +33,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of near-duplicates."""
-    return simhash.deduplicate(docs, shingle_words=5).select(*COLUMNS)
+    """Keeps the least doc_id of each group of near-duplicates, as the operator's query defines them."""
+    return simhash.deduplicate(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
