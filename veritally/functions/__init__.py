@@ -1 +1 @@
-
+"""Column expressions and small statistics shared by the operators."""

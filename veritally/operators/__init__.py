@@ -1 +1 @@
-
+"""Result-verification operators, DataFrame in and DataFrame out."""
