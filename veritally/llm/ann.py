@@ -44,7 +44,7 @@ class Probing:
     tables: int = 8
     projections: int = 8
     width: float = 2.0
-    probes: int = 90
+    probes: int = 130
     seed: int = 3
 
     def functions(self, dimension: int) -> tuple[np.ndarray, np.ndarray]:
