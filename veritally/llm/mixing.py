@@ -99,10 +99,11 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, powe
     ``weights``: target weights by source (None is the null source); without
     them, weights in proportion to ``size ** power``.  block: the row's block in
     its source; release, deadline and slot: its Pfair window and its slot;
-    position: where the row comes in the mixture.  in_mix: whether its slot lies
-    before the first that a source can't fill with a whole block, up to which the
-    mixture keeps every weight to less than one block.  Rows of a source without
-    a positive weight have null slots and are not in the mix.
+    position: where the row comes in the mixture (with a gap after a source's
+    last block, if that is not full).  in_mix: whether its slot lies before the
+    first for which a source has no block left, up to which every source has run
+    less than a block more or less than its weight asks.  Rows of a source
+    without a positive weight have null slots and are not in the mix.
 
     No row is lost.  Rows with equal keys are told apart by their other columns,
     equal rows are interchangeable; an empty table gives an empty one.  Columns
@@ -120,8 +121,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, powe
     blocks = quotas(wanted, period) if wanted else {}
     slots = schedule(blocks, period)
     place = {(x.source, x.block): x.slot for x in slots}
-    full = {s: sizes[s] // block_rows for s in blocks}
-    horizon = min((full[s] // q * period + place[s, full[s] % q] for s, q in blocks.items()), default=0)
+    has = {s: -(-sizes[s] // block_rows) for s in blocks}
+    horizon = min((has[s] // q * period + place[s, has[s] % q] for s, q in blocks.items()), default=0)
 
     buckets = max(LEAST_BUCKETS, -(-sum(sizes.values()) // BUCKET_ROWS))
     order = F.xxhash64(F.lit(seed), F.col(key))
