@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Times as many rows as a sample takes are expected below its bound of hashes; with hundreds of rows, fewer than the sample are out of the question.
+SPARE = 2
+
 
 def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int, max_labels: int = 256) -> DataFrame:
     """(key, label) of at most ``per_label`` rows for each of at most ``max_labels`` labels.
 
     The rows with the least hash of their key are taken, so the sample does not
-    depend on the partitioning.  Spark limits each task's groups before the
-    shuffle, so no group is gathered whole.  Null keys and labels are left out;
-    repeated keys count once, with their greatest label.
+    depend on the partitioning.  Labels are counted first; of each only hashes
+    below a bound that about ``SPARE * per_label`` rows meet go to the window that
+    ranks them, so no label gathers more, however many rows it has.  Null keys
+    and labels are left out; repeated keys count once, with their greatest label.
     """
     known = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key)), F.col(key))
-    first = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).drop("_n")
     labels = known.groupBy(label).agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), label).limit(max_labels)
-    return first.join(F.broadcast(labels.select(label)), label).select(key, label)
+    hashed = known.join(F.broadcast(labels), label).withColumn("_hash", F.xxhash64(F.col(key)))
+    place = F.shiftrightunsigned("_hash", 11) / F.lit(float(1 << 53))
+    near = hashed.where(place * F.col("_rows") <= SPARE * per_label)
+    order = Window.partitionBy(label).orderBy(F.shiftrightunsigned("_hash", 11), F.col(key))
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select(key, label)
 
 
 def sample_texts(docs: DataFrame, sample: DataFrame, key: str, text: str, label: str, max_chars: int) -> list[tuple[bytes, object]]:
