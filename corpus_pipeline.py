@@ -38,8 +38,12 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the part of the schedule in which every source meets its weight, in its order."""
-    mixed = mixing.mix(docs, power=0.7, block_rows=16).where("in_mix")
+    """All documents in the order of the schedule.
+
+    Slots of a source that has run dry are passed over, so the others go on in
+    proportion to their weights; none is dropped because another is small.
+    """
+    mixed = mixing.mix(docs, power=0.7, block_rows=16)
     return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*COLUMNS)
 
 

@@ -104,6 +104,17 @@ def test_mixture_of_given_weights(frame, corpus):
         assert abs(sum(r["source"] == "s0" for r in mixed[:n]) - n * 2 / 3) < 1.01
 
 
+def test_small_source_does_not_end_the_mixture(spark, sf_dir):
+    docs = spark.range(2416).selectExpr("id as doc_id", "'t' as text", "'en' as lang", "case when id < 16 then 'tiny' when id < 816 then 'mid' else 'big' end as source", "1L as n_chars")
+    mixed = [r["source"] for r in corpus_pipeline.mix_sources(spark, docs, sf_dir).collect()]
+    assert Counter(mixed) == {"tiny": 16, "mid": 800, "big": 1600}
+    share = 800**0.7 / (800**0.7 + 1600**0.7)
+    rest = [s for s in mixed if s != "tiny"]
+    for n in range(1, rest.index("big") + 1 + 1200):
+        assert abs(rest[:n].count("mid") - n * share) < 16 * (1 + share) + 1
+    assert set(mixed[-16:]) == {"big"}
+
+
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])

@@ -105,6 +105,11 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, powe
     less than a block more or less than its weight asks.  Rows of a source
     without a positive weight have null slots and are not in the mix.
 
+    Beyond that the schedule goes on: passing over the empty slots, the sources
+    left share the rest in proportion to their weights, each within
+    1 + min(d, l) * w blocks, where d sources have run dry, l are left and w is
+    the source's share among those.
+
     No row is lost.  Rows with equal keys are told apart by their other columns,
     equal rows are interchangeable; an empty table gives an empty one.  Columns
     of the added names are replaced.  Ranks are taken in hash buckets of each
