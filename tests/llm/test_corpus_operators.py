@@ -206,6 +206,24 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, full_bucket):
     assert ann.nearest(df.where("vec_id in (50, 51)"), lambda x: x % 50 == 0).count() <= 1
 
 
+@pytest.mark.parametrize("block", [ann.SHORT_QUERIES, 2])
+def test_queries_with_too_few_in_their_buckets_get_all(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "SHORT_QUERIES", block)
+    r = np.random.default_rng(4)
+    rows = [(i, r.standard_normal(6).tolist()) for i in range(260)] + [(300 + i, r.standard_normal(9).tolist()) for i in range(4)]
+    rows += [(400, [1.0, 0.0]), (401, [-1.0, 0.0]), (450, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.nearest(df, lambda x: x % 50 == 0, k=5, how=ann.Probing(tables=1, probes=1, width=0.1)).collect()
+    got = {}
+    for x in sorted(out, key=lambda x: (x["query_id"], x["rank"])):
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    want = {q: ids for q, ids in brute_nearest(rows, 5).items() if ids}
+    assert len(want[300]) == 3 and want[400] == [401] and 450 not in want
+    assert got == want
+    two = df.where("vec_id in (50, 51)")
+    assert ann.nearest(two, lambda x: x % 50 == 0, how=ann.Probing(tables=1, probes=1, width=0.1)).count() == 1
+
+
 def test_recall(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     want = brute_nearest(rows, 5)

@@ -6,7 +6,8 @@ projections, cut into steps of a fixed width; every vector is written to its
 bucket in every table.  A query visits, in each table, its own bucket and then
 perturbed buckets in the order of their estimated success: the perturbation sets
 with the least sum of squared distances to the crossed boundaries.  Candidates
-of all tables are merged and ranked by their exact cosine.
+of all tables are merged and ranked by their exact cosine.  A query whose buckets
+hold fewer than are asked for is ranked against all vectors of its length.
 
 Equal vectors are hashed once; they stand for their least vec_ids.  Buckets are
 dealt to partitions by hash, very full ones in several parts, and each partition
@@ -34,6 +35,8 @@ PARTITION_ROWS = 40_000
 FULL_BUCKET = 8_192
 #: Full buckets known to every task at most; the limit above rises to keep to it.
 FULL_BUCKETS = 100_000
+#: Queries whose buckets hold too few that are ranked against all rows at once.
+SHORT_QUERIES = 1_024
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -248,6 +251,56 @@ def meeting(keep: int):
     return run
 
 
+def ranking(asking, keep: int):
+    """A function for mapInArrow: rows of (gid, v) to FOUND rows, each ranked against all of ``asking``.
+
+    ``asking``: a broadcast list of (query numbers, unit vectors), one for each length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = {unit.shape[1]: (gids, unit) for gids, unit in asking.value}
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            gids = batch.column(0).to_numpy()
+            for rows, unit in _units(batch.column(1)):
+                if unit.shape[1] not in queries:
+                    continue
+                who, mine = queries[unit.shape[1]]
+                for a in range(0, len(rows), 1024):
+                    cosine = mine @ unit[a : a + 1024].T
+                    n = cosine.shape[1]
+                    least = np.partition(cosine, max(0, n - keep), axis=1)[:, max(0, n - keep)]
+                    q, r = np.nonzero(cosine >= least[:, None])
+                    found.append((who[q], gids[rows[a : a + 1024]][r], cosine[q, r]))
+                    found = [_best(found, keep)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], names=FOUND.names)
+
+    return run
+
+
+def exact(classes: DataFrame, short: DataFrame, keep: int) -> DataFrame | None:
+    """FOUND rows of the queries ``short`` (gid, v) against all of ``classes``; None if there is none.
+
+    Blocks of SHORT_QUERIES are broadcast one after the other, so that neither the
+    driver nor a task holds more of them.
+    """
+    spark, out, block = classes.sparkSession, None, []
+
+    def ranked(block: list) -> DataFrame:
+        gids, v = np.array([r["gid"] for r in block], np.int64), pa.array([r["v"] for r in block], pa.list_(pa.float64()))
+        asking = spark.sparkContext.broadcast([(gids[rows], unit) for rows, unit in _units(v)])
+        return checkpoint(classes.select("gid", "v").mapInArrow(ranking(asking, keep), FOUND))
+
+    for row in short.toLocalIterator():
+        block.append(row)
+        if len(block) == SHORT_QUERIES:
+            out, block = ranked(block) if out is None else out.unionByName(ranked(block)), []
+    if block:
+        out = ranked(block) if out is None else out.unionByName(ranked(block))
+    return out
+
+
 def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 5, how: Probing = Probing()) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query row, nearest first.
 
@@ -255,9 +308,10 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
     those with the query's own key; ties go to the smaller key; score is the
     cosine in double precision.  Null vectors and keys, zero vectors and vectors
     with null or non-finite components take no part; vectors of different
-    lengths do not meet; a repeated row counts once.  A query with fewer than
-    ``k`` candidates in the buckets it visits gets those.  An empty table gives
-    an empty one; other columns are ignored.
+    lengths do not meet; a repeated row counts once.  A query gets fewer than ``k``
+    rows only if it has fewer candidates: where the buckets it visits hold too
+    few, all rows are ranked.  An empty table gives an empty one; other columns
+    are ignored.
     """
     rows = usable(vectors, key, vector).withColumn("asks", is_query(F.col("vec_id"))).dropDuplicates(["gid", "vec_id"])
     least = Window.partitionBy("gid").orderBy("vec_id")
@@ -278,11 +332,27 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
     dealt = classes.select("gid", "v", "asks").mapInArrow(entries(how, full, partitions), ENTRY)
     dealt = dealt.repartition(partitions, "pid").sortWithinPartitions("pid", "kind", "key")
     found = dealt.mapInArrow(meeting(k + 1), FOUND)
-    found = found.groupBy("query", "gid").agg(F.max("score").alias("score"))
     names = classes.select("gid", "ids", "least")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
-    top = found.join(names, "gid").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)
-    pairs = queries.join(top.select("query", "score", F.explode("ids").alias("vec_id")), "query").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query", "gid").agg(F.max("score").alias("score"))
+        top = found.join(names, "gid").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)
+        pairs = queries.join(top.select("query", "score", F.explode("ids").alias("vec_id")), "query").where("vec_id <> query_id")
+        return pairs.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+
+    near = checkpoint(ranked(found))
+    lengths = rows.select("vec_id", F.size("v").alias("d"))
+    all_of = lengths.groupBy("d").agg(F.count("*").alias("n"))
+    own = lengths.groupBy("d", F.col("vec_id").alias("query_id")).agg(F.count("*").alias("own"))
+    wanted = queries.join(classes.select(F.col("gid").alias("query"), F.size("v").alias("d")), "query").join(all_of, "d").join(own, ["d", "query_id"])
+    wanted = wanted.groupBy("query_id").agg(F.max(F.col("n") - F.col("own")).alias("n"))
+    got = near.groupBy("query_id").agg(F.count("*").alias("got"))
+    short = wanted.join(got, "query_id", "left").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), "n")).select("query_id")
+    short = checkpoint(queries.join(short, "query_id", "left_semi"))
+    all_found = exact(classes, classes.join(short.select(F.col("query").alias("gid")).distinct(), "gid", "left_semi").select("gid", "v"), k + 1)
+    if all_found is not None:
+        again = ranked(all_found).join(short.select("query_id").distinct(), "query_id", "left_semi")
+        near = near.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
+    return near.select("query_id", "rank", "vec_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
