@@ -197,6 +197,26 @@ def test_main_text():
     assert html_text.main_text(PAGE.replace("<article>", '<div class="body">').replace("</article>", "</div>")) == TEXT
 
 
+LONG_PART = "A long paragraph of the text that goes on and on with many words. " * 12
+SHORT_PART = "A short section of the same text that a picture parts from the rest of it, but long enough to surge."
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="content has-sidebar">', '<div class="content with-ads">', '<div class="no-comments">', '<div id="post" class="comments-closed">', '<div class="widget">', '<form id="page">', '<article class="comments">'])
+def test_wrapper_of_all_text_stays(wrapper):
+    page = f"<html><body><nav><a href=/>Home</a></nav>{wrapper}<p>{LONG_PART}</p></{wrapper[1:].split()[0]}><div class='sidebar'><p>{SHORT_PART}</p></div></body></html>"
+    assert html_text.main_text(page) == LONG_PART.strip()
+
+
+def test_comments_longer_than_the_text_go():
+    page = f"<html><body><div><p>{LONG_PART}</p></div><div id='comments'><p>{LONG_PART * 3}</p></div></body></html>"
+    assert html_text.main_text(page) == LONG_PART.strip()
+
+
+def test_short_section_stays():
+    page = f"<html><body><div><section><p>{LONG_PART}</p></section><div class='advert'>Buy</div><section><p>{SHORT_PART}</p></section></div></body></html>"
+    assert html_text.main_text(page) == f"{LONG_PART.strip()} {SHORT_PART}"
+
+
 def test_pages_of_edges(spark):
     from pyspark.sql import functions as F
 

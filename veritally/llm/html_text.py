@@ -42,11 +42,15 @@ ASIDE_WORDS = {
     "subscribe", "subscription", "signup", "login", "search", "toolbar", "widget", "pagination", "pager", "copyright", "disclaimer", "skip",
 }
 HEADER_WORDS = {"header", "masthead", "topbar", "site-header"}
+#: These are stripped however much text they hold; other elements not if most of the page's is theirs.
+NEVER_MAIN = {"nav", "footer", "aside", "button", "menu", "dialog", "header"}
 READERS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A state of the element's own ("has-sidebar", "no-comments", "comments-closed"), not what it is.
+STATE = re.compile(r"(?:has|no|not|with|without)(?:[-_]|(?=[A-Z])).*|.*[-_](?:open|opened|closed|enabled|disabled|on|off)")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -61,32 +65,54 @@ class Line:
     box: int = -1
 
 
-def _boring(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is no main text, and whether it is for readers' comments."""
+def _boring(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is no main text, whether it is for readers' comments, and whether it is hidden."""
     words: set[str] = set()
+    hidden = False
     bad = name in ASIDE or name == "header" and not inside
     if attributes:
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
                 for token in value.split():
+                    if STATE.fullmatch(token):
+                        continue
                     words.add(token.lower())
                     words.update(w.lower() for w in WORD.findall(token))
             elif key == "role":
                 bad |= value.lower() in ASIDE_ROLES
             elif key == "aria-hidden":
-                bad |= value.lower() == "true"
+                hidden |= value.lower() == "true"
             elif key == "style":
-                bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+                hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             else:
-                bad = True
+                hidden = True
     readers = bool(words & READERS)
     bad |= bool(words & ASIDE_WORDS) or not inside and bool(words & HEADER_WORDS)
-    return bad or readers, readers
+    return bad or readers or hidden, readers, hidden
 
 
-def lines_of(html: str) -> list[Line]:
-    """The page's lines in order; stripped parts leave a gap."""
+def _unlinked(html: str, tags: list[tuple]) -> list[int]:
+    """Characters of text outside links before each tag."""
+    out, total, at, linked = [], 0, 0, False
+    for start, end, closing, name, _ in tags:
+        if not linked and start > at:
+            total += len("".join(html[at:start].split()))
+        out.append(total)
+        at = end
+        if name == "a":
+            linked = not closing
+    out.append(total + (0 if linked else len("".join(html[at:].split()))))
+    return out
+
+
+def lines_of(html: str) -> tuple[list[Line], dict[int, int]]:
+    """The page's lines in order, and each box's parent (-1: the body); stripped parts leave a gap.
+
+    An element that holds most of the page's unlinked text isn't stripped for its
+    name or words, unless an article lies beside it; one for readers' comments
+    only if the page's articles lie in it.
+    """
     html = HIDDEN.sub(lambda m: " " if m[1] is None else "<hr>", html)
     tags = [(m.start(), m.end(), bool(m[1] or m[4]), (m[2] or m[5]).lower(), m[3] or m[6] or "") for m in TAG.finditer(html)]
     ends: dict[int, int] = {}
@@ -97,10 +123,19 @@ def lines_of(html: str) -> list[Line]:
                 ends[open_[name].pop()] = i
         elif name not in VOID:
             open_.setdefault(name, []).append(i)
+    before: list[int] = []
+
+    def most(first: int, last: int, readers: bool) -> bool:
+        if not before:
+            before.extend(_unlinked(html, tags))
+        beside = any(not first <= a <= last for a in articles)
+        return not beside and (bool(articles) or not readers) and 2 * (before[last] - before[first]) > before[-1]
+
     articles = [i for i, t in enumerate(tags) if not t[2] and t[3] in CONTENT]
     out: list[Line] = []
     parts: list[str] = []
     boxes: list[tuple[str, int]] = []
+    parents: dict[int, int] = {}
     linked = depth = links = at = 0
 
     def flush() -> None:
@@ -132,6 +167,7 @@ def lines_of(html: str) -> list[Line]:
             flush()
         if name in BOXES:
             if not closing:
+                parents[i] = boxes[-1][1] if boxes else -1
                 boxes.append((name, i))
             elif any(x == name for x, _ in boxes):
                 while boxes.pop()[0] != name:
@@ -141,9 +177,9 @@ def lines_of(html: str) -> list[Line]:
             if closing and not depth:
                 out.append(Line("", 0, False))
         if not closing and name not in ("html", "body") and name not in VOID:
-            bad, readers = _boring(name, attributes, depth > (name in CONTENT))
+            bad, readers, hidden = _boring(name, attributes, depth > (name in CONTENT))
             last = ends.get(i - 1)
-            if bad and last is not None and (readers or name in ASIDE or not any(i - 1 < a < last for a in articles)) and (readers or name not in CONTENT):
+            if bad and last is not None and (readers or name in ASIDE or not any(i - 1 < a < last for a in articles)) and (readers or name not in CONTENT) and (hidden or name in NEVER_MAIN or not most(i - 1, last, readers)):
                 flush()
                 out.append(Line("", 0, False))
                 if name in CONTENT:
@@ -154,7 +190,7 @@ def lines_of(html: str) -> list[Line]:
         elif name == "hr":
             out.append(Line("", 0, False))
     flush()
-    return out
+    return out, parents
 
 
 def stretches(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -191,9 +227,10 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE, share: float
     """The blocks between surge and dive points, each with white space folded, joined by a space.
 
     Short blocks that a stripped part cuts off stay if they share the box of the
-    longest stretch.
+    longest stretch.  Stretches of any size stay if they lie in the box around
+    that one (other than the body), or directly in one around it.
     """
-    lines = lines_of(html)
+    lines, parents = lines_of(html)
     found = stretches(lines, window, surge)
     size = [sum(lines[k].weight for k in range(i, j)) for i, j in found]
     inside = [any(lines[k].inside for k in range(i, j)) for i, j in found]
@@ -203,6 +240,14 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE, share: float
         i, j = found[size.index(most)]
         main = {lines[k].box for k in range(i, j)} - {-1}
         kept |= {k for k, x in enumerate(lines) if x.box in main}
+        region, around = {b for b in (parents[m] for m in main) if b != -1} | main, set()
+        for b in main:
+            while (b := parents.get(b, -1)) != -1 and b not in around:
+                around.add(b)
+        for b, parent in parents.items():  # a box comes after its parent
+            if parent in region:
+                region.add(b)
+        kept |= {k for i, j in found if any(lines[k].box in region or lines[k].box in around for k in range(i, j)) for k in range(i, j)}
     return " ".join(lines[k].text for k in sorted(kept) if lines[k].text)
 
 
