@@ -45,6 +45,17 @@ def test_language_rejects_what_is_like_none(frame, languages):
     assert got == {1: True, 2: False}
 
 
+@pytest.mark.parametrize("other", ["de", "es", "fr"])
+def test_language_rejects_untrained_latin_script(spark, sf_dir, other):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").where("lang <> 'und' and length(text) between 200 and 40000")
+    rows = [(r["text"].encode(), r["lang"]) for r in docs.select("text", "lang").orderBy("doc_id").limit(500).collect()]
+    model = langid.fit([x for x in rows[::2] if x[1] != other])
+    totals = np.array([model.word_rows(text.lower().split()).sum(axis=0) for text, _ in rows[1::2]])
+    untrained = np.array([lang == other for _, lang in rows[1::2]])
+    rejected = model.rejects(totals) if hasattr(model, "rejects") else (model.decide(totals)[1] < model.least_probability) | (model.decide(totals)[2] < model.least_coverage)
+    assert rejected[untrained].mean() > 0.9 and rejected[~untrained].mean() < 0.02
+
+
 def test_word_rows_equal_whole_text(languages):
     words = prose("fr", 5).lower().encode().split()
     buckets, share = langid._document(words)

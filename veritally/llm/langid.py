@@ -6,7 +6,9 @@ averaged over the whole text and a linear softmax gives the languages' odds.
 Embeddings and weights are trained together by stochastic gradient descent in
 numpy.  A temperature fitted on held-back sample rows makes the odds calibrated
 probabilities; a text is rejected when its probability, or the share of its
-n-grams that training has seen, is below thresholds fitted on the same rows.
+n-grams that training has seen, is below thresholds fitted on the same rows.  The
+share's threshold lies between those rows' and what each language would have if
+only the others had been trained; short texts, whose shares scatter, get slack.
 
 Averaging and the weights are linear, so a trained model needs one row of
 language scores for each bucket; a word's row is the sum over its n-grams.
@@ -32,6 +34,10 @@ GRAMS = (1, 2, 3, 4)
 WIDTH = 16
 #: Most words of a short passage of a sample text.
 PASSAGE = 10
+#: n-grams of a text whose coverage is calibrated without slack.
+LONG_GRAMS = 200
+#: Share of an untrained language's texts that the coverage limit should lie above.
+UNLIKE = 0.99
 
 
 def _letter_classes() -> np.ndarray:
@@ -93,6 +99,7 @@ class LanguageModel:
     temperature: float = 1.0
     least_probability: float = 0.0
     least_coverage: float = 0.0
+    slack: float = 0.0
 
     def word_rows(self, words: list[bytes]) -> np.ndarray:
         """For each word the sum of its n-grams' rows, and their number."""
@@ -114,21 +121,30 @@ class LanguageModel:
         return best, np.where(n > 0, p.max(axis=1), 0.0), np.where(n > 0, mean[:, -1], 0.0)
 
 
+    def rejects(self, totals: np.ndarray) -> np.ndarray:
+        """Whether a text is unlike every language; the coverage it needs rises to the limit with its n-grams."""
+        best, p, coverage = self.decide(totals)
+        least = self.least_coverage - self.slack / np.sqrt(np.maximum(totals[:, -1], 1))
+        return (best < 0) | (p < self.least_probability) | (coverage < least)
+
+
 def fit(sample: list[tuple[bytes, str]], epochs: int = 4, rate: float = 4.0, seed: int = 7, lost: float = 0.002) -> LanguageModel | None:
     """Train on texts and their languages; None without any.
 
     Each text counts whole and as one short passage of it, so that short texts are
     learned and calibrated as well.  Every fifth text is held back for calibration: the temperature minimises
-    their log loss; the rejection thresholds are half the level below which the
-    share ``lost`` of the rightly predicted ones would fall, so that clean texts
-    pass and only what is unlike every language goes.
+    their log loss; the least probability is half the level below which the
+    share ``lost`` of the rightly predicted ones would fall.  The least coverage is
+    that level for long texts, less a quarter of the way down to the coverage of
+    the same texts when their own language isn't trained; the slack lets
+    all but the share ``lost`` of the shorter ones pass.
     """
     languages = sorted({lang for _, lang in sample})
     if not languages:
         return None
     number = {lang: i for i, lang in enumerate(languages)}
     random = np.random.default_rng(seed)
-    held, train = [], []
+    held, train, grams = [], [], []
     for i, (text, lang) in enumerate(sample):
         words = text.lower().split()
         n = int(random.integers(1, PASSAGE + 1))
@@ -136,14 +152,18 @@ def fit(sample: list[tuple[bytes, str]], epochs: int = 4, rate: float = 4.0, see
         for part in (words, words[start : start + n]):
             if len((d := (*_document(part), number[lang]))[0]):
                 (held if i % 5 == 4 else train).append(d)
+                if i % 5 == 4:
+                    grams.append(sum(len(g) for g, _ in word_grams(part)))
     embed = random.uniform(-0.5, 0.5, (BUCKETS, WIDTH)) / WIDTH
     weights, bias = np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
-    seen = np.zeros(BUCKETS, bool)
+    seen_by = np.zeros((len(languages), BUCKETS), bool)
+    for buckets, _, y in train:
+        seen_by[y, buckets] = True
+    seen = seen_by.any(axis=0)
     steps, step = max(1, epochs * len(train)), 0
     for _ in range(epochs):
         for i in random.permutation(len(train)):
             buckets, share, y = train[i]
-            seen[buckets] = True
             mean = share @ embed[buckets]
             logits = mean @ weights + bias
             p = np.exp(logits - logits.max())
@@ -157,7 +177,7 @@ def fit(sample: list[tuple[bytes, str]], epochs: int = 4, rate: float = 4.0, see
             step += 1
     scores = np.concatenate([embed @ weights, seen[:, None]], axis=1).astype(np.float32)
     model = LanguageModel(languages, scores, bias.astype(np.float32))
-    held = held or train
+    calibrated, held = bool(held), held or train
     if held:
         totals = np.array([np.append(share @ scores[buckets], 1.0) for buckets, share, _ in held])
         truth = np.array([d[2] for d in held])
@@ -173,6 +193,14 @@ def fit(sample: list[tuple[bytes, str]], epochs: int = 4, rate: float = 4.0, see
         if (right := best == truth).any():
             model.least_probability = float(np.quantile(p[right], lost)) / 2
             model.least_coverage = float(np.quantile(coverage[right], lost)) / 2
+        size = np.array(grams)
+        if calibrated and len(languages) > 1 and (long := right & (size >= LONG_GRAMS)).any():
+            times = seen_by.sum(axis=0)
+            others = np.array([share @ (times[b] > seen_by[y, b]) for b, share, y in held])
+            inside = float(np.quantile(coverage[long], lost))
+            outside = max(float(np.quantile(others[long & (truth == y)], UNLIKE)) for y in np.unique(truth[long]))
+            model.least_coverage = min(inside, inside - (inside - outside) / 4)
+            model.slack = float(np.quantile(np.maximum(0, (model.least_coverage - coverage[right]) * np.sqrt(size[right])), 1 - lost))
     return model
 
 
@@ -203,15 +231,15 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
         rows = Features(model.word_rows) if model else None
         for batch in batches:
             n = batch.num_rows
-            best, p, coverage = np.full(n, -1), np.zeros(n), np.zeros(n)
+            best, p, coverage, rejected = np.full(n, -1), np.zeros(n), np.zeros(n), np.ones(n, bool)
             if model:
                 totals = np.zeros((n, len(model.languages) + 2))
                 for first, words, lengths in blocks(raw_texts(batch.column(keep.index(text)))):
                     by_word, ids = rows(words)
                     totals[first : first + len(lengths)] += sums(by_word[ids], lengths)
                 best, p, coverage = model.decide(totals)
+                rejected = model.rejects(totals)
             names = [model.languages[b] if b >= 0 else UNKNOWN for b in best]
-            rejected = (best < 0) | (p < model.least_probability) | (coverage < model.least_coverage) if model else best < 0
             new = [pa.array(names, pa.string()), pa.array(p), pa.array(coverage), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *new], names=[*keep, *added])
 
