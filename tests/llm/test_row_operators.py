@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from veritally.llm import bpe, html_text, langid, quality_knn, queries, toxicity
+from veritally.llm import bpe, langid, quality_knn, queries, toxicity
 
 TOKENIZER = queries.TOKENIZER
 
@@ -194,50 +194,6 @@ def test_scan_equals_heap(own, word):
     assert own._scan([*ids]) == own._heap([*ids])
 
 
-PAGE = """<html><head><title>T</title><style>p {x}</style></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=/a>Menu one</a></li></ul></nav>
-<div class="cookie-notice">We use cookies to make this page better for you and all of us, always.</div><article><h1>A title</h1>
-<p>First &amp; long   paragraph of the article,
-with enough words to be main text for sure.</p><p>Short.</p><script>var x = "<p>no</p>";</script><p>Second paragraph&nbsp;of the article, again with quite enough words.</p></article>
-<aside>Related things that you may like to read as well, one of many.</aside><div id="comments"><p>A reader's comment that is long enough to look like text, no doubt.</p></div>
-<form><p>Sign up for news about all that happens here and elsewhere.</p></form><footer>Copyright</footer></body></html>"""
-TEXT = "A title First & long paragraph of the article, with enough words to be main text for sure. Short. Second paragraph of the article, again with quite enough words."
-
-
-def test_main_text():
-    assert html_text.main_text(PAGE) == TEXT
-    assert html_text.main_text(PAGE.replace("<article>", '<div class="body">').replace("</article>", "</div>")) == TEXT
-
-
-LONG_PART = "A long paragraph of the text that goes on and on with many words. " * 12
-SHORT_PART = "A short section of the same text that a picture parts from the rest of it, but long enough to surge."
-
-
-@pytest.mark.parametrize("wrapper", ['<div class="content has-sidebar">', '<div class="content with-ads">', '<div class="no-comments">', '<div id="post" class="comments-closed">', '<div class="widget">', '<form id="page">', '<article class="comments">'])
-def test_wrapper_of_all_text_stays(wrapper):
-    page = f"<html><body><nav><a href=/>Home</a></nav>{wrapper}<p>{LONG_PART}</p></{wrapper[1:].split()[0]}><div class='sidebar'><p>{SHORT_PART}</p></div></body></html>"
-    assert html_text.main_text(page) == LONG_PART.strip()
-
-
-def test_comments_longer_than_the_text_go():
-    page = f"<html><body><div><p>{LONG_PART}</p></div><div id='comments'><p>{LONG_PART * 3}</p></div></body></html>"
-    assert html_text.main_text(page) == LONG_PART.strip()
-
-
-def test_short_section_stays():
-    page = f"<html><body><div><section><p>{LONG_PART}</p></section><div class='advert'>Buy</div><section><p>{SHORT_PART}</p></section></div></body></html>"
-    assert html_text.main_text(page) == f"{LONG_PART.strip()} {SHORT_PART}"
-
-
-def test_pages_of_edges(spark):
-    from pyspark.sql import functions as F
-
-    pages = [(1, None), (2, ""), (3, "<p></p>"), (4, PAGE), (4, PAGE), (5, "plain words only"), (6, "<div><p>unclosed <b>words <p>more"), (7, "<p>" + "long text " * 200_000), (8, "<" * 2000)]
-    rows = spark.createDataFrame([(i, h, "x") for i, h in pages], "page_id long, html string, text string").select("page_id", html_text.extract(F.col("html")).alias("t")).collect()
-    got = [r["t"] for r in rows]
-    assert got[:3] == ["", "", ""] and got[3] == got[4] == TEXT and got[5] == "plain words only"
-    assert got[6] == "unclosed words more" and len(got[7]) == 1_999_999 and isinstance(got[8], str)
-
-
 def test_query_digests(spark, sf_dir, library):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op7_bpe_round_trip(spark, sf_dir).collect():

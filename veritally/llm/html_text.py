@@ -1,17 +1,22 @@
 """Main text of web pages by the line-block distribution.
 
 Markup is stripped to a list of lines, one for each block element.  A line's
-weight is its text outside links; what lies in menus, forms, scripts, adverts,
-comments and the like becomes an empty line that parts its neighbours.  Weights
-are summed over sliding windows of lines: text surges where the sum rises over a
-threshold and dives where it falls to nothing; the lines between are kept.
+weight is its letters and digits outside links.  What an element is called or
+classed changes weights only: lines of an article gain, lines of menus, adverts,
+comments and the like are penalised, unless they hold most of the page's text.
+Weights are summed over sliding windows of lines, which a penalised line cuts:
+text surges at the first line whose window reaches a threshold and dives where
+the windows fall to nothing; the lines between surge and dive points are kept.
+A cut is bridged where the text goes on in the box that it parts.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,243 +24,299 @@ from pyspark.sql import functions as F
 
 #: Lines in a window.
 WINDOW = 3
-#: Summed characters at which text surges.
-SURGE = 80
-#: A stretch of text is kept if it has this share of the longest one's characters.
-SHARE = 0.25
+#: Summed letters at which text surges; also what a line of an article gains.
+SURGE = 60
+#: Share of a page's weight from which articles are its text, and the lines beside them weigh nothing.
+HELD = 0.2
 
 # Element names and attribute words of HTML pages.
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "select", "math", "head")
+DROPPED = {"noscript", "template", "textarea", "title", "svg", "iframe", "object", "canvas", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
-    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q",
-    "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math",
+    "mi", "mn", "mo", "mrow", "msub", "msup", "mtext", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
+#: Elements that the next block ends where their end tag is left out.
+UNCLOSED = {"p", "li", "dt", "dd", "td", "th", "tr", "option", "h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset"}
+#: Penalised however much text they hold.
+NEVER_MAIN = {"nav", "footer", "aside", "button", "menu", "dialog"}
 CONTENT = {"article", "main"}
-BOXES = {"div", "section", "article", "main", "td", "center"}
+CONTENT_ROLES = {"main", "article"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
 ASIDE_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies",
-    "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "paywall", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
-    "sidebar", "footer", "comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "share", "sharing", "social", "newsletter",
-    "subscribe", "subscription", "signup", "login", "search", "toolbar", "widget", "pagination", "pager", "copyright", "disclaimer", "skip",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adsbygoogle", "sponsor", "sponsors", "sponsored", "promo", "promos",
+    "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "alerts", "popup", "modal", "overlay", "paywall", "menu",
+    "menus", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "related", "recommended", "recommendations", "share",
+    "sharing", "social", "newsletter", "subscribe", "subscription", "signup", "login", "toolbar", "widget", "widgets", "pagination", "pager", "copyright",
+    "disclaimer", "skip", "search",
+}
+HEADER_WORDS = {"header", "masthead", "topbar"}
+READERS = {"comment", "comments", "disqus", "reply", "replies", "respond", "responses"}
+#: Words that stand beside such a word in a name ("ad-slot", "site-footer") without changing what it says.
+NEUTRAL = {
+    "site", "page", "main", "global", "primary", "secondary", "top", "bottom", "left", "right", "center", "middle", "inner", "outer", "mobile", "desktop", "list",
+    "lists", "box", "boxes", "bar", "wrap", "wrapper", "container", "area", "areas", "section", "block", "blocks", "item", "items", "link", "links", "button",
+    "buttons", "btn", "form", "title", "heading", "text", "body", "content", "slot", "unit", "label", "user", "users", "reader", "readers", "post", "posts",
+    "article", "articles", "story", "stories", "media", "message", "panel", "group", "row", "column", "col", "rail", "module", "component", "thread",
+    "tag", "tags", "us", "my", "the", "js", "google",
 }
-HEADER_WORDS = {"header", "masthead", "topbar", "site-header"}
-#: These are stripped however much text they hold; other elements not if most of the page's is theirs.
-NEVER_MAIN = {"nav", "footer", "aside", "button", "menu", "dialog", "header"}
-READERS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-#: A state of the element's own ("has-sidebar", "no-comments", "comments-closed"), not what it is.
-STATE = re.compile(r"(?:has|no|not|with|without)(?:[-_]|(?=[A-Z])).*|.*[-_](?:open|opened|closed|enabled|disabled|on|off)")
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^<>]*)>""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+SIGNS = re.compile(r"[\W_]+")
 
 
 @dataclass
 class Line:
-    """One block's text, its weight, whether an article element holds it, and the
-    number of the box it lies in (-1: the body's); a gap has no text."""
+    """One block's text, its letters and digits outside links, whether an article holds it,
+    whether it is penalised, and the boxes around it (its own, and that one's if not the body)."""
 
     text: str
-    weight: int
-    inside: bool
-    box: int = -1
-
-
-def _boring(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is no main text, whether it is for readers' comments, and whether it is hidden."""
-    words: set[str] = set()
-    hidden = False
-    bad = name in ASIDE or name == "header" and not inside
-    if attributes:
-        for key, value in ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), value.strip("\"'")
-            if key in ("class", "id"):
-                for token in value.split():
-                    if STATE.fullmatch(token):
-                        continue
-                    words.add(token.lower())
-                    words.update(w.lower() for w in WORD.findall(token))
-            elif key == "role":
-                bad |= value.lower() in ASIDE_ROLES
-            elif key == "aria-hidden":
-                hidden |= value.lower() == "true"
-            elif key == "style":
-                hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-            else:
-                hidden = True
-    readers = bool(words & READERS)
-    bad |= bool(words & ASIDE_WORDS) or not inside and bool(words & HEADER_WORDS)
-    return bad or readers or hidden, readers, hidden
-
-
-def _unlinked(html: str, tags: list[tuple]) -> list[int]:
-    """Characters of text outside links before each tag."""
-    out, total, at, linked = [], 0, 0, False
-    for start, end, closing, name, _ in tags:
-        if not linked and start > at:
-            total += len("".join(html[at:start].split()))
-        out.append(total)
-        at = end
-        if name == "a":
-            linked = not closing
-    out.append(total + (0 if linked else len("".join(html[at:].split()))))
+    letters: int
+    content: bool = False
+    penalised: bool = False
+    boxes: tuple[int, ...] = (-1,)
+
+
+def _names(value: str) -> set[str]:
+    """Words of a class or id: its whole tokens, and the parts of those that say nothing else."""
+    out = set()
+    for token in value.split():
+        parts = [w.lower() for w in WORD.findall(token) if len(w) > 1]
+        out.add(token.lower())
+        telling = [w for w in parts if w not in NEUTRAL]
+        if telling and all(w in ASIDE_WORDS or w in READERS or w in HEADER_WORDS for w in telling):
+            out.update(telling)
     return out
 
 
-def lines_of(html: str) -> tuple[list[Line], dict[int, int]]:
-    """The page's lines in order, and each box's parent (-1: the body); stripped parts leave a gap.
-
-    An element that holds most of the page's unlinked text isn't stripped for its
-    name or words, unless an article lies beside it; one for readers' comments
-    only if the page's articles lie in it.
-    """
-    html = HIDDEN.sub(lambda m: " " if m[1] is None else "<hr>", html)
-    tags = [(m.start(), m.end(), bool(m[1] or m[4]), (m[2] or m[5]).lower(), m[3] or m[6] or "") for m in TAG.finditer(html)]
-    ends: dict[int, int] = {}
-    open_: dict[str, list[int]] = {}
-    for i, (_, _, closing, name, _) in enumerate(tags):
+def _says(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """What an element says it is: (no main text, a page's header, readers' comments, main text)."""
+    aside, header, content = name in ASIDE, name == "header", name in CONTENT
+    words: set[str] = set()
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'")
+        if key in ("class", "id"):
+            words |= _names(value)
+        elif key == "role":
+            aside |= value.lower() in ASIDE_ROLES
+            content |= value.lower() in CONTENT_ROLES
+        elif key == "itemprop":
+            content |= value == "articleBody"
+        elif key == "aria-hidden":
+            aside |= value.lower() == "true"
+        elif key == "style":
+            aside |= bool(NO_DISPLAY.search(value))
+        elif key == "hidden":
+            aside = True
+    return aside or bool(words & ASIDE_WORDS), header or bool(words & HEADER_WORDS), bool(words & READERS), content
+
+
+def _ends(tags: list[tuple[bool, str, str]]) -> list[int]:
+    """For each start tag the number of its end tag; -1 where it has none."""
+    ends = [-1] * len(tags)
+    waiting: dict[str, list[int]] = {}
+    block = len(tags)
+    for i, (closing, name, _) in enumerate(tags):
         if closing:
-            if open_.get(name):
-                ends[open_[name].pop()] = i
+            if waiting.get(name):
+                ends[waiting[name].pop()] = i
         elif name not in VOID:
-            open_.setdefault(name, []).append(i)
-    before: list[int] = []
-
-    def most(first: int, last: int, readers: bool) -> bool:
-        if not before:
-            before.extend(_unlinked(html, tags))
-        beside = any(not first <= a <= last for a in articles)
-        return not beside and (bool(articles) or not readers) and 2 * (before[last] - before[first]) > before[-1]
+            waiting.setdefault(name, []).append(i)
+    for i in range(len(tags) - 1, -1, -1):
+        closing, name, _ = tags[i]
+        if not closing and name in UNCLOSED and (ends[i] < 0 or ends[i] > block):
+            ends[i] = block
+        if name not in INLINE and name not in VOID:
+            block = i
+    return ends
+
+
+def _spans(tags: list[tuple[bool, str, str]], ends: list[int], letters: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(penalised, content): start and end tags of such elements.
+
+    ``letters``: those outside links before each tag.  An element that holds most
+    of the page's is not penalised for its name, unless an article lies beside it;
+    comments count for nothing there, and are exempt only where the page's articles
+    or all of its text lie in them.
+    """
+    total = letters[-1]
+    said = [None if closing or name in INLINE or name in VOID or name in ("html", "body") else _says(name, attributes) for closing, name, attributes in tags]
+    articles = [i for i, s in enumerate(said) if s and s[3]]
+    inside = lambda a, b: bisect_right(articles, b) - bisect_left(articles, a)
+    penalised, comments = [], []
+    upto = 0
+    for i, s in enumerate(said):
+        if s and s[2] and ends[i] >= 0 and i >= upto:
+            held = inside(i, ends[i])
+            all_ = total - (letters[ends[i]] - letters[i]) < min(SURGE, total)
+            if not (held == len(articles) > 0 or all_):
+                comments.append((i, ends[i]))
+                upto = ends[i]
+    lost = [0] * (len(tags) + 2)
+    for a, b in comments:
+        lost[a + 1] += letters[b] - letters[a]
+    lost = list(accumulate(lost))
+
+    def most(a: int, b: int) -> bool:
+        mine = letters[b] - letters[a] - (lost[b] - lost[a])
+        return inside(a, b) == len(articles) and 2 * mine > total - lost[-1]
+
+    content = [(i, ends[i] if ends[i] >= 0 else len(tags)) for i in articles]
+    reach, upto = [], 0
+    for a, b in content:
+        upto = max(upto, b)
+        reach.append(upto)
+    for i, s in enumerate(said):
+        if not s:
+            continue
+        at = bisect_left(articles, i)
+        within = at > 0 and reach[at - 1] > i  # in an article that opened before
+        if s[0] or s[1] and not within:
+            name = tags[i][1]
+            b = ends[i] if ends[i] >= 0 else len(tags)
+            if not s[0] and s[3] or not (name in NEVER_MAIN and ends[i] >= 0) and (most(i, b) or ends[i] < 0 and inside(i + 1, b)):
+                continue
+            penalised.append((i, b))
+    return penalised + comments, content
+
+
+def lines_of(html: str) -> list[Line]:
+    """The page's lines in order."""
+    html = HIDDEN.sub("", html)
+    tags, pieces, letters, at, linked, total = [], [], [], 0, False, 0
+    for m in TAG.finditer(html):
+        pieces.append((html[at : m.start()], linked))
+        at = m.end()
+        tags.append((bool(m[1] or m[4]), (m[2] or m[5]).lower(), m[3] or m[6] or ""))
+        if tags[-1][1] == "a":
+            linked = not tags[-1][0]
+    pieces.append((html[at:], linked))
+    dropped, skip = set(), -1
+    ends = _ends(tags)
+    for i, (closing, name, _) in enumerate(tags):
+        if name in DROPPED and not closing and i > skip and ends[i] >= 0:
+            dropped.update(range(i + 1, ends[i] + 1))
+            skip = ends[i]
+    texts = []
+    for i, (piece, in_link) in enumerate(pieces):
+        text = "" if i in dropped else unescape(piece) if "&" in piece else piece
+        texts.append(text)
+        own = 0 if in_link or not text else len(SIGNS.sub("", text))
+        total += own
+        letters.append(total)
+    penalised, content = _spans(tags, ends, letters)
+    cut, gain = [0] * (len(tags) + 2), [0] * (len(tags) + 2)
+    for spans, marks in ((penalised, cut), (content, gain)):
+        for a, b in spans:
+            marks[a + 1] += 1
+            marks[b + 1] -= 1
+    cut, gain = list(accumulate(cut)), list(accumulate(gain))
 
-    articles = [i for i, t in enumerate(tags) if not t[2] and t[3] in CONTENT]
     out: list[Line] = []
     parts: list[str] = []
-    boxes: list[tuple[str, int]] = []
-    parents: dict[int, int] = {}
-    linked = depth = links = at = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                out.append(Line(text, max(0, len(text) - linked), depth > 0, boxes[-1][1] if boxes else -1))
-            parts.clear()
-        linked = 0
-
-    i = 0
-    while i <= len(tags):
-        start, end, closing, name, attributes = tags[i] if i < len(tags) else (len(html), len(html), True, "", "")
-        if start > at:
-            piece = unescape(html[at:start])
-            parts.append(piece)
-            if links:
-                linked += len(" ".join(piece.split()))
-        at = end
-        i += 1
-        if not name:
+    boxes: list[int] = []
+    first = 0
+
+    def flush(upto: int) -> None:
+        if text := " ".join("".join(parts).split()):
+            before = letters[first - 1] if first else 0
+            out.append(Line(text, letters[upto] - before, gain[first] > 0, cut[first] > 0, tuple(boxes[-2:]) or (-1,)))
+        parts.clear()
+
+    for i, text in enumerate(texts):
+        if not parts:
+            first = i
+        parts.append(text)
+        if i == len(tags):
+            flush(i)
             break
-        if name == "a":
-            links = 0 if closing else 1
-        elif name == "br":
+        closing, name, _ = tags[i]
+        if name == "br" or name in DROPPED:
             parts.append(" ")
         elif name not in INLINE:
-            flush()
-        if name in BOXES:
-            if not closing:
-                parents[i] = boxes[-1][1] if boxes else -1
-                boxes.append((name, i))
-            elif any(x == name for x, _ in boxes):
-                while boxes.pop()[0] != name:
-                    pass
-        if name in CONTENT:
-            depth = max(0, depth + (-1 if closing else 1))
-            if closing and not depth:
-                out.append(Line("", 0, False))
-        if not closing and name not in ("html", "body") and name not in VOID:
-            bad, readers, hidden = _boring(name, attributes, depth > (name in CONTENT))
-            last = ends.get(i - 1)
-            if bad and last is not None and (readers or name in ASIDE or not any(i - 1 < a < last for a in articles)) and (readers or name not in CONTENT) and (hidden or name in NEVER_MAIN or not most(i - 1, last, readers)):
-                flush()
-                out.append(Line("", 0, False))
-                if name in CONTENT:
-                    depth -= 1
-                if name in BOXES:
-                    boxes.pop()
-                at, i = tags[last][1], last + 1
-        elif name == "hr":
-            out.append(Line("", 0, False))
-    flush()
-    return out, parents
-
-
-def stretches(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """(surge, dive) line numbers of each stretch of text, the dive excluded.
+            flush(i)
+            while boxes and ends[boxes[-1]] <= i:
+                boxes.pop()
+            if not closing and ends[i] > i and name not in VOID and name not in UNCLOSED and name not in ("html", "body"):
+                boxes.append(i)
+    return out
 
-    Inside an article element every line counts as a surge by itself, so that
-    short paragraphs stay; elsewhere the windowed sums decide.  Gaps always dive.
+
+def weights(lines: list[Line], gain: int = SURGE, held: float = HELD) -> list[int]:
+    """What each line counts in the windows; -1: it cuts them.
+
+    Letters outside links; lines of an article gain ``gain``.  Where articles
+    hold the share ``held`` of the page's letters or more, the others count nothing.
     """
-    held = 5 * sum(x.weight for x in lines if x.inside) >= sum(x.weight for x in lines) > 0
-    weights = [x.weight + surge if x.inside and x.text else 0 if held else x.weight for x in lines]
-    sums = []
-    for i, line in enumerate(lines):
+    free = [x for x in lines if not x.penalised]
+    inside = sum(x.letters for x in free if x.content)
+    article = inside > 0 and inside >= held * sum(x.letters for x in free)
+    return [-1 if x.penalised else x.letters + gain if x.content else 0 if article else x.letters for x in lines]
+
+
+def block_sums(weights: list[int], window: int = WINDOW) -> list[int]:
+    """For each line the weights of the ``window`` lines from it on, up to a cut."""
+    out = []
+    for i in range(len(weights)):
         total = 0
-        for k in range(i, min(i + window, len(lines))):
-            if not lines[k].text:
+        for w in weights[i : i + window]:
+            if w < 0:
                 break
-            total += weights[k]
-        sums.append(total if line.text else 0)
-    threshold = min(surge, max(sums, default=0))
+            total += w
+        out.append(total)
+    return out
+
+
+def stretches(weights: list[int], boxes: list[tuple[int, ...]] | None = None, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """(surge, dive) line numbers of each stretch of text, the dive excluded.
+
+    Text surges at a line that has weight and whose window sums up to ``surge``
+    (on a page without such a window, to anything), and dives after the last line
+    with weight before a window falls to nothing.  Across a cut it goes on if the
+    next line has weight and one of the ``boxes`` of the stretch's lines around it.
+    """
+    sums = block_sums(weights, window)
+    threshold = surge if max(sums, default=0) >= surge else 1
     found, i = [], 0
-    while i < len(lines):
-        if sums[i] < threshold or not threshold:
+    while i < len(weights):
+        if weights[i] <= 0 or sums[i] < threshold:
             i += 1
             continue
-        j = i
-        while j < len(lines) and lines[j].text and (sums[j] >= threshold or weights[j] > 0 and any(sums[k] >= threshold for k in range(max(i, j - window + 1), j))):
+        j, dive, around = i, i, set()
+        while j < len(weights) and sums[j] > 0:
+            around.update(boxes[j] if boxes else ())
             j += 1
-        found.append((i, j))
+            if weights[j - 1] > 0:
+                dive = j
+            k = j
+            while k < len(weights) and weights[k] < 0:
+                k += 1
+            if j < k < len(weights) and weights[k] > 0 and boxes and around.intersection(boxes[k]):
+                j = k
+        found.append((i, dive))
         i = max(j, i + 1)
     return found
 
 
-def main_text(html: str, window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> str:
-    """The blocks between surge and dive points, each with white space folded, joined by a space.
-
-    Short blocks that a stripped part cuts off stay if they share the box of the
-    longest stretch.  Stretches of any size stay if they lie in the box around
-    that one (other than the body), or directly in one around it.
-    """
-    lines, parents = lines_of(html)
-    found = stretches(lines, window, surge)
-    size = [sum(lines[k].weight for k in range(i, j)) for i, j in found]
-    inside = [any(lines[k].inside for k in range(i, j)) for i, j in found]
-    most = max(size, default=0)
-    kept = {k for (i, j), n, held in zip(found, size, inside) if held or n >= share * most for k in range(i, j)}
-    if size and not any(inside):
-        i, j = found[size.index(most)]
-        main = {lines[k].box for k in range(i, j)} - {-1}
-        kept |= {k for k, x in enumerate(lines) if x.box in main}
-        region, around = {b for b in (parents[m] for m in main) if b != -1} | main, set()
-        for b in main:
-            while (b := parents.get(b, -1)) != -1 and b not in around:
-                around.add(b)
-        for b, parent in parents.items():  # a box comes after its parent
-            if parent in region:
-                region.add(b)
-        kept |= {k for i, j in found if any(lines[k].box in region or lines[k].box in around for k in range(i, j)) for k in range(i, j)}
-    return " ".join(lines[k].text for k in sorted(kept) if lines[k].text)
+def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The blocks between surge and dive points, each with white space folded, joined by a space."""
+    lines = lines_of(html)
+    weight = weights(lines, surge)
+    found = stretches(weight, [x.boxes for x in lines], window, surge)
+    return " ".join(lines[k].text for i, j in found for k in range(i, j) if weight[k] >= 0)
 
 
 def extract(html: Column) -> Column:
     """Main text of a column of pages; null, empty and text-free pages give "".
 
-    Row by row over the whole page: repeated rows and ties need no care, nothing
-    is dropped or capped within the main text.
+    Row by row over the whole page, in time linear in its length: repeated rows
+    and ties need no care, an empty table gives an empty one, other columns are
+    not looked at, and nothing is dropped or capped within the main text.
     """
 
     @F.arrow_udf("string")
