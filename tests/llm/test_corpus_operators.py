@@ -203,7 +203,40 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, full_bucket):
         assert -1 <= x["score"] <= 1
     assert got == want
     assert ann.nearest(df.limit(0), lambda x: x % 50 == 0).count() == 0
-    assert ann.nearest(df.where("vec_id in (50, 51)"), lambda x: x % 50 == 0).count() <= 1
+    two = ann.nearest(df.where("vec_id in (50, 51)"), lambda x: x % 50 == 0).collect()
+    assert [(x["query_id"], x["rank"], x["vec_id"]) for x in two] == [(50, 1, 51)]
+
+
+def test_visits_follow_from_the_vectors(spark):
+    r = np.random.default_rng(8)
+    centres = r.standard_normal((400, 24))
+    close = [(i, (centres[i % 400] + 0.05 * r.standard_normal(24)).tolist()) for i in range(4000)]
+    apart = [(i, x) for i, x in enumerate(r.standard_normal((4000, 24)).tolist())]
+    found = {}
+    for name, rows in (("close", close), ("apart", apart)):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        classes = ann.distinct_vectors(ann.usable(df, "vec_id", "embedding").withColumn("asks", ann.F.col("vec_id") % 50 == 0), 5)
+        assert classes.schema["v"].dataType.elementType == ann.T.FloatType()
+        found[name] = ann.fitted(ann.true_neighbours(classes, 5), 4000)
+    assert found["close"].probes <= 2 < found["apart"].probes
+    want = brute_nearest([(i, [float(np.float32(x)) for x in v]) for i, v in close], 5)
+    got = Counter()
+    for x in ann.nearest(spark.createDataFrame(close, "vec_id long, embedding array<float>"), lambda x: x % 50 == 0).collect():
+        got[x["query_id"]] += x["vec_id"] in want[x["query_id"]]
+    assert sum(got.values()) >= 0.9 * sum(map(len, want.values()))
+    assert ann.fitted([], 10) is None
+
+
+def test_vectors_with_equal_hashes_stay_apart(spark, monkeypatch):
+    real, tried = ann.F.xxhash64, []
+
+    def clashing(seed, v):
+        tried.append(1)
+        return real(seed, v) if len(tried) > 1 else ann.F.lit(7).cast("long")
+
+    monkeypatch.setattr(ann.F, "xxhash64", clashing)
+    rows = spark.createDataFrame([(1, [1.0, 0.0], True), (2, [0.0, 1.0], False)], "vec_id long, v array<double>, asks boolean")
+    assert sorted(r["ids"] for r in ann.distinct_vectors(rows, 5).collect()) == [[1], [2]] and len(tried) == 2
 
 
 @pytest.mark.parametrize("block", [ann.SHORT_QUERIES, 2])

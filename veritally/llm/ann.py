@@ -9,6 +9,13 @@ with the least sum of squared distances to the crossed boundaries.  Candidates
 of all tables are merged and ranked by their exact cosine.  A query whose buckets
 hold fewer than are asked for is ranked against all vectors of its length.
 
+Projections follow from the number of vectors, so that buckets don't grow with
+it.  How many buckets a query visits is fitted: a bounded sample of queries is
+ranked against all vectors, and the least number of visits that finds the wanted
+share of their true neighbours is taken.  Where neighbours are close, that is a
+few buckets; where the vectors have no structure, projections are taken away
+until enough are found.
+
 Equal vectors are hashed once; they stand for their least vec_ids.  Buckets are
 dealt to partitions by hash, very full ones in several parts, and each partition
 gets a query's vector once.  Inside a partition, buckets and the queries that
@@ -37,6 +44,14 @@ FULL_BUCKET = 8_192
 FULL_BUCKETS = 100_000
 #: Queries whose buckets hold too few that are ranked against all rows at once.
 SHORT_QUERIES = 1_024
+#: Queries in the sample that the number of visits is fitted on, and the share of their neighbours to find.
+SAMPLE_QUERIES = 160
+WANTED_RECALL = 0.95
+#: Vectors in a bucket, about, and bits that a projection tells of its place.
+BUCKET_ROWS = 12
+PLACE_BITS = 1.2
+#: Buckets visited in a table at most.
+MOST_PROBES = 512
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,10 +59,10 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 class Probing:
     """Tables, projections of each, width of a step, buckets visited in each table."""
 
-    tables: int = 8
+    tables: int = 4
     projections: int = 8
-    width: float = 2.0
-    probes: int = 130
+    width: float = 3.0
+    probes: int = 64
     seed: int = 3
 
     def functions(self, dimension: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +81,20 @@ class Probing:
             h = (h ^ (h >> np.uint64(29))) * GOLDEN + cells[:, k].astype(np.int64).view(np.uint64)
         return ((h ^ (h >> np.uint64(32))) * GOLDEN).view(np.int64)
 
+    def visits(self, places: np.ndarray, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+        """(key, number of the visit in its table) of the buckets that a query at ``places`` visits."""
+        visited, tables, turns = [], [], []
+        for a, place in enumerate(places):
+            cell = np.floor(place)
+            for turn, steps in enumerate(perturbations(place - cell, self.probes)):
+                moved = cell.copy()
+                for s in steps:
+                    moved[s % self.projections] += -1 if s < self.projections else 1
+                visited.append(moved)
+                tables.append(a)
+                turns.append(turn)
+        return self.keys(np.array(visited), np.array(tables), dimension), np.array(turns)
+
 
 def perturbations(offset: np.ndarray, count: int) -> list[tuple[int, ...]]:
     """The ``count`` best sets of steps (j: down in projection j, k + j: up), the empty one first.
@@ -92,6 +121,12 @@ def perturbations(offset: np.ndarray, count: int) -> list[tuple[int, ...]]:
     return sets
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; the greatest component goes first, so that no square over- or underflows."""
+    v = v / np.abs(v).max(axis=-1, keepdims=True)
+    return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+
 def _units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, unit vectors in double precision) for each length of vector."""
     lengths = np.diff(column.offsets.to_numpy())
@@ -99,20 +134,23 @@ def _units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
     for d in np.unique(lengths):
         rows = np.flatnonzero(lengths == d)
-        v = values[starts[rows][:, None] + np.arange(d)]
-        v = v / np.abs(v).max(axis=1, keepdims=True)
-        yield rows, v / np.linalg.norm(v, axis=1, keepdims=True)
+        yield rows, _scaled(values[starts[rows][:, None] + np.arange(d)])
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v, gid) of the rows with a key and a finite vector other than zero."""
+    """(vec_id, v) of the rows with a key and a finite vector other than zero; floats stay floats."""
     v = F.col(vector)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col(key).isNotNull() & v.isNotNull()).where(fine)
-    return rows.select(F.col(key).cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).withColumn("gid", F.xxhash64("v"))
+    single = isinstance(vectors.schema[vector].dataType, T.ArrayType) and isinstance(vectors.schema[vector].dataType.elementType, T.FloatType)
+    return rows.select(F.col(key).cast("long").alias("vec_id"), v.cast("array<float>" if single else "array<double>").alias("v"))
+
+
+def entry_type(vectors: DataFrame) -> T.StructType:
+    """Rows of a bucket or a visit, with vectors of the type of ``v``."""
+    return T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("gid", T.LongType()), T.StructField("v", vectors.schema["v"].dataType)])
 
 
-ENTRY = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("gid", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
 FOUND = T.StructType([T.StructField("query", T.LongType()), T.StructField("gid", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
@@ -122,7 +160,7 @@ def _partition(keys: np.ndarray, part: np.ndarray, partitions: int) -> np.ndarra
 
 
 def entries(how: Probing, full: dict[int, int], partitions: int):
-    """A function for mapInArrow: rows of (gid, v, is_query) to ENTRY rows.
+    """A function for mapInArrow: rows of (gid, v, is_query) to rows of :func:`entry_type`.
 
     kind 0 brings a query's vector to a partition, kind 1 a bucket that a query
     visits, kind 2 a vector in its bucket.
@@ -142,15 +180,7 @@ def entries(how: Probing, full: dict[int, int], partitions: int):
                 part = gids[rows][who].view(np.uint64) % parts.astype(np.uint64)
                 yield _entries(_partition(keys, part, partitions), 2, keys, gids[rows][who], vectors.take(pa.array(rows[who])))
                 for i in np.flatnonzero(asks[rows]):
-                    visited, tables = [], []
-                    for a in range(t):
-                        for steps in perturbations(places[i, a] - cells[i, a], how.probes):
-                            cell = cells[i, a].copy()
-                            for s in steps:
-                                cell[s % how.projections] += -1 if s < how.projections else 1
-                            visited.append(cell)
-                            tables.append(a)
-                    keys = how.keys(np.array(visited), np.array(tables), d)
+                    keys = how.visits(places[i], d)[0]
                     if full:
                         parts = np.array([full.get(k, 1) for k in keys.tolist()])
                         keys, part = np.repeat(keys, parts), np.concatenate([np.arange(p) for p in parts])
@@ -166,8 +196,8 @@ def entries(how: Probing, full: dict[int, int], partitions: int):
 
 
 def _entries(pid: np.ndarray, kind: int, keys: np.ndarray, gids: np.ndarray, vectors: pa.Array) -> pa.RecordBatch:
-    columns = [pa.array(pid.astype(np.int32)), pa.array(np.full(len(pid), kind, np.int32)), pa.array(keys), pa.array(gids), vectors.cast(pa.list_(pa.float64()))]
-    return pa.RecordBatch.from_arrays(columns, names=ENTRY.names)
+    columns = [pa.array(pid.astype(np.int32)), pa.array(np.full(len(pid), kind, np.int32)), pa.array(keys), pa.array(gids), vectors]
+    return pa.RecordBatch.from_arrays(columns, names=["pid", "kind", "key", "gid", "v"])
 
 
 def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +251,7 @@ class Visits:
 
 
 def meeting(keep: int):
-    """A function for mapInArrow over ENTRY rows sorted by pid, kind and key: FOUND rows."""
+    """A function for mapInArrow over rows of :func:`entry_type` sorted by pid, kind and key: FOUND rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, here = None, Visits(keep)
@@ -301,7 +331,64 @@ def exact(classes: DataFrame, short: DataFrame, keep: int) -> DataFrame | None:
     return out
 
 
-def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 5, how: Probing = Probing()) -> DataFrame:
+def true_neighbours(classes: DataFrame, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(vector, vectors of its ``k`` nearest) of a bounded sample of the queries among ``classes``, by ranking all."""
+    sample = classes.where("asks").orderBy("gid").limit(SAMPLE_QUERIES).select("gid", "v").collect()
+    if not sample:
+        return []
+    gids, v = np.array([r["gid"] for r in sample], np.int64), pa.array([r["v"] for r in sample], pa.list_(pa.float64()))
+    asking = classes.sparkSession.sparkContext.broadcast([(gids[rows], unit) for rows, unit in _units(v)])
+    found = classes.select("gid", "v").mapInArrow(ranking(asking, k + 1), FOUND).where("gid <> query")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "gid")
+    top = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("query", "gid")
+    near: dict[int, list] = {}
+    for r in top.join(classes.select("gid", "v"), "gid").collect():
+        near.setdefault(r["query"], []).append(r["v"])
+    return [(np.array(r["v"], np.float64), np.array(near[r["gid"]], np.float64)) for r in sample if r["gid"] in near]
+
+
+def fitted(sample: list[tuple[np.ndarray, np.ndarray]], vectors: int, wanted: float = WANTED_RECALL) -> Probing | None:
+    """The projections and least visits that find the share ``wanted`` of a sample's neighbours.
+
+    None if there is no sample, or no setting finds enough.  The cost doesn't
+    depend on the number of vectors.
+    """
+    projections = max(2, round(np.log2(max(2, vectors / BUCKET_ROWS)) / PLACE_BITS))
+    while sample and projections > 0:
+        how = Probing(projections=projections, probes=min(MOST_PROBES, 3**projections))
+        need = []
+        for q, near in sample:
+            keys, turns = how.visits(how.places(_scaled(q)[None])[0], len(q))
+            first = dict(zip(keys.tolist(), turns.tolist()))
+            cells = np.floor(how.places(_scaled(near)))
+            n, t = cells.shape[:2]
+            own = how.keys(cells.reshape(n * t, -1), np.tile(np.arange(t), n), len(q)).reshape(n, t)
+            need += [min(first.get(x, MOST_PROBES) for x in row) for row in own.tolist()]
+        least = sorted(need)[max(0, int(np.ceil(wanted * len(need))) - 1)]
+        if least < MOST_PROBES:
+            return Probing(projections=projections, probes=least + 1)
+        projections -= 2 if projections > 2 else 1
+    return None
+
+
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """(gid, v, asks, ids, least): each vector once, with its ``k`` + 1 least keys and whether a query has it.
+
+    gid is a hash of the vector; should two vectors share one, another seed is taken.
+    """
+    for seed in range(16):
+        named = rows.withColumn("gid", F.xxhash64(F.lit(seed), F.col("v")))
+        least = Window.partitionBy("gid").orderBy("vec_id")
+        first = named.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1)
+        ids = first.groupBy("gid").agg(F.collect_list("vec_id").alias("ids"), F.min("vec_id").alias("least"))
+        whole = named.groupBy("gid").agg(F.min("v").alias("v"), F.max("v").alias("_v"), F.max("asks").alias("asks"))
+        classes = checkpoint(whole.join(ids, "gid").select("gid", "v", (F.col("v") != F.col("_v")).alias("_clash"), "asks", "ids", "least", F.lit(seed).alias("seed")))
+        if classes.where("_clash").isEmpty():
+            return classes.drop("_clash")
+    raise ValueError("no seed tells the vectors apart")
+
+
+def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 5, how: Probing | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query row, nearest first.
 
     ``is_query``: a condition on the key column.  Candidates are all rows but
@@ -311,25 +398,25 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
     lengths do not meet; a repeated row counts once.  A query gets fewer than ``k``
     rows only if it has fewer candidates: where the buckets it visits hold too
     few, all rows are ranked.  An empty table gives an empty one; other columns
-    are ignored.
+    are ignored.  ``how``: projections and visits; fitted to the vectors if None.
     """
-    rows = usable(vectors, key, vector).withColumn("asks", is_query(F.col("vec_id"))).dropDuplicates(["gid", "vec_id"])
-    least = Window.partitionBy("gid").orderBy("vec_id")
-    first = rows.select("gid", "vec_id", "v").withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1)
-    classes = first.groupBy("gid").agg(F.collect_list("vec_id").alias("ids"), F.min("vec_id").alias("least"), F.first("v").alias("v"))
+    rows = usable(vectors, key, vector).withColumn("asks", is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "v"])
+    classes = distinct_vectors(rows, k)
+    seed = classes.select("seed").first()
+    rows = rows.withColumn("gid", F.xxhash64(F.lit(seed["seed"] if seed else 0), F.col("v")))
     queries = checkpoint(rows.where("asks").select(F.col("gid").alias("query"), F.col("vec_id").alias("query_id")))
-    asked = queries.select(F.col("query").alias("gid")).distinct().withColumn("asks", F.lit(True))
-    classes = checkpoint(classes.join(asked, "gid", "left").select("gid", "v", F.coalesce("asks", F.lit(False)).alias("asks"), "ids", "least"))
     size = classes.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    how = how or fitted(true_neighbours(classes, k), size["n"]) or Probing(projections=1, probes=3)
     load = size["n"] * how.tables + size["q"] * how.tables * how.probes // 8
     partitions = max(8, -(-load // PARTITION_ROWS))
 
-    hashed = classes.select("gid", "v", F.lit(False).alias("asks")).mapInArrow(entries(how, {}, partitions), ENTRY)
+    entry = entry_type(classes)
+    hashed = classes.select("gid", "v", F.lit(False).alias("asks")).mapInArrow(entries(how, {}, partitions), entry)
     limit = max(FULL_BUCKET, size["n"] * how.tables // FULL_BUCKETS)
     crowded = hashed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()
     full = {r["key"]: -(-r["n"] // limit) for r in crowded}
 
-    dealt = classes.select("gid", "v", "asks").mapInArrow(entries(how, full, partitions), ENTRY)
+    dealt = classes.select("gid", "v", "asks").mapInArrow(entries(how, full, partitions), entry)
     dealt = dealt.repartition(partitions, "pid").sortWithinPartitions("pid", "kind", "key")
     found = dealt.mapInArrow(meeting(k + 1), FOUND)
     names = classes.select("gid", "ids", "least")
