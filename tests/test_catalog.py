@@ -1,7 +1,7 @@
 import pytest
 from oracle import connect, differences
 
-from veritally.plans import catalog
+from veritally.plans import catalog, feeds  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -36,6 +36,15 @@ def test_limits_are_strict(spark, difference, total, want):
     assert row["x"] == want
 
 
+def test_repeated_names_count_last_and_sum(spark):
+    rows = lambda xs: spark.createDataFrame([("u", n, v, i) for i, (n, v) in enumerate(xs)], "unit_id string, name string, votes long, position int")
+    diff = compare.candidate_diff(rows([("A", 5), ("B", 1), ("A", 7)]), rows([("A", 7), ("B", 1)]), position="position")
+    got = {r["name"]: (r["official_votes"], r["citizen_votes"], r["official_all"], r["status"]) for r in diff.collect()}
+    assert got == {"A": (7, 7, 12, "matching"), "B": (1, 1, 1, "matching")}
+    one = compare.compare_units(diff).first()
+    assert (one["official_total"], one["citizen_total"], one["difference"], one["candidate_abs_diff"]) == (13, 8, 5, 0)
+
+
 def test_histogram_bins(spark):
     df = spark.createDataFrame([(x,) for x in (0.0, 29.99, 30.0, 80.0, 100.0, 100.01, None)], "x double")
     got = {r["label"]: r["count"] for r in stats.histogram(df, "x", stats.EDGES["turnout"]).collect()}
@@ -51,6 +60,34 @@ def test_exact_quantiles(spark):
     assert stats.exact_quantiles(df.limit(0), "x", (0.5,)) == [None]
 
 
+def test_exact_quantiles_of_infinities(spark):
+    inf = math.inf
+    of = lambda xs, *p: stats.exact_quantiles(spark.createDataFrame([(x,) for x in xs], "x double"), "x", p)
+    assert of([inf, 3.0, 1.0, 2.0, 4.0], 0.25, 0.5, 1.0) == [2.0, 3.0, inf]
+    assert of([-inf, -inf, 5.0], 0.0, 0.5, 1.0) == [-inf, -inf, 5.0]
+    assert of([inf, inf], 0.5) == [inf] and math.isnan(of([-inf, inf], 0.5)[0])
+    assert of([-1.7e308, 1.7e308, 0.0, 1.0], 0.5) == [0.5]
+    assert of([5e-324, 1e-323, 0.0], 0.5) == [5e-324]
+
+
+def test_swing_summary_with_a_unit_from_zero(spark):
+    rows = lambda xs: spark.createDataFrame(list(enumerate(xs)), "k int, votes long")
+    swings = statistics.swings(rows([5, 11, 12, 13, 14, 90]), rows([0, 10, 10, 10, 10, 10]), "k")
+    one = statistics.swing_summary(swings).first()
+    assert (one["count"], one["mean"], one["median"], one["outliers"]) == (6, math.inf, 35.0, 1)
+    assert {r["k"] for r in statistics.swing_outliers(swings).collect()} >= {0}
+    half = statistics.swings(rows([5, 5, 5, 1]), rows([0, 0, 0, 1]), "k")
+    assert statistics.swing_summary(half).first()["outliers"] == statistics.swing_outliers(half).count()
+
+
+def test_averages_of_a_province(spark):
+    rows = [("p", 1, "A", 50.0, 1, 3), ("p", 2, "A", 50.1, 1, 3), ("p", 3, "", 99.9, 0, 1), ("p", 4, "A", 0.0, 5, 0), ("q", 5, None, 10.0, 1, 1), ("r", 6, "B", 10.0, 0, 1), ("r", 7, "C", 90.0, 0, 1)]
+    df = spark.createDataFrame(rows, "province string, k int, winner string, pct double, invalid int, came int")
+    got = [tuple(r) for r in anomalies.province_patterns(df, "province", "winner", "pct", "invalid", "came", "k").collect()]
+    assert got[0] == ("p", "monopoly", 3, 1, "A", 3, 100.0, 66.7, 28.8, 22.22)
+    assert got[1][:4] == ("r", "high_variation", 2, 2) and got[1][7:] == (50.0, 56.6, 0.0) and len(got) == 2
+
+
 def test_scores_without_spread(spark):
     df = spark.createDataFrame([(i, 10, 1) for i in range(5)], "unit_id int, whole int, part int")
     assert {(r["z"], r["flag"]) for r in anomalies.fenced(anomalies.rated(df, "part", "whole"), "rate").collect()} == {(0.0, "normal")}
@@ -111,6 +148,10 @@ def test_nested_feed_to_units(spark, tmp_path):
     u = units[0]
     assert (u["unit_id"], u["constituency"], u["province"], u["winner"], u["winner_votes"], u["winner_color"]) == ("BKK_1", "Bangkok เขต 1", "Bangkok", "Two", 20, "#222")
     assert [c["party"] for c in u["candidates"]] == ["Two", "One", "party_7"] and u["registered_vote"] == 0 and u["zone"] == []
+    assert (u["official_total"], u["citizen_total"], u["difference"], u["level"], u["has_discrepancy"], u["note"]) == (90, 0, 0, "pending", False, denormalise.PENDING_NOTE)
+    assert {c["citizen_votes"] for c in u["candidates"]} == {p["citizen"] for p in u["parties"]} == {0} and [c["official_votes"] for c in u["candidates"]] == [20, 30, 40]
+    assert u["parties"][0].asDict() == {"name": "Two", "color": "#222", "candidate_id": "b", "candidate_name": "", "official": 20, "citizen": 0, "percent": 0.0, "rank": 1}
+    assert {k for k in u.asDict()} == {f.name for f in schemas.UNITS.fields}
     summary = {r["prov_id"]: r for r in denormalise.province_summary(stats_, provs).collect()}
     assert summary["10"]["units"] == 1 and summary["99"]["units"] == 0 and summary["99"]["province"] == "99"
     top = denormalise.national_parties(stats_, parties).collect()

@@ -6,8 +6,10 @@ Spark broadcasts the one row, where an unpartitioned window would gather all.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,26 @@ def rate(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(part, whole) * 100, digits)
 
 
+def exact_mean(x: Column, digits: int, scale: int = 8) -> Column:
+    """Mean of values of 0 or more as an aggregate, rounded half up, the same in any order of the rows.
+
+    Values count in whole units of 10 ** -scale, so that sums and rounding are exact.
+    """
+    units = F.floor(x * 10.0**scale + 0.5).cast("decimal(20,0)")
+    n, unit = F.count(x).cast("decimal(20,0)"), F.lit(10 ** (scale - digits)).cast("decimal(18,0)")
+    two = F.lit(2).cast("decimal(1,0)")
+    return F.call_function("div", two * F.sum(units) + n * unit, two * n * unit) / 10.0**digits
+
+
+def exact_deviation(x: Column, digits: int, scale: int = 4) -> Column:
+    """Sample deviation as an aggregate, rounded, from exact sums of values in units of 10 ** -scale; null below two values."""
+    units = F.floor(x * 10.0**scale + 0.5).cast("decimal(14,0)")
+    n = F.count(x).cast("decimal(10,0)")
+    spread = n * F.sum(units * units).cast("decimal(28,0)") - (F.sum(units) * F.sum(units)).cast("decimal(38,0)")
+    variance = F.try_divide(spread.cast("double"), (n * (n - F.lit(1).cast("decimal(1,0)"))).cast("double"))
+    return F.floor(F.sqrt(variance) / 10.0 ** (scale - digits) + 0.5) / 10.0**digits
+
+
 def z_score(x: Column, mean: Column, deviation: Column, digits: int = 2) -> Column:
     """Distance from the mean in deviations, rounded; 0 where nothing varies."""
     return F.round(F.when(deviation > 0, (x - mean) / deviation).otherwise(0.0), digits)
@@ -64,27 +86,44 @@ def clean(x: Column) -> Column:
     return F.when(F.isnan(x), None).otherwise(x)
 
 
-def fence_summary(df: DataFrame, value: str) -> DataFrame:
+FENCES = ("mean", "median", "stdev", "q1", "q3", "iqr", "lower_fence", "upper_fence", "total")
+
+
+def fence_summary(df: DataFrame, *values: str) -> DataFrame:
     """One row: mean, median, stdev, q1, q3, iqr, lower_fence, upper_fence, total of a rounded column.
 
-    Exact quartiles by linear interpolation.  They are gathered as counts of
-    distinct values, which rounding to two places keeps few; for raw measures
-    use :func:`exact_quantiles`.
+    With several columns these come in a struct for each, named like it, from one
+    pass.  Exact quartiles by linear interpolation.  They are gathered as counts of
+    distinct values, which rounding to two places keeps few for shares of a
+    whole; for measures without a bound use :func:`wide_fence_summary`.
     """
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    one = df.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"), q.alias("_q"), F.count(value).alias("total"))
-    q1, q2, q3 = (F.get("_q", F.lit(i)) for i in range(3))
-    return one.select(
-        "mean",
-        q2.alias("median"),
-        F.coalesce("stdev", F.lit(0.0)).alias("stdev"),
-        q1.alias("q1"),
-        q3.alias("q3"),
-        (q3 - q1).alias("iqr"),
-        (q1 - 1.5 * (q3 - q1)).alias("lower_fence"),
-        (q3 + 1.5 * (q3 - q1)).alias("upper_fence"),
-        "total",
-    )
+    parts = []
+    for i, value in enumerate(values):
+        q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        parts += [F.avg(value).alias(f"_mean{i}"), F.stddev_samp(value).alias(f"_sd{i}"), q.alias(f"_q{i}"), F.count(value).alias(f"_n{i}")]
+    one = df.agg(*parts)
+
+    def summary(i: int) -> list[Column]:
+        q1, q2, q3 = (F.get(f"_q{i}", F.lit(k)) for k in range(3))
+        found = (F.col(f"_mean{i}"), q2, F.coalesce(f"_sd{i}", F.lit(0.0)), q1, q3, q3 - q1, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1), F.col(f"_n{i}"))
+        return [c.alias(name) for c, name in zip(found, FENCES)]
+
+    return one.select(*summary(0)) if len(values) == 1 else one.select(*[F.struct(*summary(i)).alias(value) for i, value in enumerate(values)])
+
+
+def wide_fence_summary(df: DataFrame, value: str) -> DataFrame:
+    """:func:`fence_summary` of a column with any number of distinct values; its rows are read a few times."""
+    q1, q2, q3 = (F.lit(q).cast("double") for q in exact_quantiles(df, value, (0.25, 0.5, 0.75)))
+    one = df.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"), F.count(value).alias("total"))
+    found = (F.col("mean"), q2, F.coalesce("stdev", F.lit(0.0)), q1, q3, q3 - q1, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1), F.col("total"))
+    return one.select(*[c.alias(name) for c, name in zip(found, FENCES)])
+
+
+def outside(x: Column, low: float | None, high: float | None) -> Column:
+    """Whether a value lies beyond fences; a fence that is no number holds nothing off."""
+    below = F.lit(False) if low is None or math.isnan(low) else x < low
+    above = F.lit(False) if high is None or math.isnan(high) else (x > high) & ~F.isnan(x)
+    return below | above
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
@@ -93,37 +132,52 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[
     The order statistics are bracketed by histograms: each pass counts the values
     in a few thousand bins of every bracket and narrows it to one bin, until few
     distinct values are left.  Every pass is a partial aggregation with bounded
-    output.  Nulls and NaN are skipped; without values the quantiles are None.
+    output over the one column, which is kept meanwhile.  Infinities are counted
+    apart and are values like others: a quantile may be infinite, or NaN between
+    the two.  Nulls and NaN are skipped; without values the quantiles are None.
     """
-    values = df.select(clean(F.col(value).cast("double")).alias("x")).where("x is not null")
-    ends = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).first()
-    if not ends["n"]:
+    values = df.select(clean(F.col(value).cast("double")).alias("x")).where("x is not null").persist(StorageLevel.DISK_ONLY)
+    try:
+        return _quantiles(values, shares)
+    finally:
+        values.unpersist()
+
+
+def _quantiles(values: DataFrame, shares: Sequence[float]) -> list[float | None]:
+    x, inf = F.col("x"), float("inf")
+    finite = (x > -inf) & (x < inf)
+    ends = values.agg(F.min(F.when(finite, x)).alias("lo"), F.max(F.when(finite, x)).alias("hi"), F.count("*").alias("n"), F.count_if(x == -inf).alias("below"), F.count_if(x == inf).alias("above")).first()
+    n = ends["n"]
+    if not n:
         return [None] * len(shares)
-    wanted = sorted({int((ends["n"] - 1) * p) + k for p in shares for k in (0, 1) if int((ends["n"] - 1) * p) + k < ends["n"]})
-    found: dict[int, float] = {}
-    brackets = {(ends["lo"], ends["hi"], 0): wanted}  # (least, greatest, values below) -> ranks
+    wanted = sorted({int((n - 1) * p) + k for p in shares for k in (0, 1) if int((n - 1) * p) + k < n})
+    found = {r: -inf if r < ends["below"] else inf for r in wanted if r < ends["below"] or r >= n - ends["above"]}
+    ranks = [r for r in wanted if r not in found]
+    brackets = {(ends["lo"], ends["hi"], ends["below"]): ranks} if ranks else {}  # (least, greatest, values below) -> ranks
     while brackets:
         narrowed: dict[tuple, list[int]] = {}
         for (lo, hi, below), ranks in brackets.items():
-            inside = values.where((F.col("x") >= lo) & (F.col("x") <= hi))
-            width = (hi - lo) / QUANTILE_BINS
-            if lo == hi or not width > 0 or lo + width == lo:
-                bins = inside.groupBy("x").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
-            else:
-                bins = inside.groupBy(F.floor((F.col("x") - lo) / width).alias("x")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
+            inside = values.where((x >= lo) & (x <= hi))
+            width = hi / QUANTILE_BINS - lo / QUANTILE_BINS  # the difference itself may overflow
+            whole = lo == hi or not width > 0 or lo + width == lo
+            bin_ = x if whole else F.floor(F.least((x / width) - (lo / width), F.lit(float(QUANTILE_BINS))))
+            bins = inside.groupBy(bin_.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("z"))
             for row in sorted(bins.collect(), key=lambda r: r["a"]):
                 here = [r for r in ranks if below <= r < below + row["n"]]
-                if here and row["a"] == row["b"]:
+                if here and row["a"] == row["z"]:
                     found |= dict.fromkeys(here, row["a"])
                 elif here:
-                    narrowed[row["a"], row["b"], below] = here
+                    if (row["a"], row["z"]) == (lo, hi):
+                        raise ValueError("quantile bins don't part the values")
+                    narrowed[row["a"], row["z"], below] = here
                 below += row["n"]
         brackets = narrowed
     out = []
     for p in shares:
-        at = (ends["n"] - 1) * p
-        low = found[int(at)]
-        out.append(low if at == int(at) else low + (found[int(at) + 1] - low) * (at - int(at)))
+        at = (n - 1) * p
+        low, part = found[int(at)], at - int(at)
+        high = found[int(at) + 1] if part else low
+        out.append(low if low == high else low + (high - low) * part)
     return out
 
 

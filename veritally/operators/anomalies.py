@@ -8,7 +8,7 @@ only what an analysis needs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +27,13 @@ def rated(df: DataFrame, part: str, whole: str, name: str = "rate") -> DataFrame
     return df.where(F.col(whole) > 0).withColumn(name, stats.rate(F.coalesce(part, F.lit(0)), F.col(whole)))
 
 
-def fenced(df: DataFrame, value: str, two_sided: bool = False) -> DataFrame:
-    """Adds z, is_outlier and flag (low, high or normal) from the column's own fences."""
-    summary = stats.fence_summary(df, value).select("mean", "stdev", "lower_fence", "upper_fence")
+def fenced(df: DataFrame, value: str, two_sided: bool = False, wide: bool = False) -> DataFrame:
+    """Adds z, is_outlier and flag (low, high or normal) from the column's own fences.
+
+    ``wide``: the column is no share of a whole and may have any number of distinct values.
+    """
+    summary = stats.wide_fence_summary(df, value) if wide else stats.fence_summary(df, value)
+    summary = summary.select("mean", "stdev", "lower_fence", "upper_fence")
     x, low, high = F.col(value), F.col("lower_fence"), F.col("upper_fence")
     label = F.when(x > high, "high")
     label = (label.when(x < low, "low") if two_sided else label).otherwise("normal")
@@ -43,9 +47,24 @@ def rate_outliers(df: DataFrame, part: str, whole: str) -> DataFrame:
     return fenced(rated(df, part, whole), "rate").where("is_outlier")
 
 
-def fence_report(df: DataFrame, value: str, two_sided: bool = False) -> DataFrame:
+def rate_flags(df: DataFrame, parts: Mapping[str, str], whole: str, unit: str) -> DataFrame:
+    """Flags (see :func:`flags`) of several rates of one unit table over their upper fences.
+
+    ``parts``: category -> column.  All fences come from one aggregate, all flags from one pass.
+    """
+    rows = df.where(F.col(whole) > 0).select(unit, *[stats.rate(F.coalesce(part, F.lit(0)), F.col(whole)).alias(category) for category, part in parts.items()])
+    summary = stats.fence_summary(rows, *parts)
+    limits = summary.select(*[F.col("upper_fence" if len(parts) == 1 else f"{c}.upper_fence").alias(f"_{c}") for c in parts])
+    over = [F.when(F.col(c) > F.col(f"_{c}"), F.struct(F.lit(c).alias("category"), F.col(c).alias("rate"), F.lit(float(SEVERE[c])).alias("severe"))) for c in parts]
+    found = rows.crossJoin(F.broadcast(limits)).select(unit, F.explode(F.array_compact(F.array(*over))).alias("x")).select(unit, "x.*")
+    detail = F.concat("category", F.lit(" "), F.format_number("rate", 2), F.lit("%"))
+    severity = F.when(F.col("rate") > F.col("severe"), "high").otherwise("medium")
+    return found.select(F.col(unit).cast("string").alias("unit_id"), "category", F.lit("high").alias("flag"), F.col("rate").alias("value"), detail.alias("detail"), severity.alias("severity"))
+
+
+def fence_report(df: DataFrame, value: str, two_sided: bool = False, wide: bool = False) -> DataFrame:
     """One row: the summary of a rounded column, to two places, and how many rows are outliers."""
-    summary = stats.fence_summary(df, value)
+    summary = stats.wide_fence_summary(df, value) if wide else stats.fence_summary(df, value)
     outside = F.col(value) > F.col("upper_fence")
     outside = outside | (F.col(value) < F.col("lower_fence")) if two_sided else outside
     count = df.crossJoin(F.broadcast(summary)).agg(F.count_if(outside).alias("outlier_count"))
@@ -56,8 +75,9 @@ def fence_report(df: DataFrame, value: str, two_sided: bool = False) -> DataFram
 def leaders(candidates: DataFrame, unit: str, order: Sequence[Column], votes: str, name: str) -> DataFrame:
     """(unit, winner, winner_votes, second, second_votes, n_candidates, total_votes).
 
-    The two first of each unit in the given order; one pass with a partial
-    aggregation, no window: struct minima keep the first two.
+    The two first of each unit in the given order.  Spark limits each unit to two
+    rows before the shuffle of the window, and sums partially before that of the
+    totals, so that a unit with most of the rows is no hot group.
     """
     rank = Window.partitionBy(unit).orderBy(*order)
     first = candidates.withColumn("_r", F.row_number().over(rank)).where("_r <= 2")
@@ -137,21 +157,28 @@ def benford_test(df: DataFrame, value: str, least: float = 10, least_rows: int =
     return one.select("total", F.col("x").alias("chi_square"), F.lit(stats.CHI_SQUARE_5_PERCENT).alias("critical_value"), (F.col("x") < stats.CHI_SQUARE_5_PERCENT).alias("passes"), F.col("p").alias("p_value"), (F.col("p") > 0.05).alias("conforms"), meaning.alias("interpretation"), "valid")
 
 
-def province_patterns(units: DataFrame, province: str, winner: str, turnout_pct: str, invalid_rate: str, order: str) -> DataFrame:
+def province_patterns(units: DataFrame, province: str, winner: str, turnout_pct: str, invalid: str, turn_out: str, order: str) -> DataFrame:
     """Provinces that one party holds (three units or more) or, else, whose turnout varies widely.
 
-    The dominant party is the most frequent winner; ties go to the one seen
-    first in ``order``.  Units without a winner don't count.
+    Provinces that one party holds come first, those with the most units first.
+    The dominant party is the most frequent winner; ties go to the one seen first
+    in ``order``.  Units without a winner don't count there, but all units with
+    a turnout do in the averages: invalid rates unrounded, of units with a
+    positive ``turn_out``, and positive turnout percentages.  Provinces without a
+    winner are left out.  Averages are exact, whatever the order of the rows.
     """
     won = units.where(F.col(winner).isNotNull() & (F.col(winner) != ""))
     by_party = won.groupBy(province, winner).agg(F.count("*").alias("n"), F.min(order).alias("seen"))
     best = F.max_by(F.struct(F.col(winner).alias("party"), F.col("n").alias("count")), F.struct(F.col("n"), -F.col("seen")))
     parties = by_party.groupBy(province).agg(F.sum("n").alias("total_cons"), F.count("*").alias("unique_winners"), best.alias("best"))
     came = F.when(F.col(turnout_pct) > 0, F.col(turnout_pct))
-    rates = won.groupBy(province).agg(F.round(F.coalesce(F.avg(came), F.lit(0.0)), 1).alias("avg_turnout"), F.round(F.coalesce(F.stddev_samp(came), F.lit(0.0)), 1).alias("turnout_stdev"), F.round(F.avg(invalid_rate), 2).alias("avg_invalid_rate"))
+    share = F.when(F.col(turn_out) > 0, F.col(invalid) / F.col(turn_out) * 100)
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    rates = units.groupBy(province).agg(zero(stats.exact_mean(came, 1), "avg_turnout"), zero(stats.exact_deviation(came, 1), "turnout_stdev"), zero(stats.exact_mean(share, 2), "avg_invalid_rate"))
     pattern = F.when((F.col("unique_winners") == 1) & (F.col("total_cons") >= 3), "monopoly").when(F.col("turnout_stdev") > VARIATION, "high_variation")
     rows = parties.join(rates, province).withColumn("pattern", pattern).where("pattern is not null")
-    return rows.select(province, "pattern", "total_cons", "unique_winners", F.col("best.party").alias("dominant_party"), F.col("best.count").alias("dominant_count"), F.round(F.col("best.count") / F.col("total_cons") * 100, 1).alias("dominant_pct"), "avg_turnout", "turnout_stdev", "avg_invalid_rate")
+    rows = rows.select(province, "pattern", "total_cons", "unique_winners", F.col("best.party").alias("dominant_party"), F.col("best.count").alias("dominant_count"), F.round(F.col("best.count") / F.col("total_cons") * 100, 1).alias("dominant_pct"), "avg_turnout", "turnout_stdev", "avg_invalid_rate")
+    return rows.orderBy(F.desc(F.col("pattern") == "monopoly"), F.desc("total_cons"), province)
 
 
 def flags(outliers: DataFrame, category: str, unit: str, value: str, severity_on: str | None = None) -> DataFrame:
@@ -170,6 +197,12 @@ def all_flags(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def flag_lists(flags: DataFrame) -> DataFrame:
+    """(unit_id, flags): each unit's flags as structs in order; a unit has at most one of each analysis."""
+    own = F.struct("category", "flag", "value", "detail", "severity")
+    return flags.groupBy("unit_id").agg(F.array_sort(F.collect_list(own)).alias("flags"))
+
+
 def flags_by_unit(flags: DataFrame) -> DataFrame:
     """(unit_id, n_flags, categories, worst): categories in order, joined by commas.
 

@@ -6,14 +6,17 @@ left out; within a unit a candidate that one side lacks counts 0 there.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The names of the levels, from best to worst.
 LEVELS = ("IDENTICAL", "MINOR", "SIGNIFICANT", "CRITICAL")
 PROBLEMS = ("SIGNIFICANT", "CRITICAL")
+# Fixed value: votes over which a candidate's difference is suspicious.
+SUSPICIOUS = 10
 
 
 @dataclass(frozen=True)
@@ -37,23 +40,51 @@ POLICIES = {
 }
 
 
-def candidate_diff(official: DataFrame, citizen: DataFrame, unit: str = "unit_id", name: str = "name", votes: str = "votes") -> DataFrame:
-    """(unit, name, official_votes, citizen_votes, difference, status) of the units both sides have.
+def candidate_diff(official: DataFrame, citizen: DataFrame, unit: str = "unit_id", name: str = "name", votes: str = "votes", position: str | None = None) -> DataFrame:
+    """(unit, name, official_votes, citizen_votes, official_all, citizen_all, difference, status) of the units both sides have.
 
-    Repeated names are summed.  status: matching (equal, above 0), discrepant,
-    missing_in_official, missing_in_citizen or empty (0 on both sides).
+    A name that repeats within a unit counts with its last entry by ``position``
+    (without that column: with the sum), while official_all and citizen_all sum all
+    its entries for the unit's totals.  status: matching (equal, above 0),
+    discrepant, missing_in_official, missing_in_citizen or empty (0 on both sides).
     """
-    side = lambda df, c: df.groupBy(unit, name).agg(F.sum(F.coalesce(votes, F.lit(0))).alias(c))
-    a, b = side(official, "official_votes"), side(citizen, "citizen_votes")
-    both = a.select(unit).distinct().join(b.select(unit).distinct(), unit, "left_semi")
-    o, c = F.coalesce("official_votes", F.lit(0)), F.coalesce("citizen_votes", F.lit(0))
-    joined = a.join(b, [unit, name], "full_outer").join(both, unit, "left_semi")
-    rows = joined.select(unit, name, o.alias("official_votes"), c.alias("citizen_votes"))
+    at = F.col(position) if position else F.lit(0)
+    side = lambda df, is_official: df.select(unit, name, F.coalesce(votes, F.lit(0)).alias("_votes"), at.alias("_at"), F.lit(is_official).alias("_official"))
+    both = side(official, True).unionByName(side(citizen, False))
+    mine = lambda o, c: F.when(F.col("_official") == o, c)
+
+    def counted(o: bool) -> tuple[Column, Column, Column]:
+        total = F.coalesce(F.sum(mine(o, F.col("_votes"))), F.lit(0))
+        last = F.coalesce(F.max_by(mine(o, F.col("_votes")), mine(o, F.col("_at"))), F.lit(0)) if position else total
+        return last, total, F.count_if(F.col("_official") == o) > 0
+
+    (x, all_x, has_x), (y, all_y, has_y) = counted(True), counted(False)
+    rows = both.groupBy(unit, name).agg(x.alias("official_votes"), y.alias("citizen_votes"), all_x.alias("official_all"), all_y.alias("citizen_all"), has_x.alias("_x"), has_y.alias("_y"))
+    whole = Window.partitionBy(unit)
+    rows = rows.withColumn("_both", F.bool_or("_x").over(whole) & F.bool_or("_y").over(whole)).where("_both").drop("_x", "_y", "_both")
     x, y = F.col("official_votes"), F.col("citizen_votes")
     status = F.when((x == y) & (x > 0), "matching").when((x == 0) & (y > 0), "missing_in_official").when((y == 0) & (x > 0), "missing_in_citizen").when(x != y, "discrepant").otherwise("empty")
     return rows.withColumn("difference", F.abs(x - y)).withColumn("status", status)
 
 
+def discrepant_parties(diff: DataFrame, unit: str = "unit_id", name: str = "name") -> DataFrame:
+    """(unit, parties): each unit's differing candidates as structs by name, suspicious from SUSPICIOUS votes on; a ballot bounds them."""
+    own = F.struct(F.col(name).alias("name"), F.col("official_votes").alias("official"), F.col("citizen_votes").alias("citizen"), "difference", (F.col("difference") > SUSPICIOUS).alias("suspicious"))
+    return diff.where("official_votes <> citizen_votes").groupBy(unit).agg(F.array_sort(F.collect_list(own)).alias("parties"))
+
+
+def details(diff: DataFrame, unit: str = "unit_id", name: str = "name") -> DataFrame:
+    """(unit, matching, discrepant, missing_in_official, missing_in_citizen): names of each unit's candidates by outcome, in order."""
+    x, y = F.col("official_votes"), F.col("citizen_votes")
+    names = lambda c: F.array_sort(F.collect_list(F.when(c, F.col(name))))
+    return diff.groupBy(unit).agg(
+        names(F.col("status") == "matching").alias("matching"),
+        names(x != y).alias("discrepant"),
+        names(F.col("status") == "missing_in_official").alias("missing_in_official"),
+        names(F.col("status") == "missing_in_citizen").alias("missing_in_citizen"),
+    )
+
+
 def level(difference: Column, total: Column, missing: Column, policy: Policy = POLICIES["code"]) -> Column:
     """Severity of a difference of totals; equal totals are IDENTICAL whatever the candidates say."""
     percent = F.coalesce(F.try_divide(difference, total) * 100, F.lit(0.0))
@@ -71,8 +102,8 @@ def compare_units(diff: DataFrame, unit: str = "unit_id", policy: Policy = POLIC
     """A row for each unit of :func:`candidate_diff`: totals, difference, candidate_abs_diff, counts by status, level, level_rank."""
     is_ = lambda s: F.count_if(F.col("status") == s)
     units = diff.groupBy(unit).agg(
-        F.sum("official_votes").alias("official_total"),
-        F.sum("citizen_votes").alias("citizen_total"),
+        F.sum("official_all").alias("official_total"),
+        F.sum("citizen_all").alias("citizen_total"),
         F.sum("difference").alias("candidate_abs_diff"),
         is_("matching").alias("n_matching"),
         F.count_if(F.col("official_votes") != F.col("citizen_votes")).alias("n_discrepant"),
@@ -85,6 +116,13 @@ def compare_units(diff: DataFrame, unit: str = "unit_id", policy: Policy = POLIC
     return units.withColumn("level_rank", level_rank(F.col("level")))
 
 
+def policy_levels(units: DataFrame, policies: Mapping[str, Policy] = POLICIES) -> DataFrame:
+    """(policy, level, units): compared units classified by several policies in one pass."""
+    missing = F.col("n_missing_official") + F.col("n_missing_citizen")
+    each = [F.struct(F.lit(name).alias("policy"), level(F.col("difference"), F.col("official_total"), missing, p).alias("level")) for name, p in policies.items()]
+    return units.select(F.explode(F.array(*each)).alias("x")).groupBy("x.policy", "x.level").agg(F.count("*").alias("units"))
+
+
 def level_rank(level: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in LEVELS]), level).cast("int") - 1
 
@@ -101,6 +139,11 @@ def by_group(units: DataFrame, group: str) -> DataFrame:
     return units.groupBy(group).agg(F.count("*").alias("units"), F.count_if(F.col("level") == LEVELS[0]).alias("identical"), F.count_if(F.col("difference") > 0).alias("discrepancies"), F.count_if(F.col("level") == LEVELS[3]).alias("critical"))
 
 
+def level_members(units: DataFrame, unit: str = "unit_id") -> DataFrame:
+    """(level, unit, difference): the members of the groups of a chart by level, as rows; nest them at the sink."""
+    return units.select("level", unit, "difference")
+
+
 def level_groups(units: DataFrame) -> DataFrame:
     """(level, units, total_difference, largest): the groups of a chart by level."""
     return units.groupBy("level").agg(F.count("*").alias("units"), F.sum("difference").alias("total_difference"), F.max("difference").alias("largest"))

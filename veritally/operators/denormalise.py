@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # Defaults of the feeds.
 NO_COLOUR = "#999"
 NO_RANK = 999
+#: Note of a unit that only the official source has counted so far.
+PENDING_NOTE = "รอข้อมูลชุดที่สอง"
 
 
 def known_parties(parties: DataFrame) -> DataFrame:
@@ -72,11 +74,13 @@ def units(statistics: DataFrame, provinces_: DataFrame, parties: DataFrame, info
     """The unit table: a row for each counted constituency, with its labels, counts, winner and candidates.
 
     The winner is first by rank, not by votes.  A constituency's candidates are
-    gathered in an array of theirs; a ballot bounds it.
+    gathered in an array of theirs; a ballot bounds it.  parties lists the same
+    candidates under their parties' names.  The second source hasn't counted yet:
+    its votes and the difference are 0, the level is pending.
     """
     cons = constituencies(provinces(statistics))
     people = unit_candidates(cons, parties, candidates)
-    own = F.struct("place", "candidate_id", "name", "number", "party", "party_color", F.col("votes").alias("ect_votes"), F.col("votes").alias("vote62_votes"), "percent", "rank")
+    own = F.struct("place", "candidate_id", "name", "number", "party", "party_color", F.col("votes").alias("official_votes"), F.lit(0).cast("bigint").alias("citizen_votes"), "percent", "rank")
     listed = people.groupBy("unit_id").agg(F.array_sort(F.collect_list(own)).alias("candidates"))
     rows = cons.withColumnRenamed("cons_id", "unit_id").drop("candidates").join(listed, "unit_id", "left")
     rows = rows.join(info.select(F.col("cons_id").alias("unit_id"), "zone", "registered_vote", F.col("total_vote_stations").alias("total_stations")), "unit_id", "left")
@@ -89,8 +93,8 @@ def units(statistics: DataFrame, provinces_: DataFrame, parties: DataFrame, info
         "province",
         "prov_id",
         F.coalesce("zone", F.array().cast("array<string>")).alias("zone"),
-        F.coalesce("valid_votes", F.lit(0)).alias("ect_total"),
-        F.coalesce("valid_votes", F.lit(0)).alias("vote62_total"),
+        F.coalesce("valid_votes", F.lit(0)).alias("official_total"),
+        F.lit(0).cast("bigint").alias("citizen_total"),
         F.lit(0).cast("bigint").alias("difference"),
         F.lit("pending").alias("level"),
         n("turn_out"),
@@ -104,14 +108,26 @@ def units(statistics: DataFrame, provinces_: DataFrame, parties: DataFrame, info
         F.coalesce("percent_count", F.lit(0.0)).alias("percent_count"),
         F.coalesce("pause_report", F.lit(False)).alias("pause_report"),
         F.coalesce(first["party"], F.lit("")).alias("winner"),
-        F.coalesce(first["ect_votes"], F.lit(0)).alias("winner_votes"),
+        F.coalesce(first["official_votes"], F.lit(0)).alias("winner_votes"),
         F.coalesce(first["party_color"], F.lit(NO_COLOUR)).alias("winner_color"),
         F.lit(False).alias("has_discrepancy"),
-        F.lit("").alias("note"),
+        F.lit(PENDING_NOTE).alias("note"),
         F.coalesce(F.transform("candidates", lambda c: c.dropFields("place")), F.array()).alias("candidates"),
+        F.coalesce(F.transform("candidates", _as_party), F.array()).alias("parties"),
     )
 
 
+def _as_party(c: Column) -> Column:
+    names = {"party": "name", "party_color": "color", "candidate_id": "candidate_id", "name": "candidate_name", "official_votes": "official", "citizen_votes": "citizen", "percent": "percent", "rank": "rank"}
+    return F.struct(*[c[field].alias(name) for field, name in names.items()])
+
+
+def listed(units: DataFrame, field: str) -> DataFrame:
+    """A row for each entry of a unit's ``candidates`` or ``parties``: unit_id, place (from 1) and the entry's fields."""
+    rows = units.select("unit_id", F.posexplode(field).alias("place", "e"))
+    return rows.select("unit_id", (F.col("place") + 1).alias("place"), "e.*")
+
+
 def national_parties(statistics: DataFrame, parties: DataFrame, limit: int = 10) -> DataFrame:
     """The parties with the most constituency votes in the country: three sums, ties by id."""
     rows = provinces(statistics).select(F.explode("result_party").alias("r")).select("r.*")

@@ -73,13 +73,17 @@ def swings(now: DataFrame, before: DataFrame, key: str, votes: str = "votes") ->
 
 
 def swing_summary(swings: DataFrame) -> DataFrame:
-    """One row: count, mean, median, lower_fence, upper_fence and outliers of the swings."""
+    """One row: count, mean, median, lower_fence, upper_fence and outliers of the swings.
+
+    Infinite swings count: they may make the mean or a fence infinite; a fence
+    that is no number (between two infinities) makes no outliers.
+    """
     q1, q2, q3 = stats.exact_quantiles(swings, "swing_pct", (0.25, 0.5, 0.75))
     if q1 is None:
         q1 = q2 = q3 = float("nan")
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     s = F.col("swing_pct")
-    return swings.agg(F.count(s).alias("count"), F.avg(s).alias("mean"), F.lit(q2).alias("median"), F.lit(low).alias("lower_fence"), F.lit(high).alias("upper_fence"), F.count_if((s < low) | (s > high)).alias("outliers"))
+    return swings.agg(F.count(s).alias("count"), F.avg(s).alias("mean"), F.lit(q2).alias("median"), F.lit(low).alias("lower_fence"), F.lit(high).alias("upper_fence"), F.count_if(stats.outside(s, low, high)).alias("outliers"))
 
 
 def swing_outliers(swings: DataFrame) -> DataFrame:
@@ -87,5 +91,4 @@ def swing_outliers(swings: DataFrame) -> DataFrame:
     q1, q3 = stats.exact_quantiles(swings, "swing_pct", (0.25, 0.75))
     if q1 is None:
         return swings.limit(0)
-    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-    return swings.where((F.col("swing_pct") < low) | (F.col("swing_pct") > high))
+    return swings.where(stats.outside(F.col("swing_pct"), q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)))

@@ -29,7 +29,8 @@ def value_outliers(df: DataFrame, value: str) -> DataFrame:
         return df.withColumn("side", F.lit(None).cast("string")).limit(0)
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     x = F.col(value)
-    return df.withColumn("side", F.when(x < low, "low").when(x > high, "high")).where("side is not null")
+    side = F.when(stats.outside(x, low, None), "low").when(stats.outside(x, None, high), "high")
+    return df.withColumn("side", side).where("side is not null")
 
 
 def consistency_diff(first: DataFrame, second: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:

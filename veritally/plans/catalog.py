@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veritally.functions import stats
 from veritally.operators import anomalies, compare, dashboard, denormalise, statistics, verify
-from veritally.sources import scans
+from veritally.sources import scans, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,13 +112,13 @@ def _turnout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_outliers_sql(TURNOUT, "unit_id", two_sided=True))
 def turnout_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = anomalies.fenced(_turnout(spark, sf_dir), "rate", two_sided=True).where("is_outlier")
+    found = anomalies.fenced(_turnout(spark, sf_dir), "rate", two_sided=True, wide=True).where("is_outlier")
     return found.select("unit_id", "rate", "z", "flag").orderBy("z", "unit_id")
 
 
 @query(_report_sql(TURNOUT, two_sided=True))
 def turnout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies.fence_report(_turnout(spark, sf_dir), "rate", two_sided=True)
+    return anomalies.fence_report(_turnout(spark, sf_dir), "rate", two_sided=True, wide=True)
 
 
 @query(_report_sql(_rates_sql(CUSTOMERS, "invalid")))
@@ -160,6 +160,16 @@ def invalid_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.histogram(anomalies.rated(customer_units(spark, sf_dir), "invalid", "turn_out"), "rate", stats.EDGES["invalid"])
 
 
+@query(_histogram_sql(_rates_sql(CUSTOMERS, "blank"), stats.EDGES["blank"]))
+def blank_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(anomalies.rated(customer_units(spark, sf_dir), "blank", "turn_out"), "rate", stats.EDGES["blank"])
+
+
+@query(_histogram_sql(_rates_sql(PARTS, "wasted"), stats.EDGES["wasted"]))
+def wasted_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(anomalies.rated(part_units(spark, sf_dir), "wasted", "turn_out"), "rate", stats.EDGES["wasted"])
+
+
 # --- Winners and margins ------------------------------------------------------------------------
 # Unit: an order, its candidates: its lines, their votes: the quantity.
 
@@ -281,32 +291,46 @@ def benford_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Province: a customer, unit: an order, winner: its status, turnout: its lines' prices of its price, invalid: returned lines.
 
 
-@query("""with l as (select l_orderkey k, sum(l_extendedprice) came, count(*) n, count(*) filter (l_returnflag = 'R') r from lineitem group by 1),
-    u as (select o_custkey province, o_orderkey k, o_orderstatus winner, round(came / o_totalprice * 100, 2) t, round(r / n * 100, 2) i from orders join l on k = o_orderkey where o_orderstatus <> ''),
-    p as (select province, winner, count(*) n, min(k) seen from u group by 1, 2), b as (select *, row_number() over (partition by province order by n desc, seen) place from p),
+PROVINCES = """l as (select l_orderkey k, sum(l_extendedprice) came, count(*) n, count(*) filter (l_returnflag = 'R') r from lineitem group by 1),
+    u as (select o_custkey province, o_orderkey k, o_orderstatus winner, round(came / o_totalprice * 100, 2) t, r / n * 100 i from orders join l on k = o_orderkey),
+    p as (select province, winner, count(*) n, min(k) seen from u where winner <> '' group by 1, 2), b as (select *, row_number() over (partition by province order by n desc, seen) place from p),
     g as (select province, sum(n)::bigint total_cons, count(*) unique_winners, max(winner) filter (place = 1) dominant_party, max(n) filter (place = 1) dominant_count from b group by 1),
-    a as (select province, round(coalesce(avg(t) filter (t > 0), 0), 1) avg_turnout, round(coalesce(stddev_samp(t) filter (t > 0), 0), 1) turnout_stdev, round(avg(i), 2) avg_invalid_rate from u group by 1),
-    r as (select *, case when unique_winners = 1 and total_cons >= 3 then 'monopoly' when turnout_stdev > 10 then 'high_variation' end pattern, round(dominant_count / total_cons * 100, 1) dominant_pct from g join a using (province))
-    select province, pattern, total_cons, unique_winners, dominant_party, dominant_count, dominant_pct, avg_turnout, turnout_stdev, avg_invalid_rate from r where pattern is not null""")
-def province_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q as (select province, case when t > 0 then floor(t * 1e8 + 0.5)::bigint end t8, case when t > 0 then floor(t * 1e4 + 0.5)::hugeint end t4, floor(i * 1e8 + 0.5)::bigint i8 from u),
+    s as (select province, count(t8) n, sum(t8)::hugeint t8, sum(t4) t4, sum(t4 * t4) tt, count(i8) m, sum(i8)::hugeint i8 from q group by 1),
+    a as (select province, coalesce((2 * t8 + n * 10000000) // (2 * n * 10000000) / 10.0, 0.0) avg_turnout,
+      coalesce(case when n > 1 then floor(sqrt((n * tt - t4 * t4)::double / (n * (n - 1))::double) / 1e3 + 0.5) / 10.0 end, 0.0) turnout_stdev, coalesce((2 * i8 + m * 1000000) // (2 * m * 1000000) / 100.0, 0.0) avg_invalid_rate from s),
+    r as (select *, case when unique_winners = 1 and total_cons >= 3 then 'monopoly' when turnout_stdev > 10 then 'high_variation' end pattern, round(dominant_count / total_cons * 100, 1) dominant_pct from g join a using (province))"""
+
+
+def province_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("came"), F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("province"), F.col("o_orderstatus").alias("winner"), "o_totalprice")
-    units = orders.join(lines, "k").withColumn("t", stats.rate(F.col("came"), F.col("o_totalprice"))).withColumn("i", stats.rate(F.col("r"), F.col("n")))
-    return anomalies.province_patterns(units, "province", "winner", "t", "i", "k")
+    return orders.join(lines, "k").withColumn("t", stats.rate(F.col("came"), F.col("o_totalprice")))
+
+
+@query(f"with {PROVINCES} select province, pattern, total_cons, unique_winners, dominant_party, dominant_count, dominant_pct, avg_turnout, turnout_stdev, avg_invalid_rate from r where pattern is not null")
+def province_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomalies.province_patterns(province_units(spark, sf_dir), "province", "winner", "t", "r", "n", "k")
+
+
+@query(f"with {PROVINCES} select province, total_cons, dominant_party, row_number() over (order by total_cons desc, province) - 1 place from r where pattern = 'monopoly'")
+def monopoly_provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provinces of one party, those with the most units first, with their place in that order."""
+    rows = anomalies.province_patterns(province_units(spark, sf_dir), "province", "winner", "t", "r", "n", "k").where("pattern = 'monopoly'")
+    placed = stats.with_ordinal(rows.withColumn("_size", -F.col("total_cons")), "_size", ["province"], "place")
+    return placed.select("province", "total_cons", "dominant_party", F.col("place").cast("bigint").alias("place"))
 
 
 # --- Flags ----------------------------------------------------------------------------------------------
 
 
 def flag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units, parts = customer_units(spark, sf_dir), part_units(spark, sf_dir)
     dominant = anomalies.winner_dominance(races(spark, sf_dir)).where("is_extreme")
     return anomalies.all_flags(
         [
-            anomalies.flags(anomalies.fenced(_turnout(spark, sf_dir), "rate", two_sided=True).where("is_outlier"), "turnout", "unit_id", "rate", "z"),
-            anomalies.flags(anomalies.rate_outliers(units, "invalid", "turn_out"), "invalid", "unit_id", "rate"),
-            anomalies.flags(anomalies.rate_outliers(units, "blank", "turn_out"), "blank", "unit_id", "rate"),
-            anomalies.flags(anomalies.rate_outliers(parts, "wasted", "turn_out"), "wasted", "unit_id", "rate"),
+            anomalies.flags(anomalies.fenced(_turnout(spark, sf_dir), "rate", two_sided=True, wide=True).where("is_outlier"), "turnout", "unit_id", "rate", "z"),
+            anomalies.rate_flags(customer_units(spark, sf_dir), {"invalid": "invalid", "blank": "blank"}, "turn_out", "unit_id"),
+            anomalies.rate_flags(part_units(spark, sf_dir), {"wasted": "wasted"}, "turn_out", "unit_id"),
             anomalies.flags(dominant, "dominance", "unit_id", "winner_pct"),
         ]
     )
@@ -343,6 +367,14 @@ def flagged_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_table(spark, sf_dir).agg(F.count("*").alias("flags"), F.count_distinct("unit_id").alias("flagged_units"), F.count_distinct("category").alias("categories"))
 
 
+@query(f"""select unit_id, string_agg(category || ':' || flag || ':' || severity, ',' order by category, flag) flags, max("value") highest from ({FLAGS}) group by 1""")
+def unit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each unit's nested flags, written out."""
+    rows = anomalies.flag_lists(flag_table(spark, sf_dir))
+    text = F.transform("flags", lambda f: F.concat_ws(":", f["category"], f["flag"], f["severity"]))
+    return rows.select("unit_id", F.array_join(text, ",").alias("flags"), F.array_max(F.transform("flags", lambda f: f["value"])).alias("highest"))
+
+
 # --- Two sources -------------------------------------------------------------------------------------------
 # Unit: a supplier, candidates: brands, votes: quantity sold. The second source is made from the
 # first: more of Brand#1 by the supplier's number, no Brand#2 where it is divisible by 11.
@@ -391,7 +423,8 @@ def compared(spark: SparkSession, sf_dir: str, policy: str = "code") -> DataFram
 
 @query(f"""with {DIFF} select unit_id, name, official_votes, citizen_votes, difference, status from diff""")
 def compare_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.candidate_diff(*sources(spark, sf_dir))
+    diff = compare.candidate_diff(*sources(spark, sf_dir))
+    return diff.select("unit_id", "name", "official_votes", "citizen_votes", "difference", "status")
 
 
 @query(f"""with {DIFF} select unit_id, name, official_votes, citizen_votes, status from diff where status like 'missing%'""")
@@ -406,9 +439,7 @@ def compare_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(" union all ".join(f"""select '{p}' policy, "level", count(*) units from (with {_compared_sql(p)} select * from compared) group by 2""" for p in compare.POLICIES))
 def compare_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diff = compare.candidate_diff(*sources(spark, sf_dir))
-    rows = [compare.compare_units(diff, policy=p).groupBy("level").agg(F.count("*").alias("units")).select(F.lit(name).alias("policy"), "level", "units") for name, p in compare.POLICIES.items()]
-    return anomalies.all_flags(rows)
+    return compare.policy_levels(compared(spark, sf_dir))
 
 
 @query(
@@ -431,6 +462,38 @@ def level_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.level_groups(compared(spark, sf_dir))
 
 
+@query(f"""with {COMPARED} select "level", unit_id, difference from compared""")
+def level_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.level_members(compared(spark, sf_dir))
+
+
+@query(f"""with {COMPARED} select unit_id, difference > 0 has_discrepancy, case when "level" = 'CRITICAL' then 'high' end priority, case when difference > 0 then "level" || ': ' || format('{{:,}}', difference) || ' votes apart' end note from compared""")
+def unit_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.notes(compared(spark, sf_dir)).select("unit_id", "has_discrepancy", "priority", "note")
+
+
+@query(f"""with {DIFF} select unit_id, name, official_votes official, citizen_votes citizen, difference, difference > 10 suspicious from diff where official_votes <> citizen_votes""")
+def discrepant_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each unit's nested list of differing candidates, one row each."""
+    rows = compare.discrepant_parties(compare.candidate_diff(*sources(spark, sf_dir)))
+    return rows.select("unit_id", F.explode("parties").alias("p")).select("unit_id", "p.*")
+
+
+@query(f"""with {DIFF} select unit_id, count(*) filter (status = 'matching') matching, coalesce(string_agg(name, ',' order by name) filter (official_votes <> citizen_votes), '') discrepant,
+    coalesce(string_agg(name, ',' order by name) filter (status = 'missing_in_official'), '') missing_in_official, coalesce(string_agg(name, ',' order by name) filter (status = 'missing_in_citizen'), '') missing_in_citizen from diff group by 1""")
+def compare_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compare.details(compare.candidate_diff(*sources(spark, sf_dir)))
+    return rows.select("unit_id", F.size("matching").cast("bigint").alias("matching"), *[F.array_join(c, ",").alias(c) for c in ("discrepant", "missing_in_official", "missing_in_citizen")])
+
+
+@query(f"""with {COMPARED}, checks as (select 'critical' c, count(*) filter ("level" = 'CRITICAL') n from compared union all select 'missing', sum(n_missing_official + n_missing_citizen) from compared union all select 'uncounted', count(*) filter (official_total = 0) from compared)
+    select 'now' generated_at, count(*) checks, count(*) filter (n > 0) with_findings, string_agg(c, ',' order by c) filter (n > 0) names from checks""")
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of the comparison, and which of them found something."""
+    one = compared(spark, sf_dir).agg(F.count_if(F.col("level") == "CRITICAL").alias("critical"), F.sum(F.col("n_missing_official") + F.col("n_missing_citizen")).alias("missing"), F.count_if(F.col("official_total") == 0).alias("uncounted"))
+    return sinks.audit_report(one.unpivot([], ["critical", "missing", "uncounted"], "check", "findings"), "now")
+
+
 NATIONS = "places as (select s_suppkey unit_id, n_name province from supplier join nation on s_nationkey = n_nationkey)"
 
 
@@ -452,6 +515,12 @@ def level_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.level_filter(rows, "significant").select("unit_id", "province", "level", "difference")
 
 
+@query(f"""with {COMPARED}, {NATIONS} select unit_id, province, "level" from compared join places using (unit_id) where "level" in ('MINOR', 'SIGNIFICANT', 'CRITICAL') and province = 'NATION_3'""")
+def province_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compared(spark, sf_dir).join(places(spark, sf_dir), "unit_id")
+    return dashboard.level_filter(rows, "any", "NATION_3").select("unit_id", "province", "level")
+
+
 @query(f"""with {COMPARED} select case when difference = 0 then 'none' when difference < 100 then 'low' when difference < 1000 then 'medium' else 'high' end band,
     case "level" when 'IDENTICAL' then 'matching' else lower("level") end badge, count(*) units from compared group by 1, 2""")
 def diff_band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -627,6 +696,24 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.json_fields(table(spark, sf_dir, "events"), "props")
 
 
+@query("""select props, len(json_keys(props)) entries, count(*) n from events group by 1, 2""")
+def json_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("props", scans.entries("props").cast("bigint").alias("entries"))
+    return rows.groupBy("props", "entries").agg(F.count("*").alias("n"))
+
+
+@query("""select url, count(*) found from (select unnest(regexp_extract_all(html, '["'']([^"'']*(?:/th|/de)[^"'']*)["'']', 1)) url from pages) where length(url) < 150 group by 1""")
+def quoted_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted strings that hold one of some words, as addresses of stations and data files are found."""
+    return scans.addresses(table(spark, sf_dir, "pages"), "html", scans.quoted(("/th", "/de")))
+
+
+@query("""select url, 200 status from pages where page_id % 3 = 0""")
+def live_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes = table(spark, sf_dir, "pages").select("url", F.when(F.col("page_id") % 3 == 0, 200).otherwise(404).alias("status"))
+    return scans.live_endpoints(probes)
+
+
 @query("select distinct n_name from nation")
 def province_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.collated(table(spark, sf_dir, "nation"), "n_name")

@@ -8,19 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritally.sources import schemas
 
+# What addresses of counting stations and of data files hold.
+STATION_WORDS = ("station", "vote_station", "หน่วย")
+DATA_WORDS = ("/data/", "/records/", "/refs/")
+
 #: Feeds of an official count, and whether a run can do without.
 FEEDS = {"statistics": False, "provinces": False, "parties": False, "constituencies": True, "candidates": True}
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A document, or a list of records, that may span lines."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """A document, or a list of records, that may span lines; ``lines``: one object a line.
+
+    A file that may span lines is read by one task, a file of lines is split:
+    land large feeds as lines.  Fields that don't fit the schema are null.
+    """
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def read_json_list(spark: SparkSession, path: str, schema: T.StructType, *keys: str) -> DataFrame:
@@ -64,10 +72,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_units(spark: SparkSession, path: str) -> DataFrame:
-    """The unit table of a published document: its array ``units``, one row each."""
+def read_units(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The unit table of published documents: their arrays ``units``, one row each."""
     document = T.StructType([T.StructField("units", T.ArrayType(schemas.UNITS))])
-    return read_json(spark, path, document).select(F.explode("units").alias("u")).select("u.*")
+    return read_json(spark, path, document, lines).select(F.explode("units").alias("u")).select("u.*")
 
 
 def read_unit_list(spark: SparkSession, path: str) -> DataFrame:
@@ -75,16 +83,16 @@ def read_unit_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schemas.UNIT_LIST, enforceSchema=True)
 
 
-def read_unit_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_unit_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One source's unit documents, all of a folder in one scan."""
-    return spark.read.schema(schemas.UNIT_DOCUMENT).json(path, multiLine=True)
+    return read_json(spark, path, schemas.UNIT_DOCUMENT, lines)
 
 
 def exploded(documents: DataFrame) -> DataFrame:
-    """(unit_id, name, votes) of unit documents; missing names are ``unknown``, missing votes 0."""
+    """(unit_id, name, votes, position) of unit documents; missing names are ``unknown``, missing votes 0."""
     items = F.when(F.col("candidates").isNotNull(), F.col("candidates")).otherwise(F.col("parties"))
-    rows = documents.select("unit_id", F.explode(items).alias("c"))
-    return rows.select("unit_id", F.coalesce("c.name", F.lit("unknown")).alias("name"), F.coalesce("c.votes", F.lit(0)).alias("votes"))
+    rows = documents.select("unit_id", F.posexplode(items).alias("position", "c"))
+    return rows.select("unit_id", F.coalesce("c.name", F.lit("unknown")).alias("name"), F.coalesce("c.votes", F.lit(0)).alias("votes"), "position")
 
 
 def from_records(spark: SparkSession, rows: Iterable[Mapping], schema: T.StructType) -> DataFrame:
@@ -116,6 +124,16 @@ def json_fields(df: DataFrame, json: str) -> DataFrame:
     return df.select(F.explode(F.json_object_keys(json)).alias("field")).groupBy("field").agg(F.count("*").alias("rows"))
 
 
+def entries(json: str) -> Column:
+    """Entries of a JSON list, or keys of a JSON object; null for other values."""
+    return F.coalesce(F.json_array_length(json), F.size(F.json_object_keys(json)))
+
+
+def quoted(words: Iterable[str]) -> str:
+    """Pattern of a quoted string that holds one of ``words`` (see :func:`addresses`)."""
+    return "[\"']([^\"']*(?:" + "|".join(words) + ")[^\"']*)[\"']"
+
+
 def addresses(df: DataFrame, html: str, pattern: str = 'href="([^"]+)"', longest: int = 150) -> DataFrame:
     """(url, found): distinct matches of a pattern's group, shorter than ``longest``."""
     found = df.select(F.explode(F.regexp_extract_all(html, F.lit(pattern), 1)).alias("url"))

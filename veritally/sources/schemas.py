@@ -29,10 +29,10 @@ CONSTITUENCIES = record(cons_id=TEXT, total_vote_stations=LONG, registered_vote=
 CANDIDATES = record(mp_app_id=TEXT, mp_app_name=TEXT, mp_app_party_id=INT, mp_app_no=INT, image_url=TEXT)
 PROVINCES = record(prov_id=TEXT, province=TEXT)
 
-UNIT_CANDIDATE = record(candidate_id=TEXT, name=TEXT, number=INT, party=TEXT, party_color=TEXT, ect_votes=LONG, vote62_votes=LONG, percent=REAL, rank=INT)
-UNIT_PARTY = record(name=TEXT, color=TEXT, ect_votes=LONG, vote62_votes=LONG, percent=REAL, rank=INT, candidate=TEXT)
+UNIT_CANDIDATE = record(candidate_id=TEXT, name=TEXT, number=INT, party=TEXT, party_color=TEXT, official_votes=LONG, citizen_votes=LONG, percent=REAL, rank=INT)
+UNIT_PARTY = record(name=TEXT, color=TEXT, candidate_id=TEXT, candidate_name=TEXT, official=LONG, citizen=LONG, percent=REAL, rank=INT)
 UNITS = record(
-    unit_id=TEXT, constituency=TEXT, province=TEXT, prov_id=TEXT, zone=T.ArrayType(TEXT), ect_total=LONG, vote62_total=LONG, difference=LONG, level=TEXT,
+    unit_id=TEXT, constituency=TEXT, province=TEXT, prov_id=TEXT, zone=T.ArrayType(TEXT), official_total=LONG, citizen_total=LONG, difference=LONG, level=TEXT,
     turn_out=LONG, percent_turn_out=REAL, valid_votes=LONG, invalid_votes=LONG, blank_votes=LONG, registered_vote=LONG, total_stations=LONG,
     counted_stations=LONG, percent_count=REAL, pause_report=FLAG, winner=TEXT, winner_votes=LONG, winner_color=TEXT, has_discrepancy=FLAG, note=TEXT,
     candidates=T.ArrayType(UNIT_CANDIDATE), parties=T.ArrayType(UNIT_PARTY),

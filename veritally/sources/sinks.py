@@ -21,6 +21,12 @@ def land(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def nested(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Documents: a row for each of ``keys`` with its rows as structs in an array ``name``; for groups that fit in one document."""
+    own = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(*keys).agg(F.collect_list(own).alias(name))
+
+
 def keyed(df: DataFrame, key: str) -> DataFrame:
     """(key, json): each row as the JSON object that a map-shaped document holds under its key."""
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*[c for c in df.columns if c != key]), {"ignoreNullFields": "false"}).alias("json"))

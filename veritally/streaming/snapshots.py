@@ -16,9 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from veritally.sources import schemas
 
 
-def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """(unit_id, ts, candidates, parties) of the JSON files that land in a folder."""
-    rows = spark.readStream.schema(schemas.UNIT_DOCUMENT).json(folder, multiLine=True)
+def read_snapshots(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """(unit_id, ts, candidates, parties) of the JSON files that land in a folder; ``lines``: one object a line."""
+    rows = spark.readStream.schema(schemas.UNIT_DOCUMENT).json(folder, multiLine=not lines)
     return rows.withColumn("ts", F.to_timestamp("timestamp"))
 
 
@@ -34,6 +34,21 @@ def latest(totals: DataFrame) -> DataFrame:
     return totals.groupBy("unit_id").agg(F.max(F.struct("ts", "total")).alias("m")).select("unit_id", "m.ts", "m.total")
 
 
+def into_state(folder: str) -> Callable[[DataFrame, int], None]:
+    """For each micro-batch of totals: the latest of every unit so far, as the table ``folder``/<batch>.
+
+    A batch that is repeated writes its table again from that of the batch before.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark, seen = batch.sparkSession, batch
+        if number:
+            seen = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/{number - 1}"))
+        latest(seen).write.mode("overwrite").parquet(f"{folder}/{number}")
+
+    return each
+
+
 def changes(before: DataFrame, after: DataFrame, alert_over: int) -> DataFrame:
     """(unit_id, total_before, total_after, change, alert) of units in both snapshots that changed."""
     a, b = before.select("unit_id", F.col("total").alias("total_before")), after.select("unit_id", F.col("total").alias("total_after"))
