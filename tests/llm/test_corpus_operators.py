@@ -291,14 +291,74 @@ def test_measures_and_verdicts(frame, edges):
     assert quality_rules.judge(frame(edges).limit(0)).count() == 0
 
 
-def test_sketch_quartiles(spark):
+def test_sketches_merge(spark):
     from pyspark.sql import functions as F
 
     n = 5000
     measured = spark.range(n).select(F.lit("x").alias("lang"), F.lit(1).alias("n_words"), (F.col("id") + 1).alias("word_chars"), F.lit(0).alias("n_symbols"), F.lit(1).alias("n_lines"), F.lit(0).alias("n_dup_lines"), F.lit(0).alias("n_repeat_words"))
     parts = quality_rules.sketches(measured.where("id % 3 = 0"), ["lang"]).unionByName(quality_rules.sketches(measured.where("id % 3 > 0"), ["lang"]))
-    q = next(r for r in quality_rules.quartiles(parts, ["lang"]).collect() if r["measure"] == "word_length")
-    assert q["rows"] == n and q["q1"] == pytest.approx(n / 4, rel=0.02) and q["q3"] == pytest.approx(3 * n / 4, rel=0.02)
+    q = {r["measure"]: r for r in quality_rules.quantiles(parts, ["lang"]).collect()}
+    assert q["word_length"]["rows"] == n and q["word_length"]["q1"] == pytest.approx(n / 4, rel=0.02) and q["word_length"]["q2"] == pytest.approx(3 * n / 4, rel=0.02)
+    assert list(q) == ["word_length"]
+
+
+def brute_verdicts(docs):
+    """{doc_id: kept} and each group's quantiles, by sorting values in place of merging sketches."""
+    names = list(quality_rules.MEASURES)
+    counts = {d["doc_id"]: dict(zip(quality_rules.COUNTS, quality_rules.measure_text((d["text"] or "").encode()))) for d in docs}
+    failed = {i: c["n_words"] < 50 or 2 * c["n_repeat_words"] > c["n_words"] for i, c in counts.items()}
+
+    def value(i, m):
+        over, under = quality_rules.MEASURES[m][:2]
+        return counts[i][over] / counts[i][under] if counts[i][under] else None
+
+    def quantile(ids, m):
+        xs = sorted(binned(x) for i in ids if (x := value(i, m)))
+        return len(xs), [xs[max(0, math.ceil(p * len(xs)) - 1)] if xs else 0.0 for p in quality_rules.MEASURES[m][2]]
+
+    def binned(x):
+        width = math.log1p(quality_rules.BIN_GROWTH)
+        return 1e-9 * math.exp((math.floor(math.log(x / 1e-9) / width) + 0.5) * width)
+
+    by = {}
+    for d in docs:
+        if not failed[d["doc_id"]]:
+            for key in ((d["lang"], d["source"]), (d["lang"],), ()):
+                by.setdefault(key, []).append(d["doc_id"])
+    found = {(key, m): quantile(ids, m) for key, ids in by.items() for m in names}
+    prior, out, fences = quality_rules.PRIOR_ROWS, {}, {}
+    for d in docs:
+        i, key = d["doc_id"], (d["lang"], d["source"])
+        out[i] = not failed[i]
+        for m in names if out[i] else ():
+            (n, own), (k, wide), (z, every) = found[key, m], found[key[:1], m], found[(), m]
+            every = [e if m == "word_length" else e * z / (z + quality_rules.ZERO_ROWS) for e in every]
+            q = [(n * o + prior * (k * w + prior * e) / (k + prior)) / (n + prior) for o, w, e in zip(own, wide, every)]
+            fences[key, m] = tuple(q)
+            reach = 3 * max(q[1] - q[0], 0.02 * q[1]) * (math.sqrt(1 + 150 / counts[i]["n_words"]) if m == "word_length" else 1)
+            x = value(i, m) or 0.0
+            if x > q[1] + reach > 0 or m == "word_length" and x < q[0] - reach:
+                out[i] = False
+    return out, fences
+
+
+def test_verdicts_equal_brute_force(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    docs = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want, fences = brute_verdicts(docs)
+    rows = queries.op9_quality_rules(spark, sf).collect()
+    assert set(rows[0].asDict()) >= {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}
+    assert len(rows) == len(docs) and [r["doc_id"] for r in rows if r["kept"] != want[r["doc_id"]]] == []
+    assert any(not r["kept"] and not r["base_failed"] for r in rows)
+    measured = quality_rules.checkpoint(quality_rules.measure(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")))
+    limits = quality_rules.thresholds(measured.where("n_words >= 50 and 2 * n_repeat_words <= n_words")).collect()
+    for r in limits:
+        for m in quality_rules.MEASURES:
+            if r[f"{m}_q1"] is not None:
+                assert (r[f"{m}_q1"], r[f"{m}_q2"]) == pytest.approx(fences[(r["lang"], r["source"]), m], rel=0.021)
+    for m in ("word_length", "repeat_share"):
+        assert len({round(r[f"{m}_q2"], 9) for r in limits}) > 0.5 * len(limits)  # groups has fences of its own
+        assert all(r[f"{m}_spread"] == r[f"{m}_q2"] - r[f"{m}_q1"] for r in limits)  # the resolution binds nowhere
 
 
 def test_pipeline(spark, sf_dir):

@@ -4,9 +4,11 @@ Each document is measured once (counts of words, symbols, repeated lines and
 repeated three-word windows).  For every language and source a sketch of each
 measure is kept: counts of logarithmic bins, whose quantiles are right to a
 fixed relative error.  Sketches merge by adding counts, so they are plain
-partial aggregations; sources with few documents use their language's merged
-sketch, rare languages that of all documents.  The thresholds are fences around
-the quartiles; documents are joined with them and filtered.
+partial aggregations.  Thresholds are fences beyond two of the group's
+quantiles, by the distance between them; shares that are zero in most documents
+take upper quantiles of those above zero.  A group's quantiles are drawn to its
+language's, these to those of all documents, and these to zero for the shares,
+the more the fewer documents they come from.  Documents are joined with the thresholds and filtered.
 """
 
 from __future__ import annotations
@@ -26,16 +28,20 @@ SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 #: Relative error of a sketch's quantiles is about half of this.
 BIN_GROWTH = 0.02
-#: Groups with fewer measured documents use the wider group's sketch.
-LEAST_ROWS = 200
-#: Fences lie so many interquartile ranges beyond the quartiles.
+#: Documents that the wider group's quantiles count as beside those of the group.
+PRIOR_ROWS = 100.0
+#: Documents with a share of zero that all documents' quantiles of shares above zero are drawn to: what hardly any document has is not usual.
+ZERO_ROWS = 10.0
+#: Fences lie so many times the distance of the two quantiles beyond them.
 REACH = 3.0
-#: measure -> (numerator, denominator, least spread taken for the interquartile range, two-sided).
+#: A document of so many words has its mean word length's fences wider by the square root of two; long documents by nothing.
+FEW_WORDS = 150.0
+#: measure -> (numerator, denominator, the quantiles of its values above zero, two-sided).
 MEASURES = {
-    "word_length": ("word_chars", "n_words", 0.6, True),
-    "symbol_share": ("n_symbols", "n_words", 0.08, False),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.12, False),
-    "repeat_share": ("n_repeat_words", "n_words", 0.12, False),
+    "word_length": ("word_chars", "n_words", (0.25, 0.75), True),
+    "symbol_share": ("n_symbols", "n_words", (0.75, 0.95), False),
+    "dup_line_share": ("n_dup_lines", "n_lines", (0.75, 0.95), False),
+    "repeat_share": ("n_repeat_words", "n_words", (0.75, 0.95), False),
 }
 #: Threshold rows up to which they are broadcast; beyond, Spark shuffles and splits skew.
 BROADCAST_GROUPS = 20_000
@@ -110,33 +116,44 @@ def sketches(measured: DataFrame, groups: list[str]) -> DataFrame:
     return long.groupBy(*groups, "measure", bins.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, measure, rows, q1, q3) from sketches; merging is a sum over bins."""
-    merged = sketch.groupBy(*groups, "measure", "bin").agg(F.sum("n").alias("n"))
+def quantiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, measure, rows, q1, q2) of the values above zero, from sketches; merging is a sum over bins."""
+    merged = sketch.where("bin > 0").groupBy(*groups, "measure", "bin").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy(*groups, "measure")
     ranked = merged.withColumn("rows", F.sum("n").over(whole)).withColumn("upto", F.sum("n").over(whole.orderBy("bin")))
-    middle = F.when(F.col("bin") == 0, 0.0).otherwise(F.lit(1e-9) * F.exp((F.col("bin") - 0.5) * math.log1p(BIN_GROWTH)))
+    middle = F.lit(1e-9) * F.exp((F.col("bin") - 0.5) * math.log1p(BIN_GROWTH))
 
-    def quantile(p: float) -> Column:
-        return F.min(F.when(F.col("upto") >= p * F.col("rows"), middle))
+    def quantile(i: int) -> Column:
+        share = F.element_at(F.create_map(*[F.lit(x) for m, (_, _, shares, _) in MEASURES.items() for x in (m, shares[i])]), F.col("measure"))
+        return F.min(F.when(F.col("upto") >= share * F.col("rows"), middle))
 
-    return ranked.groupBy(*groups, "measure").agg(F.max("rows").alias("rows"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
+    return ranked.groupBy(*groups, "measure").agg(F.max("rows").alias("rows"), quantile(0).alias("q1"), quantile(1).alias("q2"))
 
 
 def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high) for each language and source of ``measured``."""
+    """(lang, source, <measure>_q1, <measure>_q2, <measure>_spread) for each language and source of ``measured``.
+
+    The spread is the distance of the quantiles, at least the sketch's resolution.
+    A measure that is zero in all documents has nulls: it holds nothing off.
+    """
     sketch = checkpoint(sketches(measured, [lang, source]))
-    own = quartiles(sketch, [lang, source])
-    wide = quartiles(sketch, [lang]).select(F.col(lang).alias("_lang"), F.col("measure").alias("_m1"), *[F.col(c).alias(f"lang_{c}") for c in ("rows", "q1", "q3")])
-    every = quartiles(sketch, []).select(F.col("measure").alias("_m2"), F.col("q1").alias("all_q1"), F.col("q3").alias("all_q3"))
-    joined = own.join(wide, own[lang].eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_m1"))).join(F.broadcast(every), F.col("measure") == F.col("_m2"))
-    pick = lambda q: F.when(F.col("rows") >= LEAST_ROWS, F.col(q)).when(F.col("lang_rows") >= LEAST_ROWS, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-    spread = F.create_map(*[F.lit(x) for m, (_, _, least, _) in MEASURES.items() for x in (m, least)])[F.col("measure")]
-    fenced = joined.select(lang, source, "measure", pick("q1").alias("q1"), pick("q3").alias("q3"), spread.alias("least"))
-    reach = REACH * F.greatest(F.col("q3") - F.col("q1"), F.col("least"))
-    fenced = fenced.select(lang, source, "measure", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    named = lambda df, name, *keys: df.select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], F.col("measure").alias(f"_{name}"), *[F.col(c).alias(f"{name}_{c}") for c in ("rows", "q1", "q2")])
+    groups = sketch.select(lang, source, "measure").distinct()
+    own, wide, every = named(quantiles(sketch, [lang, source]), "own", lang, source), named(quantiles(sketch, [lang]), "wide", lang), named(quantiles(sketch, []), "every")
+    joined = groups.join(own, groups[lang].eqNullSafe(F.col(f"_own_{lang}")) & groups[source].eqNullSafe(F.col(f"_own_{source}")) & (F.col("measure") == F.col("_own")), "left")
+    joined = joined.join(wide, joined[lang].eqNullSafe(F.col(f"_wide_{lang}")) & (F.col("measure") == F.col("_wide")), "left").join(F.broadcast(every), F.col("measure") == F.col("_every"), "left")
+
+    def drawn(rows: str, q: Column, wider: Column) -> Column:
+        n = F.coalesce(rows, F.lit(0))
+        return (n * F.coalesce(q, F.lit(0.0)) + PRIOR_ROWS * wider) / (n + PRIOR_ROWS)
+
+    both = F.col("measure").isin(*[m for m, (*_, both) in MEASURES.items() if both])
+    usual = lambda q: F.col(f"every_{q}") * F.when(both, 1.0).otherwise(F.col("every_rows") / (F.col("every_rows") + ZERO_ROWS))
+    fence = lambda q: drawn("own_rows", F.col(f"own_{q}"), drawn("wide_rows", F.col(f"wide_{q}"), usual(q)))
+    fenced = joined.select(lang, source, "measure", fence("q1").alias("q1"), fence("q2").alias("q2"))
+    fenced = fenced.withColumn("spread", F.greatest(F.col("q2") - F.col("q1"), BIN_GROWTH * F.col("q2")))
     one = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
-    return fenced.groupBy(lang, source).agg(*[one(m, c) for m in MEASURES for c in ("low", "high")])
+    return fenced.groupBy(lang, source).agg(*[one(m, c) for m in MEASURES for c in ("q1", "q2", "spread")])
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -145,7 +162,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     base_failed: fewer than 50 words, or over half of them in repeated windows.
     The sketches cover every document that passes the base rules; a document is
     kept if it passes them and lies within the fences of its language and
-    source.  Null languages and sources form groups of their own; a null or
+    source: REACH spreads beyond their quantiles, those of the mean word length
+    wider for documents of few words, whose mean scatters.  Null languages and sources form groups of their own; a null or
     empty text has zero counts and fails the base rules.  Repeated rows each
     count and get the same verdict; an empty table gives an empty one.  Columns
     of ``docs`` other than the four named are ignored.
@@ -159,8 +177,9 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     joined = measured.join(F.broadcast(limits) if small else limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     broken = []
     for m, (_, _, _, both) in MEASURES.items():
-        outside = _value(m) > F.col(f"{m}_high")
-        outside = outside | (_value(m) < F.col(f"{m}_low")) if both else outside
+        reach = REACH * F.col(f"{m}_spread") * (F.sqrt(1 + FEW_WORDS / F.col("n_words")) if both else 1.0)
+        outside = _value(m) > F.col(f"{m}_q2") + reach
+        outside = outside | (_value(m) < F.col(f"{m}_q1") - reach) if both else outside
         broken.append(F.when(outside, F.lit(m)))
     rules = F.array_compact(F.array(*broken))
     return joined.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & (F.size(rules) == 0)).alias("kept"), rules.alias("rules_broken"))
