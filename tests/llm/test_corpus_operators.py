@@ -134,8 +134,14 @@ def brute_components(prints, distance=3):
     return label
 
 
-@pytest.mark.parametrize("hot_cell", [simhash.HOT_CELL, 2])
-def test_links_equal_brute_force(spark, hot_cell):
+def test_groups_follow_from_the_number_of_fingerprints():
+    found = {n: simhash.groups_for(n, 3) for n in (10, 10**6, 10**7, 10**8, 10**9, 10**12)}
+    assert found[10] == found[10**6] == 5 and found[10**7] == 6 and 7 <= found[10**8] <= found[10**9] <= found[10**12] == 9
+    assert [len(simhash.grids(3, g)) for g in (5, 6, 8, 9)] == [10, 20, 56, 84]
+
+
+@pytest.mark.parametrize("hot_cell, groups", [(simhash.HOT_CELL, None), (simhash.HOT_CELL, 6), (simhash.HOT_CELL, 8), (2, None), (4, 6), (4, 8), (12, 5)])
+def test_links_equal_brute_force(spark, hot_cell, groups):
     r = np.random.default_rng(5)
     prints = {0, (1 << 64) - 1}
     for base in r.integers(0, 1 << 63, 12).tolist():
@@ -146,7 +152,7 @@ def test_links_equal_brute_force(spark, hot_cell):
             prints.add(x)
     prints = sorted(prints)
     df = spark.createDataFrame([(simhash._signed(x),) for x in prints], "fp long")
-    links = simhash.near_links(df, 3, hot_cell).collect()
+    links = simhash.near_links(df, 3, hot_cell, groups).collect()
     unsigned = lambda x: x % (1 << 64)
     assert all(1 <= (unsigned(a["u"]) ^ unsigned(a["v"])).bit_count() <= 3 for a in links)
     label = {x: x for x in prints}
@@ -159,6 +165,17 @@ def test_links_equal_brute_force(spark, hot_cell):
     assert groups([label[x] for x in prints]) == groups(want)
 
 
+def test_query_of_near_duplicates(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ids = sorted(docs)
+    prints = [brute_fingerprint(docs[i]) for i in ids]
+    label = brute_components(prints)
+    rows = {r["doc_id"]: r for r in queries.op5_simhash_near_dedup(spark, sf_dir).collect()}
+    assert sorted(rows) == ids
+    for k, i in enumerate(ids):
+        assert (rows[i]["fingerprint"], rows[i]["component_id"]) == (f"{prints[k]:016x}", ids[label[k]])
+
+
 def test_near_duplicates_of_edges(frame, edges):
     small = [e for e in edges if e[0] != 5]
     got = simhash.near_duplicates(frame(small)).collect()

@@ -6,11 +6,13 @@ distance of the fingerprints, so it is a safe filter.  Written in unary (each
 segment's bits sorted), the counts fit in 64 bits again and their Manhattan
 distance is ``bit_count(a ^ b)``.
 
-Grid range join within distance r: the 32 coordinates fall into r + 2 groups.
-A pair within r differs in at most r groups, so it agrees on at least two and
-meets in the grid cell of those two groups' counts.  Cells are joined by
-equality, the range condition and the exact Hamming distance are part of the
-join condition, so only true links leave it.
+Grid range join within distance r: the 32 coordinates fall into g groups.  A pair
+within r differs in at most r groups, so it agrees on at least g - r and meets in
+the grid cell of those groups' counts.  Cells are joined by equality, the range
+condition and the exact Hamming distance are part of the join condition, so only
+true links leave it.  g follows from the number of fingerprints, so that cells
+don't grow with it; a cell that is crowded all the same is cut by a second grid
+over the coordinates that the first leaves open.
 """
 
 from __future__ import annotations
@@ -31,8 +33,12 @@ SEGMENTS = 32
 LOW_BITS = 0x5555555555555555
 #: Hashes whose bits are counted at once (8 MB of unpacked bits).
 BLOCK = 1 << 17
-#: Above so many fingerprints a grid cell goes the way of :func:`_ball_links`.
+#: A grid cell with more fingerprints is cut by a second grid; what is crowded even then goes the way of :func:`_ball_links`.
 HOT_CELL = 2048
+#: Fingerprints that the likeliest cell should hold at most, by chance.
+CELL_ROWS = 512
+#: Groups of coordinates at most.
+MOST_GROUPS = 9
 
 
 def _signed(x: int) -> int:
@@ -77,11 +83,26 @@ def _embedded(fp: Column) -> Column:
     return fp.bitwiseOR(shifted).bitwiseAND(mask).bitwiseOR(F.shiftleft(fp.bitwiseAND(shifted).bitwiseAND(mask), 1))
 
 
-def grid_masks(distance: int) -> list[int]:
-    """For each pair of coordinate groups, the mask of their segments."""
-    groups = np.array_split(np.arange(SEGMENTS), distance + 2)
-    masks = [sum(3 << (2 * int(s)) for s in g) for g in groups]
-    return [_signed(a | b) for a, b in combinations(masks, 2)]
+def _mask(segments) -> int:
+    return sum(3 << (2 * int(x)) for x in segments)
+
+
+def grids(distance: int, groups: int, segments=range(SEGMENTS)) -> list[np.ndarray]:
+    """The segments of each grid: all choices of ``groups - distance`` of the groups."""
+    parts = np.array_split(np.array(segments), groups)
+    return [np.sort(np.concatenate(chosen)) for chosen in combinations(parts, groups - distance)]
+
+
+def groups_for(fingerprints: int, distance: int) -> int:
+    """The fewest groups of coordinates with which no cell is crowded by chance.
+
+    The count of a two-bit segment is 1 for half of all fingerprints, so of n the
+    likeliest cell of a grid over s segments holds n / 2 ** s.
+    """
+    for groups in range(distance + 2, max(distance + 2, MOST_GROUPS) + 1):
+        if fingerprints / 2 ** min(map(len, grids(distance, groups))) <= CELL_ROWS:
+            break
+    return groups
 
 
 def _ball_links(hot: DataFrame, distance: int) -> DataFrame:
@@ -107,36 +128,57 @@ def _ball_links(hot: DataFrame, distance: int) -> DataFrame:
     return ball(large).join(stands, "key").where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v")).distinct()
 
 
-def near_links(fingerprints: DataFrame, distance: int = 3, hot_cell: int = HOT_CELL) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column ``fp``) that differ in 1 to ``distance`` bits.
+def _cells(rows: DataFrame, grid: Column, masks: Column) -> DataFrame:
+    """(fp, e, first, cell): each fingerprint in its cell of each grid.  ``grid``: what tells the grids' sets apart."""
+    e = F.col("e")
+    own = rows.select("fp", "e", grid.alias("_set"), F.posexplode(F.transform(masks, lambda m: e.bitwiseAND(m))).alias("grid", "key"))
+    return own.select("fp", "e", "grid", F.xxhash64("_set", "grid", "key").alias("cell"))
 
-    Every link of a cell with at most ``hot_cell`` fingerprints is returned.  The
-    fingerprints of a larger cell are linked exactly too, but through common
-    keys (see :func:`_ball_links`), so that a huge group of near copies costs a
-    fixed number of rows each, not all pairs; there the links returned connect
-    what all links would connect.
-    """
-    masks = grid_masks(distance)
-    e = _embedded(F.col("fp"))
-    cells = fingerprints.select("fp", e.alias("e")).select(
-        "fp", "e", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell")
-    )
-    crowded = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > hot_cell)
-    crowded = checkpoint(crowded.select("grid", "cell"))
-    hot = None
-    if not crowded.isEmpty():
-        hot = cells.join(crowded, ["grid", "cell"], "left_semi").select("fp").distinct()
-        cells = cells.join(crowded, ["grid", "cell"], "left_anti")
+
+def _split(cells: DataFrame, hot_cell: int) -> tuple[DataFrame, DataFrame | None]:
+    """(cells with at most ``hot_cell`` fingerprints, the others or None)."""
+    crowded = checkpoint(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot_cell).select("cell"))
+    if crowded.isEmpty():
+        return cells, None
+    return cells.join(crowded, "cell", "left_anti"), cells.join(crowded, "cell", "left_semi")
+
+
+def _within(cells: DataFrame, distance: int) -> DataFrame:
+    """Links (u, v) of fingerprints that share a cell; cells are told apart by a hash, which can only add pairs to compare."""
     a, b = cells.alias("a"), cells.alias("b")
-    links = a.join(
+    return a.join(
         b,
-        (F.col("a.grid") == F.col("b.grid"))
-        & (F.col("a.cell") == F.col("b.cell"))
+        (F.col("a.cell") == F.col("b.cell"))
         & (F.col("a.fp") < F.col("b.fp"))
         & (F.bit_count(F.col("a.e").bitwiseXOR(F.col("b.e"))) <= distance)
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance),
     ).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    return links if hot is None else links.unionByName(_ball_links(hot, distance))
+
+
+def near_links(fingerprints: DataFrame, distance: int = 3, hot_cell: int = HOT_CELL, groups: int | None = None) -> DataFrame:
+    """Links (u, v) between distinct fingerprints (column ``fp``) that differ in 1 to ``distance`` bits.
+
+    A fingerprint is written once for each grid: C(g, distance) rows, 84 at most
+    for distance 3, and for each crowded cell that it lies in once for each of a
+    second grid's C(distance + 2, 2).  Every link of a cell with at most
+    ``hot_cell`` fingerprints is returned.  The fingerprints of a cell that is
+    crowded even in the second grid are linked exactly too, but through common
+    keys (see :func:`_ball_links`), so that a huge group of near copies costs a
+    fixed number of rows each, not all pairs; there the links returned connect
+    what all links would connect.
+    """
+    groups = groups or groups_for(fingerprints.count(), distance)
+    first = grids(distance, groups)
+    literal = lambda sets: F.array(*[F.lit(_signed(_mask(x))) for x in sets])
+    rows = fingerprints.select("fp", _embedded(F.col("fp")).alias("e"))
+    cells, hot = _split(_cells(rows, F.lit(0), literal(first)), hot_cell)
+    links = _within(cells, distance)
+    if hot is None:
+        return links
+    second = F.array(*[literal(grids(distance, distance + 2, np.setdiff1d(np.arange(SEGMENTS), x))) for x in first])
+    cells, hot = _split(_cells(hot, F.col("cell"), F.get(second, F.col("grid"))), hot_cell)
+    links = links.unionByName(_within(cells, distance))
+    return links if hot is None else links.unionByName(_ball_links(hot.select("fp").distinct(), distance))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, shingle_words: int = 3, hot_cell: int = HOT_CELL) -> DataFrame:
