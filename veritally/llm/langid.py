@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,37 +41,38 @@ LONG_GRAMS = 200
 UNLIKE = 0.99
 
 
-def _letter_classes() -> np.ndarray:
-    """Byte -> byte: A-Z lowered, other ASCII that is no letter a space."""
-    out = np.arange(256, dtype=np.uint8)
-    for b in range(128):
-        out[b] = ord(chr(b).lower()) if chr(b).isalpha() else 32
-    return out
+#: Byte -> byte: ASCII that is no letter a space.
+CLASSES = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
+NO_LETTER, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
-CLASSES = _letter_classes()
+def letters(word: bytes) -> bytes:
+    """A word in lower case with a space for what is no letter (nor a mark on one) by its Unicode category."""
+    if word.isascii():
+        return word.lower()
+    text = NO_LETTER.sub(" ", word.decode("utf-8", "replace").lower())
+    return text.encode() if LETTER.search(text) else b" "
 
 
 def word_grams(words: list[bytes]):
     """Yields for each n: (bucket of each n-gram of letters, its word's number).
 
-    n-grams are runs of n bytes of a word between two boundaries, which count as
+    Letters are those of Unicode, in lower case.  n-grams are runs of n bytes of a word between two boundaries, which count as
     a byte; what is no letter is a boundary.  Numbers ascend.
     """
+    words = [*map(letters, words)]
     raw = np.frombuffer(b" ".join([b"", *words, b""]), np.uint8)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     word = np.repeat(np.arange(-1, len(words)), np.concatenate(([1], lengths + 1)))
-    letters = CLASSES[raw]
-    capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)  # of Latin-1
-    letters[1:][capital] += 32
-    gap = letters == 32
+    codes = CLASSES[raw]
+    gap = codes == 32
     for n in GRAMS:
-        size = len(letters) - n + 1
+        size = len(codes) - n + 1
         if size <= 0:
             return
         code = np.full(size, n, np.uint32)
         for k in range(n):
-            code = code * np.uint32(16777619) + letters[k : size + k]
+            code = code * np.uint32(16777619) + codes[k : size + k]
         valid = ~gap[:size] if n == 1 else np.ones(size, bool)
         for k in range(1, n - 1):
             valid &= ~gap[k : size + k]
