@@ -11,6 +11,7 @@ product, and its nearest neighbours vote with their similarity as weight.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritally.llm.samples import bounded_sample, sample_texts
-from veritally.llm.words import Features, blocks, raw_texts
+from veritally.llm.words import BLOCK_BYTES, Features, blocks, raw_texts
 
 WORD_TERMS = 1536
 SHAPE_TERMS = 504
 #: A term for each share of repeated windows that a text reaches.
-LEVELS = (0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9)
+LEVELS = np.array([0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9])
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 TERMS = WORD_TERMS + SHAPE_TERMS + len(LEVELS)
 #: Weight of shapes and levels against words, of which there are many more.
 STRENGTH = np.repeat(np.float32([1, 2, 3]), (WORD_TERMS, SHAPE_TERMS, len(LEVELS)))
@@ -36,40 +38,65 @@ SHAPES = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >=
 SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
-def _shape(word: bytes) -> bytes:
-    s = word[:256].translate(SHAPES)
-    return bytes(c for i, c in enumerate(s) if not i or c != s[i - 1])
+RUN = re.compile(rb"(.)\1+", re.S)
 
 
 def word_terms(words: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(words), 2), np.int32)
+    """Of each word the term of its letters, that of its shape (runs folded) and a hash."""
+    out = np.zeros((len(words), 3), np.int64)
     for i, w in enumerate(words):
         out[i, 0] = xxhash.xxh32_intdigest(w.translate(None, SIGNS).lower(), 1) % WORD_TERMS
-        out[i, 1] = WORD_TERMS + xxhash.xxh32_intdigest(_shape(w), 2) % SHAPE_TERMS
+        out[i, 1] = WORD_TERMS + xxhash.xxh32_intdigest(RUN.sub(rb"\1", w.translate(SHAPES)), 2) % SHAPE_TERMS
+        out[i, 2] = xxhash.xxh64_intdigest(w, 3) >> 1
     return out
 
 
+def _windows(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each three-word window, of the words' hashes."""
+    a, b, c = hashes[:-2].view(np.uint64), hashes[1:-1].view(np.uint64), hashes[2:].view(np.uint64)
+    return ((a * GOLDEN + b) * GOLDEN + c) * GOLDEN
+
+
+def _levels(once: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Counts of the level terms: a text's words for each level that its share of repeated windows reaches."""
+    repeated = 1 - once / np.maximum(windows, 1)
+    return np.where((windows > 0)[:, None] & (repeated[:, None] >= LEVELS), lengths[:, None], 0)
+
+
 def count_terms(texts: list[bytes], features: Features) -> Iterator[tuple[int, np.ndarray]]:
-    """Yields (first, term counts of a run of texts); long texts come in several parts."""
-    for first, words, lengths in blocks(texts, lower=False):
+    """Yields (first, term counts of a run of texts), each text once.
+
+    A long text is counted in parts that are added up; its windows are gathered
+    over all parts, so that its share of repeated ones is that of the whole text.
+    """
+    held, parts, size, at = np.zeros((1, TERMS), np.float32), [], 0, -1
+    for first, words, lengths in blocks(texts, lower=False, overlap=2):
+        if at >= 0 and first != at:
+            held[0, -len(LEVELS) :] = _levels(np.array([len(np.unique(np.concatenate(parts)))]), np.array([sum(map(len, parts))]), np.array([size]))[0]
+            yield at, held
+            held, parts, size, at = np.zeros((1, TERMS), np.float32), [], 0, -1
         table, ids = features(words)
-        n = len(lengths)
+        rows, n = table[ids] if len(ids) else np.zeros((0, 3), np.int64), len(lengths)
         row = np.repeat(np.arange(n), lengths)
+        long = len(texts[first]) > BLOCK_BYTES
+        skip = 2 if long and at == first else 0  # words of the part before
         counts = np.zeros((n, TERMS), np.float32)
-        if len(ids):
-            both = table[ids]
-            for k in range(2):
-                counts += np.bincount(row * TERMS + both[:, k], minlength=n * TERMS).reshape(n, TERMS)
-            if len(ids) > 2:
-                inside = row[2:] == row[:-2]
-                mixed = (ids[:-2] * 1_000_003 + ids[1:-1]) * 1_000_003 + ids[2:]
-                window = (mixed * 1_000_003 + row[2:])[inside]
-                of = row[2:][inside]
-                once = np.bincount(of[np.unique(window, return_index=True)[1]], minlength=n)
-                repeated = 1 - once / np.maximum(np.bincount(of, minlength=n), 1)
-                for k, level in enumerate(LEVELS):
-                    counts[:, WORD_TERMS + SHAPE_TERMS + k] = np.where((once > 0) & (repeated >= level), lengths, 0)
+        for k in range(2):
+            counts += np.bincount(row[skip:] * TERMS + rows[skip:, k], minlength=n * TERMS).reshape(n, TERMS)
+        window = _windows(np.ascontiguousarray(rows[:, 2]))
+        if long:
+            at, size = first, size + len(rows) - skip
+            held += counts
+            parts.append(window)
+            continue
+        inside = row[2:] == row[:-2]
+        of, window = row[2:][inside], window[inside] ^ (row[2:][inside].astype(np.uint64) * GOLDEN)
+        once = np.bincount(of[np.unique(window, return_index=True)[1]], minlength=n)
+        counts[:, -len(LEVELS) :] = _levels(once, np.bincount(of, minlength=n), lengths)
         yield first, counts
+    if at >= 0:
+        held[0, -len(LEVELS) :] = _levels(np.array([len(np.unique(np.concatenate(parts)))]), np.array([sum(map(len, parts))]), np.array([size]))[0]
+        yield at, held
 
 
 def damped(counts: np.ndarray) -> np.ndarray:
@@ -94,7 +121,10 @@ class NeighbourModel:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def score(self, counts: np.ndarray, block: int = 1024) -> np.ndarray:
-        """Share of label 1 among the neighbours' votes; the prior without a similar one."""
+        """Share of label 1 among the neighbours' votes; the prior without a similar one, 0 without a word.
+
+        Of equally similar vectors at the last place any may vote.
+        """
         out = np.full(len(counts), self.prior)
         k = min(self.neighbours, len(self.labelled))
         for i in range(0, len(counts) if k else 0, block):
@@ -104,7 +134,7 @@ class NeighbourModel:
             total = weight.sum(axis=1)
             votes = (weight * self.labels[near]).sum(axis=1)
             out[i : i + block] = np.where(total > 1e-9, votes / np.maximum(total, 1e-9), self.prior)
-        return np.clip(out, 0.0, 1.0)
+        return np.where(counts[:, :WORD_TERMS].any(axis=1), np.clip(out, 0.0, 1.0), 0.0)
 
 
 def fit(sample: list[tuple[bytes, int]], dimensions: int = 64, neighbours: int = 15, oversample: int = 16, seed: int = 11) -> NeighbourModel:
@@ -113,7 +143,7 @@ def fit(sample: list[tuple[bytes, int]], dimensions: int = 64, neighbours: int =
     if len(sample):
         parts = np.zeros((len(sample), TERMS), np.float32)
         for first, counts in count_terms([t for t, _ in sample], Features(word_terms)):
-            parts[first : first + len(counts)] += counts
+            parts[first : first + len(counts)] = counts
     else:
         parts = np.zeros((0, TERMS), np.float32)
     idf = np.log((1 + len(sample)) / (1 + (parts > 0).sum(axis=0))).astype(np.float32) * STRENGTH + 0.1
@@ -139,9 +169,11 @@ def train_on(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 def score(docs: DataFrame, model: NeighbourModel, text: str = "text") -> DataFrame:
     """Adds score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5).
 
-    Whole texts count; a null or empty one has no neighbour and gets the share
-    of label 1 in the balanced sample.  Row by row; columns called score or
-    predicted are replaced.
+    Whole texts count, those of any length by the same terms; a null or empty one,
+    or one without a word, scores 0: nothing speaks for its quality.  Without
+    labelled rows all others score 0.5.  Row by row: repeated rows score the same,
+    an empty table gives an empty one; columns called score or predicted are
+    replaced, others kept.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -151,11 +183,7 @@ def score(docs: DataFrame, model: NeighbourModel, text: str = "text") -> DataFra
         model, features = shared.value, Features(word_terms)
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            held, held_at = None, -1  # the parts of a long text
             for first, counts in count_terms(raw_texts(batch.column(keep.index(text))), features):
-                if len(counts) == 1:
-                    held = held + counts if held_at == first else counts
-                    held_at, counts = first, held
                 out[first : first + len(counts)] = model.score(counts)
             new = [pa.array(out), pa.array((out >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *new], names=[*keep, "score", "predicted"])
