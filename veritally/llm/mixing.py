@@ -30,6 +30,10 @@ LEAST_PERIOD = 4_096
 #: Rows that share a ranking window, about.
 BUCKET_ROWS = 4_096
 LEAST_BUCKETS = 256
+#: Times the usual rows of a bucket above which it holds copies of a row, which are dealt out.
+HOT_BUCKET = 16
+#: Slots of a period up to which its table is broadcast; beyond, Spark chooses.
+BROADCAST_SLOTS = 1_000_000
 
 ADDED = ("block", "release", "deadline", "slot", "position", "in_mix")
 
@@ -130,8 +134,12 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, powe
     horizon = min((has[s] // q * period + place[s, has[s] % q] for s, q in blocks.items()), default=0)
 
     buckets = max(LEAST_BUCKETS, -(-sum(sizes.values()) // BUCKET_ROWS))
-    order = F.xxhash64(F.lit(seed), F.col(key))
+    order = F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(*keep))
     dealt = named.withColumn("_order", order).withColumn("_bucket", F.pmod("_order", F.lit(buckets)))
+    full = HOT_BUCKET * BUCKET_ROWS
+    hot = [r["_bucket"] for r in dealt.groupBy("_bucket").agg(F.count("*").alias("n")).where(F.col("n") > full).limit(buckets // HOT_BUCKET + 1).collect()]
+    if hot:  # equal rows, which any order suits; the draw is kept, so that a lost task does not draw again
+        dealt = checkpoint(dealt.withColumn("_bucket", F.when(F.col("_bucket").isin(hot), F.floor(F.rand(seed) * buckets)).otherwise(F.col("_bucket"))))
     counts = dealt.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = checkpoint(counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
@@ -143,7 +151,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, powe
     table = spark.createDataFrame([(*x, blocks[x.source]) for x in slots], "_source string, _i long, _release long, _deadline long, _slot long, _quota long")
     quota = spark.createDataFrame(list(blocks.items()), "_source string, _quota long")
     cycles = ranked.join(F.broadcast(quota), "_source", "left").withColumn("_cycle", F.expr("block div _quota")).withColumn("_i", F.expr("block % _quota"))
-    placed = cycles.join(F.broadcast(table.drop("_quota")), ["_source", "_i"], "left")
+    table = table.drop("_quota")
+    placed = cycles.join(F.broadcast(table) if len(slots) <= BROADCAST_SLOTS else table, ["_source", "_i"], "left")
     later = F.col("_cycle") * period
     slot = later + F.col("_slot")
     return placed.select(
