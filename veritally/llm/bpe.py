@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, types as T
 
 #: Words with more bytes than this are merged by a heap.
 SHORT_WORD = 192
-#: Chunks whose ids a worker remembers; when full, it starts anew.
+#: Chunks whose ids a worker remembers, and their bytes with those of their ids; when full, it starts anew.
 MEMO = 250_000
+MEMO_BYTES = 64 << 20
 #: Bytes of text a task turns into one output batch at most (a longer text is a batch).
 BATCH_BYTES = 4 << 20
 
@@ -76,6 +77,7 @@ class WordBpe:
         self._words = word_pattern()
         self._cut = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(self.special, key=len, reverse=True)) or "(?!)")
         self._memo: dict[bytes, bytes] = {}
+        self._size = 0
 
     def word_ids(self, word: bytes) -> list[int]:
         """Ids of one word, given as its UTF-8 bytes."""
@@ -134,9 +136,12 @@ class WordBpe:
                 out.append(self.special[part])
             elif part:
                 out.extend(self._plain(part))
-        if len(self._memo) >= MEMO:
+        got = out.tobytes()
+        self._size += len(chunk) + len(got)
+        if len(self._memo) >= MEMO or self._size > MEMO_BYTES:
             self._memo.clear()
-        self._memo[chunk] = got = out.tobytes()
+            self._size = len(chunk) + len(got)
+        self._memo[chunk] = got
         return got
 
     def encode(self, text: bytes) -> bytes:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.llm import ann, bpe, html_text, langid, mixing, quality_knn, quality_rules, simhash, suffix_tree, toxicity
 from veritally.llm.common import remainder, table
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
