@@ -94,6 +94,35 @@ def test_mixture_of_edges(frame, edges):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", ["cast(null as long)", "7L"])
+def test_null_and_repeated_keys_spread(spark, monkeypatch, rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    docs = spark.range(3000).selectExpr(f"{rows} as doc_id", "if(id % 3 = 0, 'a', 'b') as source", "if(id < 1500, id, 0) as other")
+    out = mixing.mix(docs, block_rows=4).collect()
+    assert len(out) == 3000 and len({r["position"] for r in out}) == 3000
+    blocks = Counter((r["source"], r["block"]) for r in out)
+    assert max(blocks.values()) == 4 and sum(n < 4 for n in blocks.values()) <= 2
+    assert Counter(r["other"] for r in out) == Counter(r["other"] for r in docs.collect())
+
+
+def test_query_of_mixing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()
+    rows = queries.op3_mixing(spark, sf_dir).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in rows) == Counter(map(tuple, docs))
+    sizes = Counter(r["source"] for r in docs)
+    period = max(mixing.LEAST_PERIOD, mixing.SLOTS_PER_SOURCE * len(sizes))
+    blocks = mixing.quotas({f"={s}": n**0.7 for s, n in sizes.items()}, period)
+    by_slot = {}
+    for r in rows:
+        q = blocks[f"={r['source']}"]
+        cycle, i = divmod(r["block"], q)
+        assert (r["release"], r["deadline"]) == (cycle * period + i * period // q, cycle * period - (-(i + 1) * period // q))
+        assert r["release"] <= r["slot"] < r["deadline"] and r["position"] // 16 == r["slot"]
+        assert by_slot.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
+    assert {b: n for b, n in Counter((r["source"], r["block"]) for r in rows).items() if n > 16} == {}
+    assert all(sorted(r["block"] for r in rows if r["source"] == s) == sorted(k // 16 for k in range(n)) for s, n in sizes.items())
+
+
 def test_mixture_of_given_weights(frame, corpus):
     rows = mixing.mix(frame(corpus), {"s0": 2.0, "s1": 1.0, "other": 5.0}, block_rows=1).collect()
     assert len(rows) == len(corpus)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritally.functions.shared import checkpoint  # noqa: F401 (the operators take it from here)
+
 #: Word separators of every tokenising operator: space and 0x09-0x0D, which is
 #: what ``bytes.split()`` splits on.  ``bytes.lower()`` changes A-Z only.
 
@@ -21,17 +20,3 @@ def remainder(key: str, modulus: int) -> Column:
     """crc32 of the key's text modulo ``modulus``; -1 where the key is null."""
     crc = F.crc32(F.col(key).cast("string").cast("binary"))
     return F.coalesce(crc % F.lit(modulus), F.lit(-1).cast("long"))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary folder is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "veritally-checkpoints"))
-    return df.checkpoint(eager=True)

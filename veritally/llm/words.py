@@ -7,8 +7,9 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-#: Distinct words a worker remembers; when full, the table starts anew.
+#: Distinct words a worker remembers, and their bytes; when full, the table starts anew.
 MEMO = 400_000
+MEMO_BYTES = 64 << 20
 #: Bytes of text that are turned into arrays at once (a longer text is cut at words, never dropped).
 BLOCK_BYTES = 4 << 20
 
@@ -19,9 +20,15 @@ class Interned(dict):
     def __init__(self):
         super().__init__()
         self.fresh: list[bytes] = []
+        self.size = 0
+
+    @property
+    def full(self) -> bool:
+        return len(self) > MEMO or self.size > MEMO_BYTES
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
+        self.size += len(word)
         self.fresh.append(word)
         return number
 
@@ -37,7 +44,7 @@ class Features:
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(table, row number of each word)."""
-        if len(self._ids) > MEMO:
+        if self._ids.full:
             self._ids, self._rows = Interned(), None
         ids = np.fromiter(map(self._ids.__getitem__, words), np.int64, len(words))
         if self._ids.fresh:
