@@ -33,24 +33,119 @@ def test_counts_and_base_score(spark, sf_dir):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+SMALL = suffix_tree.Tree(least_word=0.004, least_core=0.02, least_context=3, context_root=0.0, least_pair=2, pair_root=0.0, endings=16)
+
+
 def test_next_word_probabilities_sum_to_one(frame, corpus):
-    tree, counts = suffix_tree.train(frame(corpus))
-    count = {bytes(r["word"]): r["c"] for r in counts.collect()}
-    vocabulary = list(count)
-    assert len(tree.parent) > 5  # contexts were retained
-    reader = suffix_tree.Reader(tree.words)
-    for context in (b"", b"the", b"the of", b"haus fluss wasser", b"never seen before"):
-        k = len(context.split())
-        texts = [context + b" " + w for w in vocabulary if w] + [context + b" unheard", context]
-        total = 0.0
-        for text, ids, own, keys in reader.runs(texts):
-            text, ids, keys = text[own], ids[own], [x[own] for x in keys]
-            c = np.array([count.get(reader.ids.words[i], 0) for i in ids])
-            logs, final = tree.steps(keys, reader.rows[ids, 0])
-            logs = logs + np.where(~final, tree.words.root(c), 0)
-            place = np.arange(len(text)) - np.searchsorted(text, text)
-            total += (10 ** logs[place == k]).sum()
-        assert total == pytest.approx(1.0, abs=1e-6)
+    tree, counts = suffix_tree.train(frame(corpus), how=SMALL)
+    words, count = tree.words, {bytes(r["word"]): r["c"] for r in counts.collect()}
+    assert len(tree.parent) > 5 and len(words.symbols) < len(words.counts) < len(count)  # contexts were retained, words are of all three kinds
+    alphabet = np.arange(1, words.alphabet + 1)
+    for context in ([], ["the"], ["the", "of"], ["haus", "fluss", "wasser"], ["zzz", "yyy"]):
+        before = [int(words.rows([w.encode()])[0, 0]) for w in context]
+        coded = [np.array([*before, s], "<u2").tobytes() for s in alphabet]
+        text, symbols, keys = suffix_tree.contexts_of(coded, words.how.depth)
+        last = np.flatnonzero(np.diff(np.append(text, -1)))
+        assert symbols[last].tolist() == alphabet.tolist()
+        assert (10 ** tree.steps([k[last] for k in keys], symbols[last])).sum() == pytest.approx(1.0, abs=1e-9)
+    for k in range(words.how.endings):
+        own = [(c - 0.5) / words.class_total[k] for w, c in count.items() if w not in words.symbols and suffix_tree.ending(w, 16) == k]
+        assert not own or sum(own) + 10 ** words.unseen(k) == pytest.approx(1.0)
+
+
+def brute_tree_scores(train, texts, how):
+    """log10 probabilities by definition, with dictionaries and recursion."""
+    count = Counter(w for t in train for w in tokens(t))
+    n = sum(count.values())
+    core = {w for w, c in count.items() if c >= how.least_core * n and c >= max(2.0, how.least_word * n)}
+    sym = lambda w: w if w in core else suffix_tree.ending(w, how.endings)
+    in_class = Counter()
+    for w, c in count.items():
+        if w not in core:
+            in_class[sym(w)] += c
+    distinct = Counter(sym(w) for w in count if w not in core)
+    start = {s: how.start_count for s in [*core, *range(how.endings)]}
+    for w, c in count.items():
+        start[sym(w)] += c
+    whole = sum(start.values())
+    grams = [Counter() for _ in range(how.depth + 1)]
+    for t in train:
+        x = ["<"] * how.depth + [sym(w) for w in tokens(t)]
+        for i in range(how.depth, len(x)):
+            for d in range(1, how.depth + 1):
+                grams[d][tuple(x[i - d : i]), x[i]] += 1
+    found, pairs = {}, {}
+    allowed = None
+    for d in range(1, how.depth + 1):
+        mine = {k: c for k, c in grams[d].items() if allowed is None or k[0] in allowed}
+        total = Counter()
+        for (ctx, _), c in mine.items():
+            total[ctx] += c
+        found |= {ctx: c for ctx, c in total.items() if c >= how.least_context}
+        pairs |= {k: c for k, c in mine.items() if c >= how.least_pair and k[0] in found}
+        allowed = {(*ctx, s) for (ctx, s), c in mine.items() if c >= how.least_context}
+    rest = {ctx: 1 - sum((c - how.discount) / n for (x, _), c in pairs.items() if x == ctx) for ctx, n in found.items()}
+
+    def p(ctx, s):
+        if not ctx:
+            return start[s] / whole
+        if ctx not in found:
+            return p(ctx[1:], s)
+        c = pairs.get((ctx, s))
+        return (0 if c is None else (c - how.discount) / found[ctx]) + rest[ctx] * p(ctx[1:], s)
+
+    kept = set()
+    for ctx in found:
+        own = [s for x, s in pairs if x == ctx]
+        a, b = [p(ctx, s) for s in own], [p(ctx[1:], s) for s in own]
+        gain = sum(x * math.log(x / y) for x, y in zip(a, b)) + max(1 - sum(a), 1e-12) * math.log(max(1 - sum(a), 1e-12) / max(1 - sum(b), 1e-12))
+        if gain >= how.divergence:
+            kept |= {ctx[k:] for k in range(len(ctx))}
+    out = []
+    for t in texts:
+        x, score = ["<"] * how.depth + [sym(w) for w in tokens(t)], 0.0
+        for i, w in enumerate(tokens(t), how.depth):
+            ctx = next((c for d in range(how.depth, 0, -1) if (c := tuple(x[i - d : i])) in kept), ())
+            score += math.log10(p(ctx, x[i]))
+            if w not in core:
+                k = x[i]
+                score += math.log10(((count[w] - how.discount) if w in count else how.discount * distinct[k]) / in_class[k]) if in_class[k] else 0.0
+        out.append(score)
+    return out, kept
+
+
+def test_scores_equal_a_brute_force_tree(frame, corpus):
+    train = corpus[::2]
+    texts = [t for _, t, _, _ in corpus[:30]] + ["", "unheard of words the of", "the the the the", "zzz zzz"]
+    tree, counts = suffix_tree.train(frame(train), how=SMALL)
+    want, kept = brute_tree_scores([t for _, t, _, _ in train], texts, SMALL)
+    assert len(kept) == len(tree.parent) - 1 > 20 and max(map(len, kept)) == 3
+    rows = suffix_tree.score(frame([(i, t, None, None) for i, t in enumerate(texts)]), tree, counts).collect()
+    assert {r["doc_id"]: r["score"] for r in rows} == {i: pytest.approx(x, rel=1e-9) for i, x in enumerate(want)}
+
+
+def test_text_ids_and_marked_rows(spark):
+    docs = spark.createDataFrame([("a", "the river the tree"), ("b", "the river"), (None, None), ("b", "the river")], "doc_id string, text string")
+    tree, counts, encoded = suffix_tree.fit(docs, ann.F.col("doc_id") == "a", how=SMALL)
+    rows = suffix_tree.score_encoded(encoded, tree, counts).collect()
+    assert tree.words.total == 5 and sorted((r["doc_id"] or "", r["n_tokens"], r["n_known"]) for r in rows) == [("", 1, 1), ("a", 5, 5), ("b", 3, 3), ("b", 3, 3)]
+
+
+def test_limits_grow_with_the_corpus(spark):
+    rows = spark.range(1, 1001).selectExpr("id as n")
+    assert suffix_tree._limit(rows, 10.0, 1000) == 10.0 and suffix_tree._limit(rows, 10.0, 300) == 10.0 * 2**7 and suffix_tree._limit(rows.limit(0), 2.0, 5) == 2.0
+    assert suffix_tree._limit(rows, 100.0, 500) == 800.0
+
+
+def test_contexts_matter(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    tree, counts, encoded = suffix_tree.fit(docs, ann.F.col("doc_id") % 5 != 0)
+    held = encoded.where("doc_id % 5 = 0")
+    n = held.agg({"n_tokens": "sum"}).first()[0]
+    per = lambda t: suffix_tree.score_encoded(held, t, counts).agg({"score": "sum"}).first()[0] / n
+    root = suffix_tree.SuffixTree(tree.words, [k[:0] for k in tree.keys], [k[:0] for k in tree.states], tree.parent, tree.rest, tree.pairs, tree.logs, tree.root)
+    assert per(tree) - per(root) > 0.12
 
 
 def test_score_of_edges(frame, edges):

@@ -29,8 +29,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 7) == 2
-    tree, counts = suffix_tree.train(docs.where(~held_out))
-    scored = suffix_tree.score(docs, tree, counts)
+    tree, counts, encoded = suffix_tree.fit(docs, ~held_out)
+    scored = suffix_tree.score_encoded(encoded, tree, counts)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.words.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
