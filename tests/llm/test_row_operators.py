@@ -79,9 +79,10 @@ def held_out_auc(df, labels, column):
     return (rank[y == 1].sum() - p * (p + 1) / 2) / (p * (len(y) - p))
 
 
-@pytest.mark.parametrize("name, label, least", [("op4_quality_classifier", "quality", 0.95), ("op6_toxicity", "toxic", 0.75)])
-def test_held_out_ranking(spark, sf_dir, name, label, least):
-    sf = sf_dir.replace("sf0.001", "sf0.01")
+@pytest.mark.parametrize("name, label, size, least", [("op4_quality_classifier", "quality", "sf0.01", 0.95), ("op6_toxicity", "toxic", "sf0.1", 0.9)])
+def test_held_out_ranking(spark, sf_dir, name, label, size, least):
+    """On tables with enough held-out rows of each label: sf0.01 holds six toxic ones."""
+    sf = sf_dir.replace("sf0.001", size)
     out = queries.QUERIES[name](spark, sf)
     assert held_out_auc(out, spark.read.parquet(f"{sf}/labels.parquet"), label) >= least
 
@@ -187,6 +188,29 @@ def toxic(languages):
     return toxicity.fit([(bad + good)[i] for i in order], 1.0, languages)
 
 
+def test_words_share_the_row_of_their_bucket(toxic):
+    assert len(toxic.rows) == toxicity.BUCKETS and len(toxic.places) == toxic.rows.max() + 1
+    rows = toxic.word_rows([b"scum", b"SCUM!!", b"neverheard"])
+    assert rows[0] == rows[1] > 0 == rows[2] and not toxic.places[0].any()
+    counts = toxicity.trained_buckets([[b"a", b"a"]] * 5 + [[b"b"]] * 4)
+    assert counts[toxicity.bucket(b"A.")] == 1 and counts.sum() == 1
+
+
+def test_thresholds_by_language(toxic):
+    r = np.random.default_rng(3)
+    logits = r.standard_normal(300)
+    labels = (logits + r.standard_normal(300) > 1).astype(float)
+    for weight in (1.0, 5.0):
+        def f1(cut):
+            hit, false = labels[logits > cut].sum(), weight * (1 - labels[logits > cut]).sum()
+            return 2 * hit / (hit + false + labels.sum())
+        assert f1(toxicity._threshold(logits, labels, weight)) == pytest.approx(max(f1(c) for c in logits))
+    assert toxicity._threshold(logits[:10], labels[:10], 1.0, usual=0.7) == 0.7
+    assert len(toxic.thresholds) == 4
+    moved = toxicity.ToxicityModel(**(vars(toxic) | {"thresholds": np.array([3.0, 1.0, 0.0, 0.0])}))
+    assert (moved.score(np.array([2.0, 2.0]), np.array([0, 1])) > 0.5).tolist() == [False, True]
+
+
 def test_toxic_word_anywhere_in_a_text(frame, toxic):
     texts = ["scum " + LONG, LONG + " scum", prose("en", 300) + " SCUM!! " + prose("en", 301), prose("en", 302), prose("de", 303) + " scum.", prose("de", 304)]
     rows = toxicity.score(frame([(i, t, None, None) for i, t in enumerate(texts)]), toxic).collect()

@@ -1,15 +1,16 @@
 """Toxicity by a convolutional text classifier, with thresholds by language.
 
-Words are hashed to embeddings, filters of several widths slide over a text and
-each filter's greatest response feeds a logistic layer.  Everything is trained
-in numpy on a bounded sample balanced by label; words that too few sample texts
-hold share one zero embedding, so that rare words say nothing.  On held-back
+Words are hashed to the buckets of an embedding table of fixed size, filters of
+several widths slide over a text and each filter's greatest response feeds a
+logistic layer.  Everything is trained in numpy on a bounded sample balanced by
+label; buckets that too few sample texts hit stay zero, so that rare words say
+nothing, and take no room.  On held-back
 sample rows a threshold is fitted for each language, weighted to the labels'
 natural frequency; the language is guessed from the text alone.  The score is
 the logistic of the distance to that threshold.
 
-Filters are linear before the pooling, so a trained model needs, for each known
-word, one row with its response at each place in each filter.
+Filters are linear before the pooling, so a trained model needs, for each trained
+bucket, one row with its response at each place in each filter.
 """
 
 from __future__ import annotations
@@ -32,21 +33,25 @@ from veritally.llm.words import Features, blocks, raw_texts, sums
 WIDTHS = (1, 2, 3)
 FILTERS = 12
 WIDTH = 16
-#: Sample texts that must hold a word for it to get an embedding of its own.
+#: Buckets of the embedding table: a rare word seldom falls into a trained one.
+BUCKETS = 1 << 20
+#: Sample texts that must hit a bucket for it to be trained.
 LEAST_TEXTS = 5
 SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word.lower().translate(None, SIGNS))
+def bucket(word: bytes) -> int:
+    """Bucket of a word's letters and digits in lower case."""
+    return xxhash.xxh64_intdigest(word.lower().translate(None, SIGNS)) % BUCKETS
 
 
 @dataclass
 class ToxicityModel:
-    """places: a row for each known word (row 0: all others); language: what its
-    n-grams say of the language; thresholds: by language, the last for none."""
+    """rows: the row of each bucket (0: not trained); places: a row for each trained
+    bucket; language: what a word of it says of the language; thresholds: by language,
+    the last for none."""
 
-    rows: dict[int, int]
+    rows: np.ndarray
     places: np.ndarray
     bias: np.ndarray
     out: np.ndarray
@@ -57,8 +62,7 @@ class ToxicityModel:
     scale: float = 1.0
 
     def word_rows(self, words: list[bytes]) -> np.ndarray:
-        get = self.rows.get
-        return np.fromiter((get(word_hash(w), 0) for w in words), np.int32, len(words))
+        return self.rows[np.fromiter(map(bucket, words), np.int64, len(words))]
 
     def pooled(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Greatest response of each filter for each run of words."""
@@ -101,11 +105,15 @@ class ToxicityModel:
         return self.score(self.logits(most), self.languages(totals))
 
 
-def _vocabulary(texts: list[list[bytes]]) -> dict[int, int]:
-    held: Counter = Counter()
+def trained_buckets(texts: list[list[bytes]]) -> np.ndarray:
+    """The row of each bucket: from 1 for those that LEAST_TEXTS texts hit, else 0."""
+    hits = np.zeros(BUCKETS, np.int32)
     for words in texts:
-        held.update({word_hash(w) for w in set(words)})
-    return {h: i for i, h in enumerate(sorted(h for h, n in held.items() if n >= LEAST_TEXTS), 1)}
+        hits[list({bucket(w) for w in words})] += 1
+    rows = np.zeros(BUCKETS, np.int32)
+    there = np.flatnonzero(hits >= LEAST_TEXTS)
+    rows[there] = np.arange(1, len(there) + 1)
+    return rows
 
 
 def _threshold(logits: np.ndarray, labels: np.ndarray, weight: float, usual: float | None = None) -> float:
@@ -130,17 +138,18 @@ def fit(sample: list[tuple[bytes, int]], negatives_weight: float = 1.0, guess: l
     texts = [text.lower().split() for text, _ in sample]
     labels = np.array([float(y) for _, y in sample])
     is_held = np.arange(len(sample)) % 5 == 4
-    rows = _vocabulary([t for t, h in zip(texts, is_held) if not h])
+    rows = trained_buckets([t for t, h in zip(texts, is_held) if not h])
+    count = int(rows.max(initial=0)) + 1
     random = np.random.default_rng(seed)
-    shapes = {"embed": (len(rows) + 1, WIDTH), "bias": (FILTERS * len(WIDTHS),), "out": (FILTERS * len(WIDTHS),), "offset": (1,)} | {f"w{w}": (w * WIDTH, FILTERS) for w in WIDTHS}
+    shapes = {"embed": (count, WIDTH), "bias": (FILTERS * len(WIDTHS),), "out": (FILTERS * len(WIDTHS),), "offset": (1,)} | {f"w{w}": (w * WIDTH, FILTERS) for w in WIDTHS}
     p = {k: random.standard_normal(s).astype(np.float32) * {"embed": 0.3, "out": 0.3}.get(k, 0.25 if k[0] == "w" else 0.0) for k, s in shapes.items()}
     p["embed"][0] = 0
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    known = [np.fromiter((rows.get(word_hash(w), 0) for w in t), np.int64, len(t)) for t in texts]
+    known = [rows[np.fromiter(map(bucket, t), np.int64, len(t))].astype(np.int64) for t in texts]
 
     def model() -> ToxicityModel:
         places = [p["embed"] @ p[f"w{w}"][k * WIDTH : (k + 1) * WIDTH] for w in WIDTHS for k in range(w)]
-        return ToxicityModel(rows, np.concatenate(places, axis=1).astype(np.float32), p["bias"], p["out"], float(p["offset"][0]), np.zeros((len(rows) + 1, 1), np.float32), None, np.zeros(1))
+        return ToxicityModel(rows, np.concatenate(places, axis=1).astype(np.float32), p["bias"], p["out"], float(p["offset"][0]), np.zeros((count, 1), np.float32), None, np.zeros(1))
 
     tail = max(WIDTHS) - 1
     train = np.flatnonzero(~is_held)
@@ -189,20 +198,20 @@ def fit(sample: list[tuple[bytes, int]], negatives_weight: float = 1.0, guess: l
                 p[k][chosen] -= rate * (m[chosen] / (1 - 0.9**step)) / (np.sqrt(v[chosen] / (1 - 0.99**step)) + 1e-8)
             p["embed"][0] = 0
     out = model()
-    names = {word_hash(w): w for t in texts for w in t}
     if guess is not None:
+        names = dict(sorted(((int(rows[bucket(w)]), w) for w in {w for t in texts for w in t}), reverse=True))  # the least word of each row
         out.guess = guess
-        out.language = np.zeros((len(rows) + 1, len(guess.languages) + 2), np.float32)
-        out.language[1:] = guess.word_rows([names[h] for h in rows])
+        out.language = np.zeros((count, len(guess.languages) + 2), np.float32)
+        out.language[1:] = guess.word_rows([names[i] for i in range(1, count)])
     held = np.flatnonzero(is_held) if is_held.any() else np.arange(len(sample))
-    count = len(guess.languages) + 1 if guess else 1
-    out.thresholds = np.zeros(count)
+    kinds = len(guess.languages) + 1 if guess else 1
+    out.thresholds = np.zeros(kinds)
     if len(held):
         lengths = np.array([len(known[j]) for j in held])
         flat = np.concatenate([known[j] for j in held])
         logits, languages = out.logits(out.pooled(flat, lengths)), out.languages(sums(out.language[flat], lengths))
         usual = _threshold(logits, labels[held], negatives_weight)
-        out.thresholds[:] = [_threshold(logits[languages == k], labels[held][languages == k], negatives_weight, usual) for k in range(count)]
+        out.thresholds[:] = [_threshold(logits[languages == k], labels[held][languages == k], negatives_weight, usual) for k in range(kinds)]
     return out
 
 
@@ -225,7 +234,9 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     """Adds score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5).
 
     Whole texts count; a null or empty one is scored as a text of unknown words.
-    Row by row; columns called score or predicted are replaced.
+    Row by row: repeated rows score the same, ties of responses change nothing, an
+    empty table gives an empty one; columns called score or predicted are replaced,
+    others kept.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
