@@ -524,8 +524,37 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_pipeline_of_edges(spark, frame, edges, sf_dir):
-    docs = frame(edges)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] or "")
+    docs, columns = frame(edges), list(corpus_pipeline.COLUMNS)
+    kept = [(r["doc_id"], r["text"]) for r in docs.collect()]
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.checkpoint(stage(spark, docs, sf_dir))
-        assert stage(spark, docs.limit(0), sf_dir).count() == 0 if name == "mixing" else True
-    assert docs.count() >= 0
+        out = corpus_pipeline.checkpoint(stage(spark, docs, sf_dir))
+        rows = sorted(out.join(docs.select("doc_id", "text").distinct(), "doc_id", "left").collect() if name == "bpe" else out.collect(), key=key)
+        before, now = Counter(kept), Counter((r["doc_id"], r["text"]) for r in rows)
+        if name == "language_id":
+            assert {r["doc_id"] for r in rows}.isdisjoint({1, 2, 3, 4}) and all(i in {r["doc_id"] for r in rows} for i, *_ in edges if i and i >= 100)
+            assert now[6, prose("de", 7, 80)] == 2 and now[None, prose("en", 3)] == 1 and now <= before
+        elif name == "quality_classifier":
+            model = corpus_pipeline.quality_knn.train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+            good = corpus_pipeline.quality_knn.score(docs, model).where("predicted = 1").collect()
+            assert now == Counter((r["doc_id"], r["text"]) for r in good) and 0 < sum(now.values()) <= sum(before.values())
+        elif name == "simhash_near_dedup":
+            label = brute_components([brute_fingerprint(t) for _, t in kept])
+            assert len(rows) == len(set(label)) and now <= before
+        elif name == "mixing":
+            assert now == before
+        else:
+            assert sorted(map(str, (r["doc_id"] for r in out.collect()))) == sorted(str(i) for i, _ in kept) and out.where("n_tokens <> length(ids) / 4").count() == 0
+        if name != "bpe":
+            assert out.columns == columns
+            kept = [(r["doc_id"], r["text"]) for r in rows]
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.count() == 0 and empty.columns == out.columns
+        docs = out
+    assert kept
+
+
+def test_stages_of_nothing_but_nulls(spark, sf_dir):
+    docs = spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, "", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    sizes = {name: stage(spark, docs, sf_dir).count() for name, stage in corpus_pipeline.STAGES}
+    assert sizes == {"language_id": 0, "quality_classifier": 0, "simhash_near_dedup": 1, "mixing": 4, "bpe": 4}
