@@ -3,7 +3,9 @@
 Languages are identified and undecided documents rejected, low-quality
 documents rejected, near-duplicates reduced to one of each group, sources mixed
 to target weights, and what is left encoded.  Every stage works on all that the
-stage before it kept; all but the last return the columns of ``documents``.
+stage before it kept; all but the last return the columns of ``documents`` and
+drop others.  Nulls in any column, repeated rows and ids, very long texts and
+empty tables are allowed everywhere; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,24 +23,36 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undecided: without letters, or unlike every language."""
+    """Drops documents whose language is undecided: without letters (null and empty texts too), or unlike every language.
+
+    Languages are learned from the rows with a ``lang``; without any, all rows go.
+    Repeated rows share a verdict; equal odds go to the first language by name.
+    """
     found = langid.identify(docs, langid.train_on(docs))
     return found.where(~F.col("rejected")).select(*COLUMNS)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the neighbours vote to be of low quality."""
+    """Drops documents that the neighbours vote to be of low quality, and those without a word.
+
+    Without labels the vote is even and the others stay; a tie keeps a document.
+    Repeated rows share a verdict.
+    """
     model = quality_knn.train_on(docs, table(spark, sf_dir, "labels"))
     return quality_knn.score(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of near-duplicates, as the operator's query defines them."""
+    """Keeps one document of each group of near-duplicates, as the operator's query defines them: the least doc_id.
+
+    Null and empty texts are a group.  Of repeated and null ids one row of a group
+    stays all the same.
+    """
     return simhash.deduplicate(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the schedule.
+    """All documents in the order of the schedule; a null source is a source.
 
     Slots of a source that has run dry are passed over, so the others go on in
     proportion to their weights; none is dropped because another is small.
@@ -48,7 +62,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests of them and of the text they decode to."""
+    """(doc_id, source, n_tokens, ids, ids_sha256, decoded_sha256) of each row: its token ids, and digests of them and of the text they decode to.
+
+    A null or empty text has no ids.
+    """
     coded = bpe.encode_decode(docs.select("doc_id", "source", "text"), TOKENIZER)
     return coded.select("doc_id", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
