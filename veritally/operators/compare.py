@@ -139,6 +139,12 @@ def by_group(units: DataFrame, group: str) -> DataFrame:
     return units.groupBy(group).agg(F.count("*").alias("units"), F.count_if(F.col("level") == LEVELS[0]).alias("identical"), F.count_if(F.col("difference") > 0).alias("discrepancies"), F.count_if(F.col("level") == LEVELS[3]).alias("critical"))
 
 
+def group_members(units: DataFrame, group: str, unit: str = "unit_id") -> DataFrame:
+    """:func:`by_group` with each group's units as an array, in order; for groups that fit in one document."""
+    members = units.groupBy(group).agg(F.array_sort(F.collect_list(unit)).alias("members"))
+    return by_group(units, group).join(members, group)
+
+
 def level_members(units: DataFrame, unit: str = "unit_id") -> DataFrame:
     """(level, unit, difference): the members of the groups of a chart by level, as rows; nest them at the sink."""
     return units.select("level", unit, "difference")

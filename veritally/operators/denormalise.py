@@ -7,6 +7,8 @@ broadcast only while Spark's own size threshold says so.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,10 +133,19 @@ def listed(units: DataFrame, field: str) -> DataFrame:
 def national_parties(statistics: DataFrame, parties: DataFrame, limit: int = 10) -> DataFrame:
     """The parties with the most constituency votes in the country: three sums, ties by id."""
     rows = provinces(statistics).select(F.explode("result_party").alias("r")).select("r.*")
-    zero = F.lit(0)
-    sums = rows.groupBy("party_id").agg(*[F.sum(F.coalesce(c, zero)).alias(a) for c, a in (("party_cons_votes", "cons_votes"), ("party_list_vote", "list_votes"), ("first_mp_app_count", "seats"))])
+    sums = party_totals(rows, "party_id", {"cons_votes": "party_cons_votes", "list_votes": "party_list_vote", "seats": "first_mp_app_count"})
     named = with_lookup(sums, known_parties(parties), "party_id", "party", F.concat(F.lit("party_"), F.col("party_id").cast("string")))
-    return named.orderBy(F.desc("cons_votes"), "party_id").limit(limit)
+    return most_votes(named, "party_id", limit)
+
+
+def party_totals(rows: DataFrame, party: str, sums: Mapping[str, str]) -> DataFrame:
+    """Each party's sums (name -> column; missing values count 0)."""
+    return rows.groupBy(party).agg(*[F.sum(F.coalesce(column, F.lit(0))).alias(name) for name, column in sums.items()])
+
+
+def most_votes(totals: DataFrame, party: str, limit: int = 10) -> DataFrame:
+    """The ``limit`` parties with the most ``cons_votes``, ties by ``party``."""
+    return totals.orderBy(F.desc("cons_votes"), party).limit(limit)
 
 
 def province_summary(statistics: DataFrame, provinces_: DataFrame) -> DataFrame:

@@ -509,6 +509,13 @@ def compare_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.by_group(rows, "province")
 
 
+@query(f"""with {COMPARED}, {NATIONS} select coalesce(province, 'unknown') province, count(*) units, string_agg(unit_id, ',' order by unit_id) members from compared left join places using (unit_id) group by 1""")
+def nation_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's nested list of compared units, written out."""
+    rows = denormalise.with_lookup(compared(spark, sf_dir), places(spark, sf_dir), "unit_id", "province", F.lit("unknown"))
+    return compare.group_members(rows, "province").select("province", "units", F.array_join(F.transform("members", lambda u: u.cast("string")), ",").alias("members"))
+
+
 @query(f"""with {COMPARED}, {NATIONS} select unit_id, province, "level", difference from compared join places using (unit_id) where "level" in ('SIGNIFICANT', 'CRITICAL')""")
 def level_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = compared(spark, sf_dir).join(places(spark, sf_dir), "unit_id")
@@ -641,15 +648,15 @@ def denormalise_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their customer, nation and region, defaults for what is missing."""
     orders, customers = table(spark, sf_dir, "orders").where("not (coalesce(o_totalprice, 0) = 0)"), table(spark, sf_dir, "customer")
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    province = F.coalesce(F.col("n_name"), F.col("c_nationkey").cast("string"))
-    return rows.select(
+    named = denormalise.with_lookup(orders.withColumn("c_custkey", F.col("o_custkey")), customers.withColumnRenamed("c_name", "candidate"), "c_custkey", "candidate", F.lit(""))
+    placed = denormalise.with_lookup(named.withColumnRenamed("c_nationkey", "n_nationkey"), nations, "n_nationkey", "n_name", F.col("n_nationkey").cast("string"))
+    return placed.select(
         F.col("o_orderkey").alias("unit_id"),
-        F.concat(province, F.lit(" เขต "), F.col("o_orderkey").cast("string")).alias("constituency"),
-        province.alias("province"),
+        F.concat("n_name", F.lit(" เขต "), F.col("o_orderkey").cast("string")).alias("constituency"),
+        F.col("n_name").alias("province"),
         F.coalesce("r_name", F.lit("unknown")).alias("region"),
-        F.coalesce("c_name", F.lit("")).alias("candidate"),
-        F.coalesce(F.nullif(F.col("c_mktsegment"), F.lit("")), F.col("c_name")).alias("abbr"),
+        "candidate",
+        F.coalesce(F.nullif(F.col("c_mktsegment"), F.lit("")), F.nullif(F.col("candidate"), F.lit(""))).alias("abbr"),
         F.col("o_totalprice").alias("votes"),
     )
 
@@ -657,8 +664,9 @@ def denormalise_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select p_brand party, sum(l_quantity)::bigint cons_votes, round(sum(l_extendedprice), 2) list_votes, count(*) seats from lineitem join part on l_partkey = p_partkey group by 1 order by 2 desc, 1 limit 10")
 def party_totals_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    sums = rows.groupBy(F.col("p_brand").alias("party")).agg(F.sum("l_quantity").cast("bigint").alias("cons_votes"), F.round(F.sum("l_extendedprice"), 2).alias("list_votes"), F.count("*").alias("seats"))
-    return sums.orderBy(F.desc("cons_votes"), "party").limit(10)
+    rows = rows.select(F.col("p_brand").alias("party"), F.col("l_quantity").cast("bigint").alias("quantity"), "l_extendedprice", F.lit(1).alias("one"))
+    sums = denormalise.party_totals(rows, "party", {"cons_votes": "quantity", "list_votes": "l_extendedprice", "seats": "one"})
+    return denormalise.most_votes(sums, "party").withColumn("list_votes", F.round("list_votes", 2))
 
 
 @query("""with v as (select n_name province, p_brand party, sum(l_quantity)::bigint votes from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2)
