@@ -170,6 +170,25 @@ def test_sinks_and_scans(spark, tmp_path):
     assert {r["url"]: r["found"] for r in scans.addresses(pages, "html").collect()} == {"/x": 2, "/y": 1}
 
 
+def test_missing_and_broken_feeds_are_none(spark, tmp_path):
+    schema = schemas.record(id=schemas.LONG, name=schemas.TEXT)
+    read = lambda name, **how: scans.read_json_or_none(spark, f"{tmp_path}/{name}", schema, **how)
+    (tmp_path / "fine.json").write_text('{"id": 1,\n "name": "a", "more": 2}')
+    (tmp_path / "lines.json").write_text('{"id": 1}\n{"id": 2, "name": "b"}\n')
+    (tmp_path / "broken.json").write_text("<html>not found</html>")
+    assert read("nothing.json") is None and read("broken.json") is None
+    assert [tuple(r) for r in read("fine.json").collect()] == [(1, "a")]
+    assert sorted(tuple(r) for r in read("lines.json", lines=True).collect()) == [(1, None), (2, "b")]
+
+
+def test_entries_and_quoted_strings(spark):
+    df = spark.createDataFrame([('[1, 2, 3]',), ('{"a": 1, "b": 2}',), ("7",), (None,), ("[]",)], "j string")
+    assert [r["n"] for r in df.select(scans.entries("j").alias("n")).collect()] == [3, 2, None, None, 0]
+    page = spark.createDataFrame([("""x("/data/a.json"); y('/api/vote_station/1'); z("/other")""",)], "html string")
+    found = lambda words: {r["url"] for r in scans.addresses(page, "html", scans.quoted(words)).collect()}
+    assert found(scans.DATA_WORDS) == {"/data/a.json"} and found(scans.STATION_WORDS) == {"/api/vote_station/1"}
+
+
 def test_snapshots_stream(spark, tmp_path):
     import json
 

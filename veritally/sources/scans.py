@@ -31,6 +31,16 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, lines: bool
     return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
+def read_json_or_none(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame | None:
+    """:func:`read_json`, but None where nothing has landed under ``path`` or what has is no JSON."""
+    if not _exists(spark, path):
+        return None
+    whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    rows = read_json(spark, path, whole, lines)
+    bad = rows.where(F.col("_corrupt_record").isNotNull() & F.col(f"`{schema.fields[0].name}`").isNull())
+    return rows.drop("_corrupt_record") if bad.isEmpty() else None
+
+
 def read_json_list(spark: SparkSession, path: str, schema: T.StructType, *keys: str) -> DataFrame:
     """Records of a list root, or of an object root that holds the list under one of ``keys``."""
     record = schema.simpleString()
