@@ -17,14 +17,14 @@ BLOCK_BYTES = 4 << 20
 class Interned(dict):
     """word -> number; ``fresh`` gathers the words seen for the first time."""
 
-    def __init__(self):
+    def __init__(self, memo: int):
         super().__init__()
         self.fresh: list[bytes] = []
-        self.size = 0
+        self.size, self.memo = 0, memo
 
     @property
     def full(self) -> bool:
-        return len(self) > MEMO or self.size > MEMO_BYTES
+        return len(self) > self.memo or self.size > MEMO_BYTES
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
@@ -36,16 +36,18 @@ class Interned(dict):
 class Features:
     """Rows of a float32 or int table by word, computed in bulk for new words.
 
-    ``of``: maps a list of new words to an array with a row for each.
+    ``of``: maps a list of new words to an array with a row for each; ``memo``:
+    words after which the table starts anew (MEMO if None).
     """
 
-    def __init__(self, of: Callable[[list[bytes]], np.ndarray]):
-        self._of, self._ids, self._rows = of, Interned(), None
+    def __init__(self, of: Callable[[list[bytes]], np.ndarray], memo: int | None = None):
+        self._of, self._memo = of, memo or MEMO
+        self._ids, self._rows = Interned(self._memo), None
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(table, row number of each word)."""
         if self._ids.full:
-            self._ids, self._rows = Interned(), None
+            self._ids, self._rows = Interned(self._memo), None
         ids = np.fromiter(map(self._ids.__getitem__, words), np.int64, len(words))
         if self._ids.fresh:
             new, self._ids.fresh = self._of(self._ids.fresh), []
