@@ -342,7 +342,7 @@ def true_neighbours(classes: DataFrame, k: int) -> list[tuple[np.ndarray, np.nda
     best = Window.partitionBy("query").orderBy(F.desc("score"), "gid")
     top = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("query", "gid")
     near: dict[int, list] = {}
-    for r in top.join(classes.select("gid", "v"), "gid").collect():
+    for r in classes.select("gid", "v").join(F.broadcast(top), "gid").collect():
         near.setdefault(r["query"], []).append(r["v"])
     return [(np.array(r["v"], np.float64), np.array(near[r["gid"]], np.float64)) for r in sample if r["gid"] in near]
 
@@ -379,7 +379,7 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     for seed in range(16):
         named = rows.withColumn("gid", F.xxhash64(F.lit(seed), F.col("v")))
         least = Window.partitionBy("gid").orderBy("vec_id")
-        first = named.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1)
+        first = named.select("gid", "vec_id").distinct().withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1)
         ids = first.groupBy("gid").agg(F.collect_list("vec_id").alias("ids"), F.min("vec_id").alias("least"))
         whole = named.groupBy("gid").agg(F.min("v").alias("v"), F.max("v").alias("_v"), F.max("asks").alias("asks"))
         classes = checkpoint(whole.join(ids, "gid").select("gid", "v", (F.col("v") != F.col("_v")).alias("_clash"), "asks", "ids", "least", F.lit(seed).alias("seed")))
@@ -400,10 +400,10 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
     few, all rows are ranked.  An empty table gives an empty one; other columns
     are ignored.  ``how``: projections and visits; fitted to the vectors if None.
     """
-    rows = usable(vectors, key, vector).withColumn("asks", is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "v"])
+    rows = usable(vectors, key, vector).withColumn("asks", is_query(F.col("vec_id")))
     classes = distinct_vectors(rows, k)
     seed = classes.select("seed").first()
-    rows = rows.withColumn("gid", F.xxhash64(F.lit(seed["seed"] if seed else 0), F.col("v")))
+    rows = rows.select("vec_id", F.xxhash64(F.lit(seed["seed"] if seed else 0), F.col("v")).alias("gid"), F.size("v").alias("d"), "asks").distinct()
     queries = checkpoint(rows.where("asks").select(F.col("gid").alias("query"), F.col("vec_id").alias("query_id")))
     size = classes.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     how = how or fitted(true_neighbours(classes, k), size["n"]) or Probing(projections=1, probes=3)
@@ -430,7 +430,7 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
         return pairs.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
     near = checkpoint(ranked(found))
-    lengths = rows.select("vec_id", F.size("v").alias("d"))
+    lengths = rows.select("vec_id", "d")
     all_of = lengths.groupBy("d").agg(F.count("*").alias("n"))
     own = lengths.groupBy("d", F.col("vec_id").alias("query_id")).agg(F.count("*").alias("own"))
     wanted = queries.join(classes.select(F.col("gid").alias("query"), F.size("v").alias("d")), "query").join(all_of, "d").join(own, ["d", "query_id"])
