@@ -10,8 +10,9 @@ import pyarrow as pa
 #: Distinct words a worker remembers, and their bytes; when full, the table starts anew.
 MEMO = 400_000
 MEMO_BYTES = 64 << 20
-#: Bytes of text that are turned into arrays at once (a longer text is cut at words, never dropped).
-BLOCK_BYTES = 4 << 20
+#: Bytes of text, and texts, that are turned into arrays at once (a longer text is cut at words, never dropped).
+BLOCK_BYTES = 1 << 20
+BLOCK_TEXTS = 1024
 
 
 class Interned(dict):
@@ -69,7 +70,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 def blocks(texts: list[bytes], lower: bool = True, overlap: int = 0):
     """Yields (first, words, lengths): the words of a run of texts, and how many each has.
 
-    A run holds about BLOCK_BYTES.  A text longer than that comes in several
+    A run holds about BLOCK_BYTES and at most BLOCK_TEXTS texts.  A text longer than that comes in several
     runs of one entry, all with the same ``first``; each then begins with the last
     ``overlap`` words of the run before.
     """
@@ -88,7 +89,7 @@ def blocks(texts: list[bytes], lower: bool = True, overlap: int = 0):
         words += own
         lengths.append(len(own))
         size += len(text)
-        if size >= BLOCK_BYTES:
+        if size >= BLOCK_BYTES or len(lengths) >= BLOCK_TEXTS:
             yield first, words, np.array(lengths)
             first, words, lengths, size = i + 1, [], [], 0
     if lengths:
