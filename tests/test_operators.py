@@ -211,3 +211,18 @@ def test_entry_without_the_optional_parts(monkeypatch):
     names = entry.queries()
     assert "compare_units" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
     assert set(entry.oracle_sql()) == set(names)
+
+
+def test_ordinals_follow_the_whole_key_and_spread_one_value(spark):
+    rows = spark.range(40_000).select((F.col("id") * 7919 % 40_009).alias("b"), (F.col("id") % 3).alias("a"), F.col("id"))
+    got = [r["id"] for r in stats.with_ordinal(rows, F.desc("a"), "b", name="place").orderBy("place").collect()]
+    assert got == [r["id"] for r in rows.orderBy(F.desc("a"), "b").collect()]
+    assert [r["place"] for r in stats.with_ordinal(rows.where("id < 0"), "b", name="place").collect()] == []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = stats.with_ordinal(spark.range(20_000).select(F.lit(1).alias("x")), "x")
+        assert sorted(r["ordinal"] for r in one.collect()) == list(range(20_000))
+        sizes = one.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 10_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

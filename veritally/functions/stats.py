@@ -13,10 +13,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritally.functions.shared import checkpoint
+
 #: Bins of a pass of :func:`exact_quantiles`, and distinct values it may gather at the end.
 QUANTILE_BINS = 4_096
-#: Rows that share a window in :func:`with_ordinal`, about.
-ORDINAL_ROWS = 1_000_000
 #: Value of the chi-square distribution with 8 degrees of freedom that is passed with probability 5 %.
 CHI_SQUARE_5_PERCENT = 15.507
 
@@ -193,23 +193,21 @@ def histogram(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
     return bins.join(counts, "bin", "left").select("bin", "label", F.coalesce("n", F.lit(0)).alias("count"))
 
 
-def with_ordinal(df: DataFrame, order: str, ties: Sequence[str] = (), name: str = "ordinal") -> DataFrame:
-    """Adds each row's number, from 0, in the order of a numeric column without nulls.
+def with_ordinal(df: DataFrame, *order: str | Column, name: str = "ordinal") -> DataFrame:
+    """Adds each row's number, from 0, in the order of any sortable columns.
 
-    Rows are split at approximate quantiles of the column; a row's number is its
-    rank in its part plus the sizes of the parts before, so no task orders all
-    rows unless they fit in one part.
+    Rows are dealt out by ranges of the whole key and, below it, of a number of
+    their own, so that any count of rows with one key is spread; a row's number is
+    its place in its part plus the sizes of the parts before, of which there are as
+    many as shuffle partitions.  No task orders all rows.  Ties get numbers in no
+    particular order.  The numbered rows are checkpointed.
     """
-    n = df.count()
-    parts = min(1_024, max(1, n // ORDINAL_ROWS))
-    if parts == 1:
-        part = F.lit(0)
-    else:
-        cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
-        part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order)))
-    split = df.withColumn("_part", part)
-    sizes = split.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("_part").orderBy(order, *ties)
-    ranked = split.withColumn("_rank", F.row_number().over(within)).join(F.broadcast(starts.drop("_n")), "_part")
-    return ranked.withColumn(name, F.col("_rank") - 1 + F.col("_start")).drop("_part", "_rank", "_start")
+    own = df.withColumn("_row", F.monotonically_increasing_id())
+    sorted_ = own.repartitionByRange(*order, "_row").sortWithinPartitions(*order, "_row").drop("_row")
+    placed = checkpoint(sorted_.withColumn("_at", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return numbered.withColumn(name, F.col("_start") + at).drop("_part", "_at", "_start")

@@ -35,7 +35,7 @@ def linear_pattern(df: DataFrame, votes: str, order: str) -> DataFrame:
 
     Null under ten rows or where the votes are constant, and then not suspicious.
     """
-    numbered = stats.with_ordinal(df.select(order, F.col(votes).cast("double").alias("x")), order, ["x"])
+    numbered = stats.with_ordinal(df.select(order, F.col(votes).cast("double").alias("x")), order, "x")
     one = numbered.withColumn("ordinal", F.col("ordinal").cast("double")).agg(F.count("*").alias("rows"), stats.safe_correlation("ordinal", "x").alias("r"))
     r = F.when(F.col("rows") >= LINEAR_ROWS, F.col("r"))
     return one.select("rows", r.alias("correlation"), F.coalesce(F.abs(r) > LINEAR, F.lit(False)).alias("linear_suspicious"))

@@ -317,7 +317,7 @@ def province_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monopoly_provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provinces of one party, those with the most units first, with their place in that order."""
     rows = anomalies.province_patterns(province_units(spark, sf_dir), "province", "winner", "t", "r", "n", "k").where("pattern = 'monopoly'")
-    placed = stats.with_ordinal(rows.withColumn("_size", -F.col("total_cons")), "_size", ["province"], "place")
+    placed = stats.with_ordinal(rows, F.desc("total_cons"), "province", name="place")
     return placed.select("province", "total_cons", "dominant_party", F.col("place").cast("bigint").alias("place"))
 
 
