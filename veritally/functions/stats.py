@@ -202,12 +202,12 @@ def with_ordinal(df: DataFrame, *order: str | Column, name: str = "ordinal") ->
     many as shuffle partitions.  No task orders all rows.  Ties get numbers in no
     particular order.  The numbered rows are checkpointed.
     """
-    own = df.withColumn("_row", F.monotonically_increasing_id())
-    sorted_ = own.repartitionByRange(*order, "_row").sortWithinPartitions(*order, "_row").drop("_row")
-    placed = checkpoint(sorted_.withColumn("_at", F.monotonically_increasing_id()))
-    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return numbered.withColumn(name, F.col("_start") + at).drop("_part", "_at", "_start")
+    own = df.withColumn("_ordinal_row", F.monotonically_increasing_id())
+    sorted_ = own.repartitionByRange(*order, "_ordinal_row").sortWithinPartitions(*order, "_ordinal_row").drop("_ordinal_row")
+    placed = checkpoint(sorted_.withColumn("_ordinal_at", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_ordinal_at", 33), F.col("_ordinal_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_ordinal_part")).agg(F.count("*").alias("_ordinal_n"))
+    before = Window.orderBy("_ordinal_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_ordinal_part", F.coalesce(F.sum("_ordinal_n").over(before), F.lit(0)).alias("_ordinal_start"))
+    numbered = placed.withColumn("_ordinal_part", part).join(F.broadcast(starts), "_ordinal_part")
+    return numbered.withColumn(name, F.col("_ordinal_start") + at).drop("_ordinal_part", "_ordinal_at", "_ordinal_start")
