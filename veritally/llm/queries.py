@@ -12,10 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import ann, bpe, html_text, langid, mixing, quality_knn, quality_rules, simhash, suffix_tree, toxicity
+from veritally.functions.stats import with_ordinal
+from veritally.llm import alignment, ann, bpe, html_text, langid, mixing, prefix_trie, quality_knn, quality_rules, reply_trees, simhash, suffix_tree, toxicity
 from veritally.llm.common import remainder, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ALIGNED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +87,29 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns reply each to the one before; its tree has one branch."""
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("tree"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "tree long, turn long, role string, text string")
+    rows = said.where("tree is not null").unionByName(own)
+    placed = with_ordinal(rows, "tree", F.col("turn").asc_nulls_first(), "role", "text", name="id")
+    firsts = placed.groupBy("tree").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("first"))
+    replies = placed.join(firsts, "id", "left").withColumn("parent", F.when(F.col("first").isNull(), F.col("id") - 1)).withColumn("score", F.lit(0.0))
+    read = reply_trees.read_back(reply_trees.formatted(replies))
+    return read.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _, _ = alignment.align(table(spark, sf_dir, "documents"), *ALIGNED)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
@@ -96,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_chat_format": op12_chat_format,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {}
