@@ -1,13 +1,13 @@
 """Main text of web pages by the line-block distribution.
 
 Markup is stripped to a list of lines, one for each block element.  A line's
-weight is its letters and digits outside links.  What an element is called or
-classed changes weights only: lines of an article gain, lines of menus, adverts,
-comments and the like are penalised, unless they hold most of the page's text.
-Weights are summed over sliding windows of lines, which a penalised line cuts:
-text surges at the first line whose window reaches a threshold and dives where
-the windows fall to nothing; the lines between surge and dive points are kept.
-A cut is bridged where the text goes on in the box that it parts.
+weight is its letters and digits outside links, times a factor for what the
+elements around it are called or classed: lines of menus, adverts, comments and
+the like, and lines outside the page's articles, weigh a small part of their
+letters.  Weights are summed over sliding windows of lines of one kind.  A stretch
+of text surges where the windows rise from nothing and dives where they fall back
+to it; the text between is kept if one of its windows is high enough, for the page
+and in itself.  A stretch goes on behind lines of another kind in the same box.
 """
 
 from __future__ import annotations
@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 
 #: Lines in a window.
 WINDOW = 3
-#: Summed letters at which text surges; also what a line of an article gains.
+#: Summed letters of a window at which a stretch is text, and the share of the page's highest window.
 SURGE = 60
-#: Share of a page's weight from which articles are its text, and the lines beside them weigh nothing.
+SHARE = 0.15
+#: What counts of the letters of penalised lines, of lines beside the page's articles, and of paragraphs that are all link.
+PENALTY, BESIDE, LINKED = 0.05, 0.1, 0.3
+#: Share of a page's letters from which articles are its text.
 HELD = 0.2
 
 # Element names and attribute words of HTML pages.
@@ -73,13 +76,16 @@ SIGNS = re.compile(r"[\W_]+")
 @dataclass
 class Line:
     """One block's text, its letters and digits outside links, whether an article holds it,
-    whether it is penalised, and the boxes around it (its own, and that one's if not the body)."""
+    whether it is penalised, the boxes around it (its own, and that one's if not the body; all articles are one),
+    its letters in links, and whether it is a list item."""
 
     text: str
     letters: int
     content: bool = False
     penalised: bool = False
     boxes: tuple[int, ...] = (-1,)
+    linked: int = 0
+    item: bool = False
 
 
 def _names(value: str) -> set[str]:
@@ -220,12 +226,13 @@ def lines_of(html: str) -> list[Line]:
     out: list[Line] = []
     parts: list[str] = []
     boxes: list[int] = []
-    first = 0
+    first, block = 0, ""
 
     def flush(upto: int) -> None:
         if text := " ".join("".join(parts).split()):
             before = letters[first - 1] if first else 0
-            out.append(Line(text, letters[upto] - before, gain[first] > 0, cut[first] > 0, tuple(boxes[-2:]) or (-1,)))
+            own = letters[upto] - before
+            out.append(Line(text, own, gain[first] > 0, cut[first] > 0, (tuple(boxes[-2:]) or (-1,)) + (-2,) * (gain[first] > 0), len(SIGNS.sub("", text)) - own, block == "li"))
         parts.clear()
 
     for i, text in enumerate(texts):
@@ -240,6 +247,7 @@ def lines_of(html: str) -> list[Line]:
             parts.append(" ")
         elif name not in INLINE:
             flush(i)
+            block = "" if closing else name
             while boxes and ends[boxes[-1]] <= i:
                 boxes.pop()
             if not closing and ends[i] > i and name not in VOID and name not in UNCLOSED and name not in ("html", "body"):
@@ -247,68 +255,90 @@ def lines_of(html: str) -> list[Line]:
     return out
 
 
-def weights(lines: list[Line], gain: int = SURGE, held: float = HELD) -> list[int]:
-    """What each line counts in the windows; -1: it cuts them.
+def weights(lines: list[Line], held: float = HELD) -> tuple[list[float], list[int]]:
+    """(weight, kind) of each line; lines of one kind are penalised or not, and beside the articles or not.
 
-    Letters outside links; lines of an article gain ``gain``.  Where articles
-    hold the share ``held`` of the page's letters or more, the others count nothing.
+    A line that is all link weighs nothing, unless it is a paragraph that follows
+    text in its box; a line of an article never falls to nothing.  Lines are beside
+    the articles where these hold the share ``held`` of the page's letters or more.
     """
     free = [x for x in lines if not x.penalised]
     inside = sum(x.letters for x in free if x.content)
     article = inside > 0 and inside >= held * sum(x.letters for x in free)
-    return [-1 if x.penalised else x.letters + gain if x.content else 0 if article else x.letters for x in lines]
-
-
-def block_sums(weights: list[int], window: int = WINDOW) -> list[int]:
-    """For each line the weights of the ``window`` lines from it on, up to a cut."""
+    out: list[float] = []
+    kinds = [2 * x.penalised + (article and not x.content) for x in lines]
+    for k, x in enumerate(lines):
+        weight = float(x.letters)
+        if not weight and x.linked and not x.item and k and out[-1] > 0 and kinds[k] == kinds[k - 1] and set(x.boxes) & set(lines[k - 1].boxes):
+            weight = LINKED * x.linked
+        weight += x.content
+        out.append(weight * (PENALTY if x.penalised else 1) * (BESIDE if kinds[k] % 2 else 1))
+    return out, kinds
+
+
+def block_sums(weights: list[float], kinds: list[int], window: int = WINDOW) -> list[float]:
+    """For each line the weights of the ``window`` lines from it on, as far as they are of its kind."""
     out = []
     for i in range(len(weights)):
-        total = 0
-        for w in weights[i : i + window]:
-            if w < 0:
+        total = 0.0
+        for k in range(i, min(i + window, len(weights))):
+            if kinds[k] != kinds[i]:
                 break
-            total += w
+            total += weights[k]
         out.append(total)
     return out
 
 
-def stretches(weights: list[int], boxes: list[tuple[int, ...]] | None = None, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """(surge, dive) line numbers of each stretch of text, the dive excluded.
+def stretches(weights: list[float], kinds: list[int], boxes: list[tuple[int, ...]] | None = None, window: int = WINDOW) -> list[tuple[int, float, list[int]]]:
+    """(kind, highest window, line numbers from surge to dive) of each stretch.
 
-    Text surges at a line that has weight and whose window sums up to ``surge``
-    (on a page without such a window, to anything), and dives after the last line
-    with weight before a window falls to nothing.  Across a cut it goes on if the
-    next line has weight and one of the ``boxes`` of the stretch's lines around it.
+    Text surges where windows rise from nothing and dives after the last line with
+    weight before they fall to it or the kind changes, or, once it was high, before a
+    line that has none of the boxes around it.  It goes on behind lines of another
+    kind if the next of its own has weight and one of these boxes.
     """
-    sums = block_sums(weights, window)
-    threshold = surge if max(sums, default=0) >= surge else 1
-    found, i = [], 0
-    while i < len(weights):
-        if weights[i] <= 0 or sums[i] < threshold:
-            i += 1
-            continue
-        j, dive, around = i, i, set()
-        while j < len(weights) and sums[j] > 0:
-            around.update(boxes[j] if boxes else ())
-            j += 1
-            if weights[j - 1] > 0:
-                dive = j
-            k = j
-            while k < len(weights) and weights[k] < 0:
-                k += 1
-            if j < k < len(weights) and weights[k] > 0 and boxes and around.intersection(boxes[k]):
-                j = k
-        found.append((i, dive))
-        i = max(j, i + 1)
+    sums, found = block_sums(weights, kinds, window), []
+    for kind in sorted(set(kinds)):
+        i = 0
+        while i < len(weights):
+            if kinds[i] != kind or weights[i] <= 0:
+                i += 1
+                continue
+            j, peak, own, held, around = i, 0.0, [], 0, set()
+            while j < len(weights) and kinds[j] == kind and sums[j] > 0:
+                if boxes and peak >= SURGE and not around.intersection(boxes[j]):
+                    break
+                around.update(boxes[j] if boxes else ())
+                peak = max(peak, sums[j])
+                own.append(j)
+                held = len(own) if weights[j] > 0 else held
+                j += 1
+                k = j
+                while k < len(weights) and kinds[k] != kind:
+                    k += 1
+                if j < k < len(weights) and weights[k] > 0 and boxes and around.intersection(boxes[k]):
+                    j = k
+            found.append((kind, peak, own[:held]))
+            i = j
     return found
 
 
-def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
+def kept_lines(weights: list[float], kinds: list[int], boxes: list[tuple[int, ...]] | None = None, window: int = WINDOW) -> list[int]:
+    """Line numbers of the stretches with a window of SURGE letters and of SHARE of the page's highest.
+
+    On a page without a window of SURGE letters that isn't penalised, SHARE of the
+    highest is enough for lines that aren't.
+    """
+    found = stretches(weights, kinds, boxes, window)
+    highest = max((peak for kind, peak, _ in found if kind < 2), default=0.0)
+    least = lambda kind: max(SURGE if kind >= 2 or highest >= SURGE else 0, SHARE * highest)
+    return sorted(k for kind, peak, own in found if peak >= least(kind) for k in own)
+
+
+def main_text(html: str, window: int = WINDOW) -> str:
     """The blocks between surge and dive points, each with white space folded, joined by a space."""
     lines = lines_of(html)
-    weight = weights(lines, surge)
-    found = stretches(weight, [x.boxes for x in lines], window, surge)
-    return " ".join(lines[k].text for i, j in found for k in range(i, j) if weight[k] >= 0)
+    return " ".join(lines[k].text for k in kept_lines(*weights(lines), [x.boxes for x in lines], window))
 
 
 def extract(html: Column) -> Column:
