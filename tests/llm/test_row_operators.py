@@ -211,6 +211,35 @@ def test_thresholds_by_language(toxic):
     assert (moved.score(np.array([2.0, 2.0]), np.array([0, 1])) > 0.5).tolist() == [False, True]
 
 
+def test_pooling_equals_plain_convolution(toxic):
+    """Each text's filters slid over its own words alone, whatever stands beside it in a run; and in training."""
+    r = np.random.default_rng(7)
+    texts = [r.integers(0, len(toxic.places), n) for n in (0, 1, 2, 3, 40, 0, 5, 1)]
+
+    def plain(rows):
+        out, column = [], 0
+        padded = [*(rows if len(rows) else [0]), 0, 0]
+        for width in toxicity.WIDTHS:
+            parts = [toxic.places[padded, column + k * toxicity.FILTERS : column + (k + 1) * toxicity.FILTERS] for k in range(width)]
+            out.append(np.max([sum(parts[k][i + k] for k in range(width)) for i in range(len(padded) - 2)], axis=0))
+            column += width * toxicity.FILTERS
+        return np.concatenate(out)
+
+    want = np.array([plain(t) for t in texts])
+    for order in (range(8), reversed(range(8)), [3, 3, 0, 4, 7, 1]):
+        order = list(order)
+        got = toxic.pooled(np.concatenate([texts[i] for i in order]), np.array([len(texts[i]) for i in order]))
+        assert np.allclose(got, want[order], atol=1e-5)
+    assert np.allclose(toxic.pooled(np.zeros(0, np.int64), np.array([0])), plain([]))
+
+
+def test_repeated_texts_score_the_same_beside_any_others(frame, toxic):
+    bad = [f"you {w} scum" for w in ("are", "be", "look")]
+    rows = [(i, t, None, None) for i, t in enumerate(["calm words", *bad, "calm words", "scum of it", "calm words", "", "scum", "calm words"])]
+    rows = toxicity.score(frame(rows).coalesce(1), toxic).collect()
+    assert len({r["score"] for r in rows if r["text"] == "calm words"}) == 1
+
+
 def test_toxic_word_anywhere_in_a_text(frame, toxic):
     texts = ["scum " + LONG, LONG + " scum", prose("en", 300) + " SCUM!! " + prose("en", 301), prose("en", 302), prose("de", 303) + " scum.", prose("de", 304)]
     rows = toxicity.score(frame([(i, t, None, None) for i, t in enumerate(texts)]), toxic).collect()

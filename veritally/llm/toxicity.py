@@ -65,16 +65,21 @@ class ToxicityModel:
         return self.rows[np.fromiter(map(bucket, words), np.int64, len(words))]
 
     def pooled(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Greatest response of each filter for each run of words."""
+        """Greatest response of each filter for each run of words, over the places of its words (one place for none).
+
+        Windows may reach into the padding behind a run, never into the next run.
+        """
         tail = max(WIDTHS) - 1
         padded = np.zeros(len(rows) + tail * (len(lengths) + 1), np.int64)
         starts = np.concatenate(([0], np.cumsum(lengths + tail)[:-1]))
         padded[np.arange(len(rows)) + np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)] = rows
         n, best, column = int(lengths.sum() + tail * len(lengths)), [], 0
+        beyond = np.arange(n) - np.repeat(starts, lengths + tail) >= np.repeat(np.maximum(lengths, 1), lengths + tail)
         for width in WIDTHS:
             response = self.places[padded[:n], column : column + FILTERS].copy()
             for k in range(1, width):
                 response += self.places[padded[k : n + k], column + k * FILTERS : column + (k + 1) * FILTERS]
+            response[beyond] = -np.inf
             best.append(np.maximum.reduceat(response, starts, axis=0))
             column += width * FILTERS
         return np.concatenate(best, axis=1)
