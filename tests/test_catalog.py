@@ -1,3 +1,5 @@
+import sys
+
 import pytest
 from oracle import connect, differences
 
@@ -13,3 +15,15 @@ def con(sf_dir):
 def test_query_equals_sql(spark, sf_dir, con, name):
     n, m, wrong = differences(catalog.QUERIES[name](spark, sf_dir), con, catalog.ORACLES[name])
     assert n == m and not wrong, (n, m, wrong)
+
+
+def test_entry_without_the_optional_part(monkeypatch, capsys):
+    """What the optional subpackage imports may be missing; the verification queries stay."""
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith("veritally.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    assert __spark_entry__.queries() == catalog.QUERIES and __spark_entry__.oracle_sql() == catalog.ORACLES
+    assert "left out" in capsys.readouterr().err
