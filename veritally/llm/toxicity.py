@@ -69,12 +69,13 @@ class ToxicityModel:
 
         Windows may reach into the padding behind a run, never into the next run.
         """
-        tail = max(WIDTHS) - 1
-        padded = np.zeros(len(rows) + tail * (len(lengths) + 1), np.int64)
-        starts = np.concatenate(([0], np.cumsum(lengths + tail)[:-1]))
-        padded[np.arange(len(rows)) + np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)] = rows
-        n, best, column = int(lengths.sum() + tail * len(lengths)), [], 0
-        beyond = np.arange(n) - np.repeat(starts, lengths + tail) >= np.repeat(np.maximum(lengths, 1), lengths + tail)
+        tail, places = max(WIDTHS) - 1, np.maximum(lengths, 1)
+        ends = np.cumsum(places + tail)
+        starts, n = ends - places - tail, int(ends[-1]) if len(ends) else 0
+        padded = np.zeros(n + tail, np.int64)
+        padded[np.arange(len(rows)) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)] = rows
+        beyond = np.arange(n) - np.repeat(starts, places + tail) >= np.repeat(places, places + tail)
+        best, column = [], 0
         for width in WIDTHS:
             response = self.places[padded[:n], column : column + FILTERS].copy()
             for k in range(1, width):
