@@ -8,14 +8,14 @@ by the keys' remainders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.functions.shared import workspace
 from veritally.operators import compare, denormalise
 from veritally.plans.catalog import query, table
 from veritally.sources import scans, schemas, sinks
-from veritally.streaming import snapshots
+from veritally.streaming import reconcile, snapshots
 
 LINES = """lines as (select l_orderkey o, l_linenumber l, sum(l_quantity)::bigint votes from lineitem group by 1, 2),
     feed as (select o, l, 'C' || o_custkey || '_' || o unit_id, o || '-' || l candidate_id, ((o + l) % 9)::int party_id, case when o % 10 = 0 and l = 2 then null else votes end votes,
@@ -195,13 +195,63 @@ def land_snapshots(spark: SparkSession, sf_dir: str) -> str:
 
 @query(f"with {SNAPSHOTS} select unit_id, max(ts) ts, arg_max(total, (ts, total)) total from snaps group by 1")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest total of each unit, kept as a table by a stream over landed snapshots."""
+    """The newest total of each unit: a streaming aggregate, whose changes are put into a table of runs."""
     stream = snapshots.totals(snapshots.read_snapshots(spark, land_snapshots(spark, sf_dir), lines=True))
     state = workspace(spark, "state")
-    run = snapshots.run_once(stream, workspace(spark, "stream"), snapshots.into_state(state))
+    run = snapshots.run_once(snapshots.latest(stream), workspace(spark, "stream"), snapshots.into_state(spark, state), "update")
     run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    return spark.read.parquet(f"{state}/{last}")
+    return snapshots.state_table(spark, state).read(run.lastProgress["batchId"] + 1 if run.lastProgress else 0)
+
+
+# Two streams of documents a unit and hour: events and their values, and a second source that
+# lacks every seventh user, adds to every third event and leaves the second candidate out of every fifth.
+
+STREAMS = """official as (select user_id::varchar unit_id, ts, event_id, event_type "name", coalesce(floor("value" * 100)::bigint, 0) votes, event_id % 50 rest from events where user_id % 11 <> 0),
+    citizen as (select user_id::varchar unit_id, ts, event_id, event_type "name", coalesce(floor("value" * 100)::bigint, 0) + case when event_id % 3 = 0 then event_id % 90 else 0 end votes, case when event_id % 5 <> 0 then event_id % 50 end rest from events where user_id % 7 <> 0),
+    final as (select epoch_ms(least((select max(ts) from official), (select max(ts) from citizen))) - 600000 upto),
+    o as (select unit_id, time_bucket(interval 1 hour, ts) "start", arg_max({'name': "name", 'votes': votes, 'rest': rest}, (ts, "name", votes, rest)) x from official group by all),
+    c as (select unit_id, time_bucket(interval 1 hour, ts) "start", arg_max({'name': "name", 'votes': votes, 'rest': rest}, (ts, "name", votes, rest)) x from citizen group by all),
+    pairs as (select unit_id, "start", case when c.x is null then 'official' when o.x is null then 'citizen' else 'both' end sides, o.x.votes + coalesce(o.x.rest, 0) official_total, c.x.votes + coalesce(c.x.rest, 0) citizen_total,
+        [{'n': o.x.name, 'x': o.x.votes, 'y': case when o.x.name = c.x.name then c.x.votes else 0 end}, {'n': c.x.name, 'x': case when o.x.name = c.x.name then o.x.votes else 0 end, 'y': c.x.votes}, {'n': 'rest', 'x': coalesce(o.x.rest, 0), 'y': coalesce(c.x.rest, 0)}] cells
+      from o full join c using (unit_id, "start"), final where epoch_ms("start") + 3600000 <= upto),
+    diff as (select *, case when sides = 'both' then len(list_filter(list_distinct(cells), lambda d: d.x <> d.y)) end n_discrepant, case when sides = 'both' then len(list_filter(list_distinct(cells), lambda d: (d.x = 0) <> (d.y = 0))) end n_missing,
+        abs(official_total - citizen_total) difference from pairs),
+    compared as (select unit_id, "start", sides, official_total, citizen_total, difference, n_discrepant, n_missing,
+      case when sides <> 'both' then null when difference = 0 then 'IDENTICAL' when difference > 50 or difference / nullif(official_total, 0) * 100 > 2 or n_missing > 0 then 'CRITICAL'
+        when difference > 10 or difference / nullif(official_total, 0) * 100 > 0.5 then 'SIGNIFICANT' else 'MINOR' end "level" from diff)"""
+
+
+def stream_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The landed documents of both sources, read as streams."""
+    events, e = table(spark, sf_dir, "events"), F.col("event_id")
+
+    def landed(rows: DataFrame, votes: Column, rest: Column, field: str) -> DataFrame:
+        own = F.array(F.struct(F.col("event_type").alias("name"), votes.alias("votes")), F.struct(F.lit("rest").alias("name"), rest.alias("votes")))
+        folder = workspace(spark, f"landed-{field}")
+        sinks.land(rows.select(F.col("user_id").cast("string").alias("unit_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), own.alias(field)), folder)
+        return reconcile.entries(snapshots.read_snapshots(spark, folder, lines=True))
+
+    votes = F.coalesce(F.floor(F.col("value") * 100), F.lit(0))
+    official = landed(events.where("user_id % 11 <> 0"), votes, e % 50, "candidates")
+    return official, landed(events.where("user_id % 7 <> 0"), votes + F.when(e % 3 == 0, e % 90).otherwise(0), F.when(e % 5 != 0, e % 50), "parties")
+
+
+def _reconciled(spark: SparkSession, sf_dir: str) -> str:
+    folder = workspace(spark, "reconciled")
+    reconcile.run(reconcile.compared(*stream_sources(spark, sf_dir)), folder, workspace(spark, "stream")).awaitTermination()
+    return folder
+
+
+@query(f"with {STREAMS} select * from compared")
+def stream_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sources as streams, joined by unit and hour: the hours the watermark has passed."""
+    return spark.read.parquet(f"{_reconciled(spark, sf_dir)}/compared").drop("end", "batch")
+
+
+@query(f"""with {STREAMS}, l as (select unit_id, "start", lag("level") over (partition by unit_id order by "start") level_before, "level" from compared where "level" is not null) select * from l where level_before <> "level" """)
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units whose level isn't that of the hour compared before."""
+    return spark.read.parquet(f"{_reconciled(spark, sf_dir)}/alerts").drop("batch")
 
 
 @query(f"""with {SNAPSHOTS}, noon as (select median(ts) mid from snaps), a as (select unit_id, arg_max(total, (ts, total)) total_before from snaps, noon where ts < mid group by 1), b as (select unit_id, arg_max(total, (ts, total)) total_after from snaps group by 1)
@@ -214,11 +264,14 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.changes(snapshots.latest(before), snapshots.latest(totals), 500)
 
 
-@query(f"""with {SNAPSHOTS} select time_bucket(interval 5 minutes, ts) "start", time_bucket(interval 5 minutes, ts) + interval 5 minutes "end", count(*) documents from snaps group by 1""")
+@query(f"""with {SNAPSHOTS}, final as (select epoch_ms(max(ts)) - 3600000 upto from snaps), w as (select time_bucket(interval 5 minutes, ts) "start", count(*) documents from snaps group by 1)
+    select "start", "start" + interval 5 minutes "end", documents from w, final where epoch_ms("start") + 300000 <= upto""")
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in each window of event time."""
-    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("unit_id"), "ts")
-    return snapshots.activity(events).drop("units")
+    """Documents in each window of event time that the watermark of a stream has passed."""
+    stream, folder = snapshots.read_snapshots(spark, land_snapshots(spark, sf_dir), lines=True), workspace(spark, "activity")
+    windows = snapshots.activity(snapshots.totals(stream))
+    windows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", workspace(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(windows.schema).parquet(folder).drop("units")
 
 
 @query("select l_orderkey % 10 id, count(*) n, sum(l_quantity)::bigint votes from lineitem group by 1")

@@ -11,14 +11,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from veritally.sources import schemas
+from veritally.streaming.state import LatestTable
 
+TOTALS = schemas.record(unit_id=schemas.TEXT, ts=T.TimestampType(), total=schemas.LONG)
 
-def read_snapshots(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
-    """(unit_id, ts, candidates, parties) of the JSON files that land in a folder; ``lines``: one object a line."""
-    rows = spark.readStream.schema(schemas.UNIT_DOCUMENT).json(folder, multiLine=not lines)
+
+def read_snapshots(spark: SparkSession, folder: str, lines: bool = False, files: int | None = None) -> DataFrame:
+    """(unit_id, ts, candidates, parties) of the JSON files that land in a folder; ``lines``: one object a line;
+    ``files``: at most so many files a micro-batch."""
+    reader = spark.readStream if files is None else spark.readStream.option("maxFilesPerTrigger", files)
+    rows = reader.schema(schemas.UNIT_DOCUMENT).json(folder, multiLine=not lines)
     return rows.withColumn("ts", F.to_timestamp("timestamp"))
 
 
@@ -34,19 +40,13 @@ def latest(totals: DataFrame) -> DataFrame:
     return totals.groupBy("unit_id").agg(F.max(F.struct("ts", "total")).alias("m")).select("unit_id", "m.ts", "m.total")
 
 
-def into_state(folder: str) -> Callable[[DataFrame, int], None]:
-    """For each micro-batch of totals: the latest of every unit so far, as the table ``folder``/<batch>.
-
-    A batch that is repeated writes its table again from that of the batch before.
-    """
+def into_state(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
+    """For each micro-batch of changed units: the newest total of every unit so far, in a :class:`LatestTable`."""
+    return state_table(spark, folder).put
 
-    def each(batch: DataFrame, number: int) -> None:
-        spark, seen = batch.sparkSession, batch
-        if number:
-            seen = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/{number - 1}"))
-        latest(seen).write.mode("overwrite").parquet(f"{folder}/{number}")
 
-    return each
+def state_table(spark: SparkSession, folder: str) -> LatestTable:
+    return LatestTable(spark, folder, TOTALS, ["unit_id"], "ts")
 
 
 def changes(before: DataFrame, after: DataFrame, alert_over: int) -> DataFrame:
@@ -62,6 +62,10 @@ def activity(totals: DataFrame, window: str = "5 minutes", late: str = "1 hour")
     return seen.agg(F.count("*").alias("documents"), F.approx_count_distinct("unit_id").alias("units")).select("window.start", "window.end", "documents", "units")
 
 
-def run_once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Process all that has landed since the last run in micro-batches, then stop."""
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
+    """Process all that has landed since the last run in micro-batches, then stop.
+
+    ``mode`` "update" is for aggregates such as :func:`latest` of a stream: their
+    state is a row for each unit, and a batch hands on only the units it changed.
+    """
+    return stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
