@@ -226,3 +226,26 @@ def test_ordinals_follow_the_whole_key_and_spread_one_value(spark):
         assert max(r["count"] for r in sizes) < 10_000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("scale, shift", [(100, 0), (1, 50), (1e7, -3e6), (1e-3, 0), (1e14, 0)])
+def test_unit_fences_equal_numpy(spark, scale, shift):
+    """Quartiles, mean and deviation of rounded values of any range, from their counts."""
+    import numpy as np
+
+    values = np.round(np.random.default_rng(5).standard_normal(3_001) * scale + shift, 2)
+    df = spark.createDataFrame([(float(x),) for x in values] + [(None,), (math.nan,)], "x double")
+    found = stats.unit_fences(stats.unit_counts(df, "x"))
+    q1, q2, q3 = np.quantile(values, (0.25, 0.5, 0.75))
+    want = {"q1": q1, "median": q2, "q3": q3, "iqr": q3 - q1, "mean": values.mean(), "stdev": values.std(ddof=1), "total": 3_001}
+    assert {k: found[k] for k in want} == pytest.approx(want, rel=1e-9, abs=1e-9 * scale)
+
+
+def test_unit_fences_of_few_values(spark):
+    of = lambda *xs: stats.unit_fences(stats.unit_counts(spark.createDataFrame([(x,) for x in xs], "x double"), "x"))
+    assert of()["total"] == 0 and of()["q1"] is None and of(None)["median"] is None
+    assert (of(7.25)["median"], of(7.25)["stdev"], of(7.25)["upper_fence"]) == (7.25, 0.0, 7.25)
+    assert of(1.0, 2.0)["q1"] == 1.25 and of(*[5.0] * 9, 6.0)["iqr"] == 0
+    endless = of(1.0, math.inf, math.inf)
+    assert endless["median"] == math.inf and endless["q1"] == math.inf and endless["mean"] == math.inf
+    assert of(-math.inf, 1.0, 2.0)["median"] == 1.0 and math.isnan(of(-math.inf, math.inf)["mean"])

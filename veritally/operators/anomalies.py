@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.functions import stats
+from veritally.functions.shared import checkpoint
 
 # Limits of the analyses and of the flags' severities, in percent (z: deviations).
 EXTREME_SHARE = 60
@@ -30,16 +31,23 @@ def rated(df: DataFrame, part: str, whole: str, name: str = "rate") -> DataFrame
 def fenced(df: DataFrame, value: str, two_sided: bool = False, wide: bool = False) -> DataFrame:
     """Adds z, is_outlier and flag (low, high or normal) from the column's own fences.
 
-    ``wide``: the column is no share of a whole and may have any number of distinct values.
+    ``wide``: the column is no share of a whole and may have any number of distinct
+    values, of two places.  Its rows are then kept by a checkpoint, so that what they
+    are made of is worked out once.
     """
-    summary = stats.wide_fence_summary(df, value) if wide else stats.fence_summary(df, value)
-    summary = summary.select("mean", "stdev", "lower_fence", "upper_fence")
-    x, low, high = F.col(value), F.col("lower_fence"), F.col("upper_fence")
+    x = F.col(value)
+    if wide:
+        df = checkpoint(df)
+        found = stats.unit_fences(stats.unit_counts(df, value))
+        low, high, mean, deviation = (F.lit(found[k]).cast("double") for k in ("lower_fence", "upper_fence", "mean", "stdev"))
+        out = df
+    else:
+        out = df.crossJoin(F.broadcast(stats.fence_summary(df, value).select("mean", "stdev", "lower_fence", "upper_fence")))
+        low, high, mean, deviation = (F.col(k) for k in ("lower_fence", "upper_fence", "mean", "stdev"))
     label = F.when(x > high, "high")
     label = (label.when(x < low, "low") if two_sided else label).otherwise("normal")
-    out = df.crossJoin(F.broadcast(summary)).withColumn("flag", label)
-    out = out.withColumn("z", stats.z_score(x, F.col("mean"), F.col("stdev"))).withColumn("is_outlier", F.col("flag") != "normal")
-    return out.drop("mean", "stdev", "lower_fence", "upper_fence")
+    out = out.withColumn("flag", label).withColumn("z", stats.z_score(x, mean, deviation)).withColumn("is_outlier", F.col("flag") != "normal")
+    return out if wide else out.drop("mean", "stdev", "lower_fence", "upper_fence")
 
 
 def rate_outliers(df: DataFrame, part: str, whole: str) -> DataFrame:
@@ -63,11 +71,20 @@ def rate_flags(df: DataFrame, parts: Mapping[str, str], whole: str, unit: str) -
 
 
 def fence_report(df: DataFrame, value: str, two_sided: bool = False, wide: bool = False) -> DataFrame:
-    """One row: the summary of a rounded column, to two places, and how many rows are outliers."""
-    summary = stats.wide_fence_summary(df, value) if wide else stats.fence_summary(df, value)
+    """One row: the summary of a rounded column, to two places, and how many rows are outliers.
+
+    ``wide`` (see :func:`fenced`): all of it from the counts of the column's values.
+    """
+    if wide:
+        counts = stats.unit_counts(df, value)
+        found = stats.unit_fences(counts)
+        summary = df.sparkSession.createDataFrame([tuple(found[k] for k in stats.FENCES)], ", ".join(f"{k} {'long' if k == 'total' else 'double'}" for k in stats.FENCES))
+        rows = counts.select((F.col("unit") / 100.0).alias(value), "n")
+    else:
+        summary, rows = stats.fence_summary(df, value), df.select(value, F.lit(1).alias("n"))
     outside = F.col(value) > F.col("upper_fence")
     outside = outside | (F.col(value) < F.col("lower_fence")) if two_sided else outside
-    count = df.crossJoin(F.broadcast(summary)).agg(F.count_if(outside).alias("outlier_count"))
+    count = rows.crossJoin(F.broadcast(summary)).agg(F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outlier_count"))
     rounded = [F.round(c, 2).alias(c) for c in ("mean", "median", "stdev", "q1", "q3", "iqr", "lower_fence", "upper_fence")]
     return summary.select(*rounded, "total").crossJoin(F.broadcast(count))
 
