@@ -50,7 +50,9 @@ def ancestors(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     makes a root.  Messages in or below a cycle have no root and are left out.
     """
     known = messages.select(F.col("id").alias("up"))
-    state = messages.join(known, F.col("parent") == F.col("up"), "left").select("id", "up", F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"))
+    replies = messages.where("parent is not null").join(known, F.col("parent") == F.col("up"), "left")
+    first = messages.where("parent is null").withColumn("up", F.lit(None).cast("long"))  # not joined: all would meet in one task
+    state = replies.unionByName(first).select("id", "up", F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"))
     state, hops, longest = checkpoint(state), [], 1
     n = state.count()
     while longest <= n and state.where("up is not null").limit(1).count():
