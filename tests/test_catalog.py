@@ -3,7 +3,7 @@ import sys
 import pytest
 from oracle import connect, differences
 
-from veritally.plans import catalog, feeds  # noqa: F401
+from veritally.plans import catalog, feeds, reports  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -249,3 +249,18 @@ def test_unit_fences_of_few_values(spark):
     endless = of(1.0, math.inf, math.inf)
     assert endless["median"] == math.inf and endless["q1"] == math.inf and endless["mean"] == math.inf
     assert of(-math.inf, 1.0, 2.0)["median"] == 1.0 and math.isnan(of(-math.inf, math.inf)["mean"])
+
+
+def test_schema_discovery(spark):
+    """Mixed types, lists in lists, broken and missing documents, empty objects."""
+    from veritally.sources import discovery
+
+    rows = ['{"a": 1, "b": [1, "x", [2.5, null]], "c": {}}', '{"a": null, "b": []}', "{broken", None, "[true]", '{"a": {"d": 1e3}}']
+    got = {(r["path"], r["type"]): (r["count"], r["share"], r["least_size"], r["greatest_size"]) for r in discovery.discover(spark.createDataFrame([(x,) for x in rows], "j string"), "j").collect()}
+    assert got == {
+        ("$", "object"): (3, 0.5, None, None), ("$", "broken"): (1, 0.1667, None, None), ("$", "missing"): (1, 0.1667, None, None), ("$", "array"): (1, 0.1667, 1, 1), ("$[]", "boolean"): (1, 1.0, None, None),
+        ("$.a", "integer"): (1, 0.3333, None, None), ("$.a", "null"): (1, 0.3333, None, None), ("$.a", "object"): (1, 0.3333, None, None), ("$.a.d", "number"): (1, 1.0, None, None),
+        ("$.b", "array"): (2, 0.6667, 0, 3), ("$.b[]", "integer"): (1, 0.3333, None, None), ("$.b[]", "string"): (1, 0.3333, None, None), ("$.b[]", "array"): (1, 0.3333, 2, 2),
+        ("$.b[][]", "number"): (1, 0.5, None, None), ("$.b[][]", "null"): (1, 0.5, None, None), ("$.c", "object"): (1, 0.3333, None, None),
+    }
+    assert discovery.discover(spark.createDataFrame([], "j string"), "j").collect() == []

@@ -116,8 +116,8 @@ ENDLESS = 1 << 62
 GATHERED = 4_096
 
 
-def unit_counts(df: DataFrame, value: str, digits: int = 2) -> DataFrame:
-    """(unit, n): how many rows have each value of a column rounded to ``digits`` places, in whole units of the last.
+def unit_counts(df: DataFrame, value: str, digits: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, unit, n): how many rows (of each group) have each value of a column rounded to ``digits`` places, in whole units of the last.
 
     One shuffle of partial counts, checkpointed: what quantiles and moments need,
     whatever they are asked.  Nulls and NaN are left out; values of 2 ** 62 units
@@ -125,79 +125,95 @@ def unit_counts(df: DataFrame, value: str, digits: int = 2) -> DataFrame:
     """
     x = clean(F.col(value).cast("double")) * 10.0**digits
     unit = F.when(x >= ENDLESS, ENDLESS).when(x <= -ENDLESS, -ENDLESS).otherwise(F.floor(x + 0.5))
-    return checkpoint(df.select(unit.cast("bigint").alias("unit")).where("unit is not null").groupBy("unit").agg(F.count("*").alias("n")))
+    return checkpoint(df.select(*by, unit.cast("bigint").alias("unit")).where("unit is not null").groupBy(*by, "unit").agg(F.count("*").alias("n")))
 
 
-def unit_quantiles(counts: DataFrame, shares: Sequence[float]) -> tuple[list[float | None], int, float, float]:
-    """(exact quantiles of :func:`unit_counts` by linear interpolation in units, rows, mean, sample deviation).
+def unit_quantiles(counts: DataFrame, shares: Sequence[float], by: str | None = None) -> dict[object, tuple[list[float], int, float, float]]:
+    """{group: (exact quantiles by linear interpolation in units, rows, mean, sample deviation)} of :func:`unit_counts`.
 
-    Coarse bins (sign, digits and the first three of them) come first, each with its
-    sum and its spread about its first unit; bins that hold a wanted rank are cut on
-    until they span few units, which are gathered.  For shares of a whole one such
-    step is enough.
+    ``by``: a column of few groups (None: all rows are group None); groups without
+    rows are absent.  Coarse bins (sign, digits and the first three of them) come
+    first, each with its sum and its spread about its first unit; bins that hold a
+    wanted rank are cut on until they span few units, which are gathered, those of
+    all groups in one job.  For shares of a whole one such step is enough.
     """
+    counts = counts.select((F.col(by) if by else F.lit(None).cast("int")).alias("g"), "unit", "n")
     size = F.abs("unit").cast("string")
     base = F.rpad(F.left(size, F.lit(3)), F.length(size), "0").cast("bigint") * F.signum("unit").cast("bigint")
     beyond = (F.col("unit") - base).cast("double")
-    bins = counts.groupBy(base.alias("base")).agg(
+    bins = counts.groupBy("g", base.alias("base")).agg(
         F.min("unit").alias("lo"), F.max("unit").alias("hi"), F.sum("n").alias("n"), F.sum(F.col("unit").cast("decimal(19,0)") * F.col("n").cast("decimal(15,0)")).alias("sum"), F.sum(beyond * beyond * F.col("n")).alias("spread")
     )
-    rows = sorted(bins.collect(), key=lambda r: r["lo"])
-    total = sum(r["n"] for r in rows)
-    if not total:
-        return [None] * len(shares), 0, math.nan, 0.0
-    mean, squares = sum(int(r["sum"]) for r in rows) / total, 0.0
-    for r in rows:
-        own = int(r["sum"]) / r["n"]
-        squares += r["spread"] - r["n"] * (own - r["base"]) ** 2 + r["n"] * (own - mean) ** 2
-    deviation = math.sqrt(max(0.0, squares) / (total - 1)) if total > 1 else 0.0
-    if rows[-1]["hi"] >= ENDLESS or rows[0]["lo"] <= -ENDLESS:
-        mean, deviation = math.nan if rows[0]["lo"] <= -ENDLESS and rows[-1]["hi"] >= ENDLESS else math.copysign(math.inf, rows[-1]["hi"] if rows[-1]["hi"] >= ENDLESS else -1), math.nan
-    wanted = sorted({int((total - 1) * p) + k for p in shares for k in (0, 1) if int((total - 1) * p) + k < total})
-    found: dict[int, int] = {}
-    spans, below = [], 0
-    for r in rows:
-        if here := [k for k in wanted if below <= k < below + r["n"]]:
-            spans.append((r["lo"], r["hi"], below, here))
-        below += r["n"]
+    groups: dict[object, list] = {}
+    for r in sorted(bins.collect(), key=lambda r: r["lo"]):
+        groups.setdefault(r["g"], []).append(r)
+    moments, found, spans = {}, {}, []
+    for g, rows in groups.items():
+        total = sum(r["n"] for r in rows)
+        moments[g] = total, *_moments(rows, total)
+        wanted = sorted({int((total - 1) * p) + k for p in shares for k in (0, 1) if int((total - 1) * p) + k < total})
+        spans += _spans(rows, g, 0, wanted, found)
     while spans:
-        width = {s[:2]: max(1, -(-(s[1] - s[0] + 1) // GATHERED)) for s in spans}
-        at, cell = F.col("unit"), F.lit(None).cast("bigint")
-        inside = F.lit(False)
-        for lo, hi, *_ in spans:
-            own = (at >= lo) & (at <= hi)
-            inside, cell = inside | own, F.when(own, F.floor((at - F.lit(lo)) / F.lit(width[lo, hi])) if width[lo, hi] > 1 else at - F.lit(lo)).otherwise(cell)
-        span = F.lit(-1)
-        for k, (lo, hi, *_) in enumerate(spans):
-            span = F.when((at >= lo) & (at <= hi), k).otherwise(span)
+        span, cell, inside = F.lit(-1), F.lit(None).cast("bigint"), F.lit(False)
+        for k, (g, lo, hi, *_) in enumerate(spans):
+            own = F.col("g").eqNullSafe(F.lit(g)) & (F.col("unit") >= lo) & (F.col("unit") <= hi)
+            width = max(1, -(-(hi - lo + 1) // GATHERED))
+            span, cell, inside = F.when(own, k).otherwise(span), F.when(own, F.call_function("div", F.col("unit") - F.lit(lo), F.lit(width))).otherwise(cell), inside | own
         cells = counts.where(inside).groupBy(span.alias("span"), cell.alias("cell")).agg(F.min("unit").alias("lo"), F.max("unit").alias("hi"), F.sum("n").alias("n")).collect()
         narrower = []
-        for k, (_, _, below, ranks) in enumerate(spans):
-            for r in sorted((c for c in cells if c["span"] == k), key=lambda c: c["lo"]):
-                if here := [x for x in ranks if below <= x < below + r["n"]]:
-                    if r["lo"] == r["hi"]:
-                        found |= dict.fromkeys(here, r["lo"])
-                    else:
-                        narrower.append((r["lo"], r["hi"], below, here))
-                below += r["n"]
+        for k, (g, _, _, below, ranks) in enumerate(spans):
+            narrower += _spans(sorted((c for c in cells if c["span"] == k), key=lambda c: c["lo"]), g, below, ranks, found)
         spans = narrower
     real = lambda u: math.copysign(math.inf, u) if abs(u) >= ENDLESS else u
+    out = {}
+    for g, (total, mean, deviation) in moments.items():
+        quantiles = []
+        for p in shares:
+            at = (total - 1) * p
+            low, part = real(found[g, int(at)]), at - int(at)
+            high = real(found[g, int(at) + 1]) if part else low
+            quantiles.append(low if low == high else low + (high - low) * part)
+        out[g] = quantiles, total, mean, deviation
+    return out
+
+
+def _moments(rows: list, total: int) -> tuple[float, float]:
+    """Mean and sample deviation from bins with exact sums; infinite or NaN where units are."""
+    low, high = rows[0]["lo"] <= -ENDLESS, rows[-1]["hi"] >= ENDLESS
+    if low or high:
+        return math.nan if low and high else math.inf if high else -math.inf, math.nan
+    mean, squares = sum(int(r["sum"]) for r in rows) / total, 0.0
+    for r in rows:
+        own = int(r["sum"]) / r["n"]
+        squares += r["spread"] - r["n"] * (own - r["base"]) ** 2 + r["n"] * (own - mean) ** 2
+    return mean, math.sqrt(max(0.0, squares) / (total - 1)) if total > 1 else 0.0
+
+
+def _spans(rows: list, group: object, below: int, ranks: list[int], found: dict) -> list[tuple]:
+    """(group, lo, hi, rows below, ranks) of the bins that hold ranks and more than one unit; others go to ``found``."""
     out = []
-    for p in shares:
-        at = (total - 1) * p
-        low, part = real(found[int(at)]), at - int(at)
-        high = real(found[int(at) + 1]) if part else low
-        out.append(low if low == high else low + (high - low) * part)
-    return out, total, mean, deviation
+    for r in rows:
+        if here := [k for k in ranks if below <= k < below + r["n"]]:
+            if r["lo"] == r["hi"]:
+                found |= {(group, k): r["lo"] for k in here}
+            else:
+                out.append((group, r["lo"], r["hi"], below, here))
+        below += r["n"]
+    return out
 
 
 def unit_fences(counts: DataFrame, digits: int = 2) -> dict[str, float | None]:
     """FENCES of the values that :func:`unit_counts` counted."""
-    (q1, q2, q3), n, mean, deviation = unit_quantiles(counts, (0.25, 0.5, 0.75))
-    if not n:
-        return dict.fromkeys(FENCES) | {"stdev": 0.0, "total": 0}
-    q1, q2, q3, mean, deviation = (x / 10.0**digits for x in (q1, q2, q3, mean, deviation))
-    return dict(zip(FENCES, (mean, q2, deviation, q1, q3, q3 - q1, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1), n)))
+    return grouped_unit_fences(counts, None, digits).get(None) or dict.fromkeys(FENCES) | {"stdev": 0.0, "total": 0}
+
+
+def grouped_unit_fences(counts: DataFrame, by: str | None, digits: int = 2) -> dict[object, dict[str, float]]:
+    """:func:`unit_fences` of each group, from the same few jobs."""
+    out = {}
+    for g, ((q1, q2, q3), n, mean, deviation) in unit_quantiles(counts, (0.25, 0.5, 0.75), by).items():
+        q1, q2, q3, mean, deviation = (x / 10.0**digits for x in (q1, q2, q3, mean, deviation))
+        out[g] = dict(zip(FENCES, (mean, q2, deviation, q1, q3, q3 - q1, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1), n)))
+    return out
 
 
 def outside(x: Column, low: float | None, high: float | None) -> Column:

@@ -143,6 +143,26 @@ def turnout_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("unit_id", F.round("turnout_rate", 4).alias("turnout_rate"))
 
 
+@query("""with t as (select sum(l_extendedprice) came, any_value(o_totalprice) registered from lineitem join orders on l_orderkey = o_orderkey group by l_orderkey)
+    select 'registered' eligible, true present, count(*) filter (came > 0 and registered > 0 and came / registered * 100 > 95) findings from t union all select 'unheard_of', false, null""")
+def turnout_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold check by the columns it is given: none where one is missing."""
+    out = []
+    for eligible in ("registered", "unheard_of"):
+        found = verify.turnout_over(order_turnout(spark, sf_dir), "came", eligible)
+        rows = spark.range(1).select(F.lit(None).cast("bigint").alias("findings")) if found is None else found.agg(F.count("*").alias("findings"))
+        out.append(rows.select(F.lit(eligible).alias("eligible"), F.lit(found is not None).alias("present"), "findings"))
+    return out[0].unionByName(out[1])
+
+
+@query("select count(*) votes, count(*) in_range, count(*) skewed, 'violates' uniform from orders")
+def synthetic_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic votes for every order: uniform ones violate the first-digit law."""
+    rows = scans.with_synthetic_votes(table(spark, sf_dir, "orders"), "o_orderkey")
+    one = rows.agg(F.count("*").alias("votes"), F.count_if(F.col("uniform").between(1000, 9998)).alias("in_range"), F.count_if(F.col("skewed") >= 0).alias("skewed"))
+    return one.crossJoin(F.broadcast(anomalies.benford_test(rows, "uniform").select(F.col("interpretation").alias("uniform"))))
+
+
 def _histogram_sql(rates: str, edges: tuple) -> str:
     last = len(edges) - 2
     bins = ", ".join(f"({i}, {edges[i]}, {edges[i + 1]})" for i in range(last + 1))

@@ -104,6 +104,33 @@ def unit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", F.array_join("zone", ",").alias("zones")).drop("zone", "candidates", "parties")
 
 
+def land_feed(spark: SparkSession, sf_dir: str) -> str:
+    """The five feeds as files: lists under a name, plain lists and records, in pieces of bounded size, one a line."""
+    statistics, provinces, parties, info, people = feed(spark, sf_dir)
+    folder = workspace(spark, "feed")
+
+    def pieces(rows: DataFrame, key: Column) -> DataFrame:
+        own = F.struct(*[F.col(c) for c in rows.columns])
+        return rows.groupBy(F.floor(key / 50).alias("piece")).agg(F.collect_list(own).alias("records"))
+
+    number = lambda c: F.regexp_extract(c, "[0-9]+$", 0).cast("bigint")
+    sinks.write_json(statistics, f"{folder}/statistics.json")
+    sinks.write_json(pieces(provinces, number("prov_id")).select(F.col("records").alias("province")), f"{folder}/provinces.json")
+    pieces(parties, number("id")).select(F.to_json("records").alias("value")).write.text(f"{folder}/parties.json")
+    sinks.write_json(pieces(info, number("cons_id")).select(F.col("records").alias("constituency")), f"{folder}/constituencies.json")
+    sinks.write_json(people, f"{folder}/candidates.json")
+    return folder
+
+
+@query(f"with {UNIT_ROWS} select * from units")
+def landed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unit table of feeds that were landed and read."""
+    folder = land_feed(spark, sf_dir)
+    names = ("statistics", "provinces", "parties", "constituencies", "candidates")
+    rows = denormalise.units(*[scans.read_feed(spark, folder, name, lines=True) for name in names])
+    return rows.select("*", F.array_join("zone", ",").alias("zones")).drop("zone", "candidates", "parties")
+
+
 @query(f"with {PLACED} select * from placed")
 def unit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates nested in the unit table, a row each."""

@@ -41,11 +41,11 @@ def read_json_or_none(spark: SparkSession, path: str, schema: T.StructType, line
     return rows.drop("_corrupt_record") if bad.isEmpty() else None
 
 
-def read_json_list(spark: SparkSession, path: str, schema: T.StructType, *keys: str) -> DataFrame:
-    """Records of a list root, or of an object root that holds the list under one of ``keys``."""
+def read_json_list(spark: SparkSession, path: str, schema: T.StructType, *keys: str, lines: bool = False) -> DataFrame:
+    """Records of a list root, or of an object root that holds the list under one of ``keys``; ``lines``: such a root a line."""
     record = schema.simpleString()
     nested = T.StructType([*schema.fields, *[T.StructField(k, T.ArrayType(schema)) for k in keys]])
-    rows = read_json(spark, path, nested)
+    rows = read_json(spark, path, nested, lines)
     if not keys:
         return rows
     own = F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]).cast(record)
@@ -53,8 +53,8 @@ def read_json_list(spark: SparkSession, path: str, schema: T.StructType, *keys:
     return rows.select(F.explode(lists).alias("r")).select("r.*")
 
 
-def read_feed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of FEEDS below ``folder``; an optional one that is missing is empty."""
+def read_feed(spark: SparkSession, folder: str, name: str, lines: bool = False) -> DataFrame:
+    """One of FEEDS below ``folder``; an optional one that is missing is empty; ``lines``: large ones, landed in pieces, one a line."""
     shape = {
         "statistics": (schemas.STATISTICS,),
         "provinces": (schemas.PROVINCES, "province"),
@@ -66,12 +66,12 @@ def read_feed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if FEEDS[name] and not _exists(spark, path):
         return spark.createDataFrame([], shape[0])
     if name == "provinces":  # the list may have the name of one of its fields
-        return _provinces(spark, path)
-    return read_json_list(spark, path, *shape)
+        return _provinces(spark, path, lines)
+    return read_json_list(spark, path, *shape, lines=lines)
 
 
-def _provinces(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema("prov_id string, province string").json(path, multiLine=True)
+def _provinces(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    rows = spark.read.schema("prov_id string, province string").json(path, multiLine=not lines)
     listed = F.from_json("province", T.ArrayType(schemas.PROVINCES))
     whole = F.coalesce(F.when(F.col("prov_id").isNull(), listed), F.array(F.struct("prov_id", "province")))
     return rows.select(F.explode(whole).alias("r")).select("r.*")
@@ -111,9 +111,15 @@ def from_records(spark: SparkSession, rows: Iterable[Mapping], schema: T.StructT
 
 
 def synthetic_votes(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """(id, skewed, uniform): log-normal and uniform votes, for trying the first-digit test."""
-    skewed = F.exp(8 + 2 * F.randn(seed)).cast("bigint")
-    return spark.range(n).select("id", skewed.alias("skewed"), (1000 + F.floor(F.rand(seed) * 8999)).cast("bigint").alias("uniform"))
+    """(id, skewed, uniform): see :func:`with_synthetic_votes`."""
+    return with_synthetic_votes(spark.range(n), "id", seed)
+
+
+def with_synthetic_votes(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Adds log-normal (skewed) and uniform votes, for trying the first-digit test; they depend on the key and the seed alone."""
+    part = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), F.col(key)), 11) + 1) / F.lit(float(1 << 53))
+    normal = F.sqrt(-2 * F.ln(part(1))) * F.cos(2 * F.pi() * part(2))
+    return rows.withColumn("skewed", F.exp(8 + 2 * normal).cast("bigint")).withColumn("uniform", (1000 + F.floor(part(3) * 8999)).cast("bigint"))
 
 
 def perturbed(votes: DataFrame, unit: str, amount: Mapping[int, int], modulus: int, name: str, only: str) -> DataFrame:
@@ -148,3 +154,15 @@ def addresses(df: DataFrame, html: str, pattern: str = 'href="([^"]+)"', longest
     """(url, found): distinct matches of a pattern's group, shorter than ``longest``."""
     found = df.select(F.explode(F.regexp_extract_all(html, F.lit(pattern), 1)).alias("url"))
     return found.where(F.length("url") < longest).groupBy("url").agg(F.count("*").alias("found"))
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The nested anomaly report (a row of ``operators.report.REPORT``) as :func:`sinks.write_json` wrote it."""
+    from veritally.operators.report import REPORT
+
+    return spark.read.schema(REPORT).json(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(json): documents of any shape, one a line, as text."""
+    return spark.read.text(path).withColumnRenamed("value", "json")
