@@ -264,3 +264,18 @@ def test_schema_discovery(spark):
         ("$.b[][]", "number"): (1, 0.5, None, None), ("$.b[][]", "null"): (1, 0.5, None, None), ("$.c", "object"): (1, 0.3333, None, None),
     }
     assert discovery.discover(spark.createDataFrame([], "j string"), "j").collect() == []
+
+
+def test_rounding_equals_pythons(spark):
+    """Of the exact binary value, ties to even: worked cases, random ones, and neighbours of ties."""
+    import random
+
+    r, xs = random.Random(11), [1.005, 2.675, 0.125, 0.375, 1.115, 3.125, 9.375, 0.0, -0.125, -2.675, -0.004, 1e15, 1e300, 123456789.125, 99.995, 100.0, 2.0**44 / 100]
+    xs += [r.uniform(-500, 500) for _ in range(4_000)] + [r.randrange(10**6) / 1000 for _ in range(4_000)] + [r.randrange(10**5) / 32 for _ in range(2_000)]
+    xs += [math.nextafter(k / 200, to) for k in range(1, 2_001, 2) for to in (-9e9, 9e9)] + [k / 7 * 100 for k in range(500)]
+    for digits in (2, 1, 4):
+        df = spark.createDataFrame([(x,) for x in xs], "x double")
+        got = [tuple(row) for row in df.select("x", stats.round_half_even(F.col("x"), digits)).collect()]
+        assert [(x, y) for x, y in got if y != round(x, digits)] == []
+    odd = spark.createDataFrame([(None,), (math.nan,), (math.inf,)], "x double").select(stats.round_half_even(F.col("x")).alias("y")).collect()
+    assert odd[0]["y"] is None and math.isnan(odd[1]["y"]) and odd[2]["y"] == math.inf

@@ -32,7 +32,24 @@ EDGES = {
 
 def rate(part: Column, whole: Column, digits: int = 2) -> Column:
     """part / whole in percent, rounded; null where whole is 0 or null."""
-    return F.round(F.try_divide(part, whole) * 100, digits)
+    return round_half_even(F.try_divide(part, whole) * 100, digits)
+
+
+def round_half_even(x: Column, digits: int = 2) -> Column:
+    """The double nearest to the exact binary value of ``x`` at ``digits`` (up to 7) decimal places; exact ties to the even one.
+
+    1.005 is below 1.005 and gives 1.0, 0.125 is a tie and gives 0.12.  ``x`` times
+    the power of ten is a rounded product and its error, which halves of ``x`` give
+    exactly; both decide.  Values too large to have such places stay.
+    """
+    scale = 10.0**digits
+    product = x * scale
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper 26 bits
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product)
+    rest = product - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (F.abs(whole) % 2 == 1))))
+    return F.when(F.abs(x) < 2.0**52 / scale, (whole + F.when(up, 1).otherwise(0)) / scale).otherwise(x)
 
 
 def exact_mean(x: Column, digits: int, scale: int = 8) -> Column:

@@ -150,9 +150,9 @@ def benford_digits(df: DataFrame, value: str, least: float = 10) -> DataFrame:
     return rows.select(
         "digit",
         F.coalesce("n", F.lit(0)).alias("observed_count"),
-        F.round(observed * 100, 2).alias("observed_pct"),
-        F.round(expected * 100, 2).alias("expected_pct"),
-        F.round((observed - expected) * 100, 2).alias("deviation"),
+        stats.round_half_even(observed * 100).alias("observed_pct"),
+        stats.round_half_even(expected * 100).alias("expected_pct"),
+        stats.round_half_even((observed - expected) * 100).alias("deviation"),
         "total",
         expected.alias("expected_share"),
     )

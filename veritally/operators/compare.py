@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritally.functions import stats
+from veritally.functions.stats import with_ordinal
+
 # The names of the levels, from best to worst.
 LEVELS = ("IDENTICAL", "MINOR", "SIGNIFICANT", "CRITICAL")
 PROBLEMS = ("SIGNIFICANT", "CRITICAL")
@@ -131,7 +134,7 @@ def summarise(units: DataFrame) -> DataFrame:
     """One row: compared units, units of each level and their percentages (0 without units)."""
     counts = [F.count_if(F.col("level") == x).alias(x.lower()) for x in LEVELS]
     one = units.agg(F.count("*").alias("total"), *counts)
-    return one.select("total", *[x.lower() for x in LEVELS], *[F.round(F.coalesce(F.try_divide(F.col(x.lower()), F.col("total")) * 100, F.lit(0.0)), 2).alias(f"{x.lower()}_pct") for x in LEVELS])
+    return one.select("total", *[x.lower() for x in LEVELS], *[F.coalesce(stats.rate(F.col(x.lower()), F.col("total")), F.lit(0.0)).alias(f"{x.lower()}_pct") for x in LEVELS])
 
 
 def by_group(units: DataFrame, group: str) -> DataFrame:
@@ -139,10 +142,16 @@ def by_group(units: DataFrame, group: str) -> DataFrame:
     return units.groupBy(group).agg(F.count("*").alias("units"), F.count_if(F.col("level") == LEVELS[0]).alias("identical"), F.count_if(F.col("difference") > 0).alias("discrepancies"), F.count_if(F.col("level") == LEVELS[3]).alias("critical"))
 
 
-def group_members(units: DataFrame, group: str, unit: str = "unit_id") -> DataFrame:
-    """:func:`by_group` with each group's units as an array, in order; for groups that fit in one document."""
-    members = units.groupBy(group).agg(F.array_sort(F.collect_list(unit)).alias("members"))
-    return by_group(units, group).join(members, group)
+def group_members(units: DataFrame, group: str, unit: str = "unit_id", page_rows: int = 1_000) -> DataFrame:
+    """(group, page, units, members): each group's units in order, in numbered arrays of at most ``page_rows``; units counts the group.
+
+    Places in a group come from one global order, so a group with most of the units
+    is nested by as many tasks as it has pages.  Null groups are a group.
+    """
+    placed = with_ordinal(units.select(group, unit), group, unit, name="_at")
+    firsts = placed.groupBy(group).agg(F.min("_at").alias("_first"), F.count("*").alias("units"))
+    own = placed.alias("p").join(firsts.alias("f"), F.col(f"p.{group}").eqNullSafe(F.col(f"f.{group}"))).select(F.col(f"p.{group}").alias(group), unit, "units", F.floor((F.col("_at") - F.col("_first")) / page_rows).alias("page"))
+    return own.groupBy(group, "page", "units").agg(F.array_sort(F.collect_list(unit)).alias("members"))
 
 
 def level_members(units: DataFrame, unit: str = "unit_id") -> DataFrame:

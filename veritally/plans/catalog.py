@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.functions import stats
-from veritally.operators import anomalies, compare, dashboard, denormalise, statistics, verify
+from veritally.operators import anomalies, compare, dashboard, denormalise, spatial, statistics, verify
 from veritally.sources import scans, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,11 +69,11 @@ CUSTOMERS = """units as (select o_custkey unit_id, count(*) turn_out, count(*) f
     count(*) filter (o_orderstatus = 'F') counted from orders group by 1)"""
 PARTS = "units as (select l_partkey unit_id, count(*) turn_out, count(*) filter (l_returnflag in ('R', 'A')) wasted from lineitem group by 1)"
 TURNOUT = """units as (select l_orderkey unit_id, sum(l_extendedprice) came from lineitem group by 1),
-    rates as (select unit_id, round(came / o_totalprice * 100, 2) rate from units join orders on o_orderkey = unit_id where o_totalprice > 0 and came > 0)"""
+    rates as (select unit_id, round_even(came / o_totalprice * 100, 2) rate from units join orders on o_orderkey = unit_id where o_totalprice > 0 and came > 0)"""
 
 
 def _rates_sql(units: str, part: str) -> str:
-    return f"{units}, rates as (select *, round({part} / turn_out * 100, 2) rate from units where turn_out > 0)"
+    return f"{units}, rates as (select *, round_even({part} / turn_out * 100, 2) rate from units where turn_out > 0)"
 
 
 def _outliers_sql(rates: str, columns: str, two_sided: bool = False) -> str:
@@ -197,7 +197,7 @@ LINE_ORDER = "l_quantity desc, l_linenumber, l_partkey, l_suppkey"
 RACES = f"""places as (select l_orderkey unit_id, l_linenumber, l_quantity, row_number() over (partition by l_orderkey order by {LINE_ORDER}) place from lineitem),
     races as (select unit_id, max(l_linenumber) filter (place = 1) winner, max(l_quantity) filter (place = 1) winner_votes, max(l_quantity) filter (place = 2) second_votes,
       count(*) n_candidates, sum(l_quantity) total_votes from places group by 1)"""
-DOMINANCE = f"""{RACES}, shares as (select *, round(winner_votes / total_votes * 100, 2) rate, case when second_votes is null then 0.0 else round((winner_votes - second_votes) / total_votes * 100, 2) end margin_pct
+DOMINANCE = f"""{RACES}, shares as (select *, round_even(winner_votes / total_votes * 100, 2) rate, case when second_votes is null then 0.0 else round_even((winner_votes - second_votes) / total_votes * 100, 2) end margin_pct
     from races where total_votes > 0 and winner_votes > 0)"""
 
 
@@ -224,8 +224,8 @@ def dominance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.histogram(anomalies.winner_dominance(races(spark, sf_dir)), "winner_pct", stats.EDGES["dominance"])
 
 
-@query(f"""with {RACES} select unit_id, winner_votes - second_votes margin_votes, round((winner_votes - second_votes) / total_votes * 100, 2) margin_pct, n_candidates
-    from races where n_candidates >= 2 and total_votes > 0 and round((winner_votes - second_votes) / total_votes * 100, 2) < 3""")
+@query(f"""with {RACES} select unit_id, winner_votes - second_votes margin_votes, round_even((winner_votes - second_votes) / total_votes * 100, 2) margin_pct, n_candidates
+    from races where n_candidates >= 2 and total_votes > 0 and round_even((winner_votes - second_votes) / total_votes * 100, 2) < 3""")
 def close_races(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomalies.close_races(races(spark, sf_dir)).select("unit_id", "margin_votes", "margin_pct", "n_candidates").orderBy("margin_pct", "unit_id")
 
@@ -233,7 +233,7 @@ def close_races(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Progress and sums ----------------------------------------------------------------------------
 # Counted: a customer's finished orders (F); paused: most of them open.
 
-PROGRESS = f"with {CUSTOMERS}, progress as (select *, turn_out - counted remaining, round(counted / turn_out * 100, 2) percent_count from units)"
+PROGRESS = f"with {CUSTOMERS}, progress as (select *, turn_out - counted remaining, round_even(counted / turn_out * 100, 2) percent_count from units)"
 
 
 @query(f"{PROGRESS} select unit_id, remaining, percent_count from progress where percent_count < 100 order by percent_count, unit_id limit 20")
@@ -249,7 +249,7 @@ def progress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with u as (select l_orderkey unit_id, max(l_linenumber) turn_out, count(*) filter (l_returnflag = 'N') valid, count(*) filter (l_returnflag = 'R') invalid, count(*) filter (l_returnflag = 'A') blank from lineitem group by 1)
-    select unit_id, turn_out, abs(valid + invalid + blank - turn_out) difference, round(abs(valid + invalid + blank - turn_out) / turn_out * 100, 2) pct_diff from u where turn_out > 0 and valid + invalid + blank <> turn_out""")
+    select unit_id, turn_out, abs(valid + invalid + blank - turn_out) difference, round_even(abs(valid + invalid + blank - turn_out) / turn_out * 100, 2) pct_diff from u where turn_out > 0 and valid + invalid + blank <> turn_out""")
 def turnout_sum_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turnout: the highest line number; valid, invalid, blank: lines by return flag."""
     flag = lambda s: F.count_if(F.col("l_returnflag") == s)
@@ -258,7 +258,7 @@ def turnout_sum_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUMS = """with sums as (select l_orderkey unit_id, round(sum(l_extendedprice), 4) candidate_sum from lineitem group by 1),
-    errors as (select unit_id, round(abs(candidate_sum - o_totalprice), 4) difference, round(abs(candidate_sum - o_totalprice) / o_totalprice * 100, 2) pct_diff from sums join orders on o_orderkey = unit_id
+    errors as (select unit_id, round(abs(candidate_sum - o_totalprice), 4) difference, round_even(abs(candidate_sum - o_totalprice) / o_totalprice * 100, 2) pct_diff from sums join orders on o_orderkey = unit_id
       where o_totalprice > 0 and abs(candidate_sum - o_totalprice) > 0.005)"""
 
 
@@ -287,7 +287,7 @@ DIGITS = """d as (select substr(cast(floor(o_totalprice) as bigint)::varchar, 1,
     x as (select sum((n - total * e) ** 2 / (total * e)) x, max(total) total from rows)"""
 
 
-@query(f"""with {DIGITS} select digit, n observed_count, round(n / total * 100, 2) observed_pct, round(e * 100, 2) expected_pct, round((n / total - e) * 100, 2) deviation from rows""")
+@query(f"""with {DIGITS} select digit, n observed_count, round_even(n / total * 100, 2) observed_pct, round_even(e * 100, 2) expected_pct, round_even((n / total - e) * 100, 2) deviation from rows""")
 def benford_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomalies.benford_digits(table(spark, sf_dir, "orders"), "o_totalprice").drop("total", "expected_share")
 
@@ -312,7 +312,7 @@ def benford_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROVINCES = """l as (select l_orderkey k, sum(l_extendedprice) came, count(*) n, count(*) filter (l_returnflag = 'R') r from lineitem group by 1),
-    u as (select o_custkey province, o_orderkey k, o_orderstatus winner, round(came / o_totalprice * 100, 2) t, r / n * 100 i from orders join l on k = o_orderkey),
+    u as (select o_custkey province, o_orderkey k, o_orderstatus winner, round_even(came / o_totalprice * 100, 2) t, r / n * 100 i from orders join l on k = o_orderkey),
     p as (select province, winner, count(*) n, min(k) seen from u where winner <> '' group by 1, 2), b as (select *, row_number() over (partition by province order by n desc, seen) place from p),
     g as (select province, sum(n)::bigint total_cons, count(*) unique_winners, max(winner) filter (place = 1) dominant_party, max(n) filter (place = 1) dominant_count from b group by 1),
     q as (select province, case when t > 0 then floor(t * 1e8 + 0.5)::bigint end t8, case when t > 0 then floor(t * 1e4 + 0.5)::hugeint end t4, floor(i * 1e8 + 0.5)::bigint i8 from u),
@@ -464,7 +464,7 @@ def compare_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"with {COMPARED} select count(*) total, "
-    + ", ".join(f"""count(*) filter ("level" = '{x}') {x.lower()}, round(count(*) filter ("level" = '{x}') / count(*) * 100, 2) {x.lower()}_pct""" for x in compare.LEVELS)
+    + ", ".join(f"""count(*) filter ("level" = '{x}') {x.lower()}, round_even(count(*) filter ("level" = '{x}') / count(*) * 100, 2) {x.lower()}_pct""" for x in compare.LEVELS)
     + " from compared"
 )
 def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -529,11 +529,41 @@ def compare_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.by_group(rows, "province")
 
 
-@query(f"""with {COMPARED}, {NATIONS} select coalesce(province, 'unknown') province, count(*) units, string_agg(unit_id, ',' order by unit_id) members from compared left join places using (unit_id) group by 1""")
+PAGE = 3
+
+
+@query(f"""with {COMPARED}, {NATIONS}, n as (select coalesce(province, 'unknown') province, unit_id from compared left join places using (unit_id)),
+    p as (select *, (row_number() over (partition by province order by unit_id) - 1) // {PAGE} page, count(*) over (partition by province) units from n)
+    select province, page, units, string_agg(unit_id, ',' order by unit_id) members from p group by all""")
 def nation_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation's nested list of compared units, written out."""
+    """Each nation's nested list of compared units, in pages, written out."""
     rows = denormalise.with_lookup(compared(spark, sf_dir), places(spark, sf_dir), "unit_id", "province", F.lit("unknown"))
-    return compare.group_members(rows, "province").select("province", "units", F.array_join(F.transform("members", lambda u: u.cast("string")), ",").alias("members"))
+    text = F.array_join(F.transform("members", lambda u: u.cast("string")), ",")
+    return compare.group_members(rows, "province", page_rows=PAGE).withColumn("members", text)
+
+
+# A customer's place: its number on a sheet of forty columns; the measure: its balance, higher to the right.
+
+SPOTS = "spots as (select c_custkey % 40 x, c_custkey // 40 % 60 y, c_acctbal + 1000 * (c_custkey % 40) v from customer where c_acctbal is not null)"
+
+
+@query(f"""with {SPOTS}, cells as (select floor(x / 5.0)::bigint cx, floor(y / 5.0)::bigint cy, v - (select avg(v) from spots) z from spots), c as (select cx, cy, count(*) n, sum(z) s, sum(z * z) m2, sum(z ** 4) m4 from cells group by 1, 2),
+    near as (select cx + i cx, cy + j cy, sum(n) nn, sum(s) ss from c, (select unnest([-1, 0, 1]) i), (select unnest([-1, 0, 1]) j) group by 1, 2),
+    t as (select sum(n)::double n, sum(n * (nn - 1))::double w, sum(n * (nn - 1) ** 2)::double d, sum(m2) m2, sum(m4) m4, sum(s * ss - m2) p from c join near using (cx, cy)), e as (select *, -1 / (n - 1) e, n * p / (w * m2) i, n * m4 / (m2 * m2) b from t),
+    r as (select *, (n * ((n * n - 3 * n + 3) * 2 * w - n * 4 * d + 3 * w * w) - b * ((n * n - n) * 2 * w - 2 * n * 4 * d + 6 * w * w)) / ((n - 1) * (n - 2) * (n - 3) * w * w) - e * e v from e)
+    select n::bigint units, (w / 2)::bigint pairs, round(i, 6) moran_i, round(e, 6) expected, round((i - e) / sqrt(v), 4) z from r""")
+def spatial_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, k = table(spark, sf_dir, "customer").where("c_acctbal is not null"), F.col("c_custkey")
+    found = spatial.morans_i(rows, k % 40, F.floor(k / 40) % 60, F.col("c_acctbal") + 1000 * (k % 40), 5.0)
+    return found.select("units", "pairs", *[F.round(c, 6).alias(c) for c in ("moran_i", "expected")], F.round("z", 4).alias("z"))
+
+
+@query(f"""with {SPOTS} select count(*) > 0 tested, 19 permutations, 0 as_far from spots""")
+def spatial_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend to the right is farther from chance than all permutations."""
+    rows, k = table(spark, sf_dir, "customer").where("c_acctbal is not null"), F.col("c_custkey")
+    found = spatial.permutation_test(rows, k % 40, F.floor(k / 40) % 60, F.col("c_acctbal") + 1000 * (k % 40), 5.0, permutations=19)
+    return found.select(F.col("moran_i").isNotNull().alias("tested"), "permutations", "as_far")
 
 
 @query(f"""with {COMPARED}, {NATIONS} select unit_id, province, "level", difference from compared join places using (unit_id) where "level" in ('SIGNIFICANT', 'CRITICAL')""")

@@ -177,9 +177,9 @@ def keyed_provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {UNIT_ROWS} select unit_id, constituency, province from units")
 def unit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list of units as CSV, written and scanned again."""
+    """The list of units as CSV with byte order marks, written and scanned again."""
     folder = workspace(spark, "unit-list")
-    sinks.write_csv(units(spark, sf_dir).select("unit_id", "constituency", "province"), folder)
+    sinks.write_csv(units(spark, sf_dir).select("unit_id", "constituency", "province"), folder, mark=True)
     return scans.read_unit_list(spark, folder)
 
 

@@ -21,14 +21,14 @@ TOP = 10
 E = stats.EDGES
 #: (name, SQL value over u, what is a finding, order of the findings, edges)
 SECTIONS = (
-    ("turnout", "case when price > 0 and came > 0 then round(came / price * 100, 2) end", "both", "-abs(v - median)", E["turnout"]),
-    ("invalid_ballots", "round(invalid / n * 100, 2)", "high", "-v", E["invalid"]),
-    ("blank_votes", "round(blank / n * 100, 2)", "high", "-v", E["blank"]),
-    ("wasted_votes", "round(wasted / n * 100, 2)", "high", "-v", E["wasted"]),
-    ("winner_dominance", "case when votes > 0 and fst > 0 then round(fst / votes * 100, 2) end", "v > 60", "-v", E["dominance"]),
-    ("close_races", "case when n > 1 and votes > 0 then round((fst - snd) / votes * 100, 2) end", "v < 3", "v", ()),
-    ("counting_progress", "round(counted / n * 100, 2)", "v < 100", "v", ()),
-    ("math_consistency", "case when price > 0 and abs(came - price) > 0.005 then round(abs(came - price) / price * 100, 2) end", "v > 10", "-v", ()),
+    ("turnout", "case when price > 0 and came > 0 then round_even(came / price * 100, 2) end", "both", "-abs(v - median)", E["turnout"]),
+    ("invalid_ballots", "round_even(invalid / n * 100, 2)", "high", "-v", E["invalid"]),
+    ("blank_votes", "round_even(blank / n * 100, 2)", "high", "-v", E["blank"]),
+    ("wasted_votes", "round_even(wasted / n * 100, 2)", "high", "-v", E["wasted"]),
+    ("winner_dominance", "case when votes > 0 and fst > 0 then round_even(fst / votes * 100, 2) end", "v > 60", "-v", E["dominance"]),
+    ("close_races", "case when n > 1 and votes > 0 then round_even((fst - snd) / votes * 100, 2) end", "v < 3", "v", ()),
+    ("counting_progress", "round_even(counted / n * 100, 2)", "v < 100", "v", ()),
+    ("math_consistency", "case when price > 0 and abs(came - price) > 0.005 then round_even(abs(came - price) / price * 100, 2) end", "v > 10", "-v", ()),
 )
 
 

@@ -90,7 +90,7 @@ def read_units(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
 
 def read_unit_list(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of unit_id, constituency, province (UTF-8, with or without a byte order mark)."""
-    return spark.read.csv(path, header=True, schema=schemas.UNIT_LIST, enforceSchema=True)
+    return spark.read.csv(path, header=True, schema=schemas.UNIT_LIST, enforceSchema=True, escape='"')
 
 
 def read_unit_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

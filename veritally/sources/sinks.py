@@ -11,9 +11,24 @@ def write_json(df: DataFrame, path: str, files: int | None = None) -> None:
     (df.coalesce(files) if files else df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
-    """CSV with a header, UTF-8 without a byte order mark."""
-    (df.coalesce(files) if files else df).write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, files: int | None = None, mark: bool = False) -> None:
+    """CSV with a header, UTF-8, quotes inside quoted values doubled.
+
+    ``mark``: each file starts with a byte order mark, and a table without rows
+    leaves no file and no folder.  Files are then written as text, each part's first
+    row behind the mark and the header, so Spark's task commit holds for them, too.
+    """
+    df = df.coalesce(files) if files else df
+    if not mark:
+        df.write.mode("overwrite").csv(path, header=True, escape='"')
+        return
+    if df.isEmpty():
+        return
+    header = ",".join('"' + c.replace('"', '""') + '"' if set(c) & set(',"\n\r') else c for c in df.columns)
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"escape": '"'})
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    rows = df.select(line.alias("value"), first.alias("first"))
+    rows.select(F.when(F.col("first"), F.concat(F.lit(f"\ufeff{header}\n"), "value")).otherwise(F.col("value")).alias("value")).write.mode("overwrite").text(path)
 
 
 def land(df: DataFrame, path: str) -> None:
