@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
+from veritally.llm.common import released
+
 #: Words with more bytes than this are merged by a heap.
 SHORT_WORD = 192
 #: Chunks whose ids a worker remembers, and their bytes with those of their ids; when full, it starts anew.
@@ -144,6 +146,10 @@ class WordBpe:
         self._memo[chunk] = got
         return got
 
+    def forget(self) -> None:
+        self._memo.clear()
+        self._size = 0
+
     def encode(self, text: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian unsigned 32-bit integers.
 
@@ -168,6 +174,11 @@ def _tokenizer(spec: str) -> WordBpe:
     return _loaded[spec]
 
 
+def _forget() -> None:
+    for tokenizer in _loaded.values():
+        tokenizer.forget()
+
+
 def encode_decode(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
     """Adds n_tokens (long), ids (binary: little-endian uint32) and decoded (string).
 
@@ -201,4 +212,4 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays(columns + new, names=[*keep, "n_tokens", "ids", "decoded"])
                 start = end
 
-    return df.mapInArrow(run, T.StructType(fields + added))
+    return df.mapInArrow(released(run, _forget), T.StructType(fields + added))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritally.llm.common import released
 from veritally.llm.samples import bounded_sample, sample_texts
 from veritally.llm.words import Features, blocks, raw_texts, sums
 
@@ -245,4 +246,4 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
             new = [pa.array(names, pa.string()), pa.array(p), pa.array(coverage), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *new], names=[*keep, *added])
 
-    return docs.select(*[docs[c] for c in keep]).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep]).mapInArrow(released(run), schema)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritally.llm.common import released
 from veritally.llm.samples import bounded_sample, sample_texts
 from veritally.llm.words import BLOCK_BYTES, Features, blocks, raw_texts
 
@@ -188,4 +189,4 @@ def score(docs: DataFrame, model: NeighbourModel, text: str = "text") -> DataFra
             new = [pa.array(out), pa.array((out >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *new], names=[*keep, "score", "predicted"])
 
-    return docs.select(*[docs[c] for c in keep]).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep]).mapInArrow(released(run), schema)
