@@ -32,11 +32,12 @@ from tokenizers import Tokenizer
 
 from veritally.functions.shared import workspace
 from veritally.llm.bpe import byte_letters
+from veritally.llm.common import released
 
 #: Bytes of text in a block of documents, about (a longer text is a block).
 BLOCK_BYTES = 2 << 20
 #: Chunks a worker remembers, and their bytes; when full, it starts anew.
-MEMO = 600_000
+MEMO = 500_000
 MEMO_BYTES = 48 << 20
 #: Links of a group over which it is multiplied out by distinct ids.
 LONG_GROUP = 256
@@ -127,7 +128,7 @@ class Ragged:
     """Rows of different lengths in one growing array."""
 
     def __init__(self):
-        self.flat, self.ends, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.flat, self.ends, self.n = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), 0
 
     def extend(self, rows: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -135,18 +136,18 @@ class Ragged:
         total = used + int(sizes.sum())
         self.flat = self._room(self.flat, total)
         self.ends = self._room(self.ends, self.n + len(rows) + 1)
-        self.flat[used:total] = np.fromiter(chain.from_iterable(rows), np.int64, total - used)
+        self.flat[used:total] = np.fromiter(chain.from_iterable(rows), np.int32, total - used)
         self.ends[self.n + 1 : self.n + len(rows) + 1] = used + np.cumsum(sizes)
         self.n += len(rows)
 
     @staticmethod
     def _room(values: np.ndarray, n: int) -> np.ndarray:
-        return values if n <= len(values) else np.concatenate((values, np.zeros(max(n, 2 * len(values)) - len(values), np.int64)))
+        return values if n <= len(values) else np.concatenate((values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype)))
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the rows' values one after another, the rows' sizes)."""
         begin, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
-        return self.flat[spread(begin, sizes)], sizes
+        return self.flat[spread(begin, sizes)].astype(np.int64), sizes
 
 
 def spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -277,6 +278,11 @@ def _aligner(spec: str, model: bytes) -> Aligner:
     return _loaded[key]
 
 
+def _forget() -> None:
+    for aligner in _loaded.values():
+        aligner._forget()
+
+
 LONGS = pa.list_(pa.int64())
 BLOCKS = pa.schema(
     [("block", pa.int64()), ("doc_id", LONGS), ("n_a", LONGS), ("n_b", LONGS), ("n_groups", LONGS), ("n_links", LONGS), ("groups", pa.list_(pa.string()))]
@@ -319,7 +325,7 @@ def align_blocks(docs: DataFrame, first_path: str, second_path: str, doc_id: str
         if ids:
             yield block()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, DDL)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(run, _forget), DDL)
 
 
 def pair_counts(blocks: DataFrame, stride: int) -> DataFrame:
@@ -374,4 +380,4 @@ def align(docs: DataFrame, first_path: str, second_path: str) -> tuple[DataFrame
                 sums = [np.diff(np.concatenate(([0], np.cumsum(v)))[np.concatenate(([0], upto))]) for v in (best, gain)]
                 yield pa.RecordBatch.from_arrays([x[k] for k in kept] + [pa.array(s, pa.int64()) for s in sums] + [x["groups_sha256"]], names=[*kept, "n_best", "count_sum", "groups_sha256"])
 
-    return joined.select(*names).mapInArrow(run, SCORED + ", groups_sha256 string"), counts, blocks
+    return joined.select(*names).mapInArrow(released(run), SCORED + ", groups_sha256 string"), counts, blocks
