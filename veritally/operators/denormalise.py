@@ -39,10 +39,15 @@ def provinces(statistics: DataFrame) -> DataFrame:
     return statistics.select(F.posexplode("result_province").alias("prov_pos", "p")).select("prov_pos", "p.*")
 
 
+def is_counted(turn_out: Column, valid_votes: Column) -> Column:
+    """Whether anything of a constituency was counted."""
+    return ~((F.coalesce(turn_out, F.lit(0)) == 0) & (F.coalesce(valid_votes, F.lit(0)) == 0))
+
+
 def constituencies(provinces: DataFrame) -> DataFrame:
     """A row for each constituency in which anything was counted."""
     rows = provinces.select("prov_id", "prov_pos", F.posexplode("constituencies").alias("cons_pos", "c")).select("prov_id", "prov_pos", "cons_pos", "c.*")
-    return rows.where(~((F.coalesce("turn_out", F.lit(0)) == 0) & (F.coalesce("valid_votes", F.lit(0)) == 0)))
+    return rows.where(is_counted(F.col("turn_out"), F.col("valid_votes")))
 
 
 def unit_candidates(cons: DataFrame, parties: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -149,10 +154,10 @@ def most_votes(totals: DataFrame, party: str, limit: int = 10) -> DataFrame:
 
 
 def province_summary(statistics: DataFrame, provinces_: DataFrame) -> DataFrame:
-    """A row for each province, also those without a counted constituency."""
-    all_ = provinces(statistics)
-    counted = constituencies(all_).groupBy("prov_id").agg(F.count("*").alias("units"))
-    rows = all_.select("prov_id", "turn_out", "valid_votes", "counted_vote_stations", "total_vote_stations", "percent_count").join(counted, "prov_id", "left")
+    """A row for each province, also those without a counted constituency; its units are counted where they are nested."""
+    counted = F.filter("constituencies", lambda c: is_counted(c["turn_out"], c["valid_votes"]))
+    units = F.when(F.col("constituencies").isNotNull(), F.size(counted)).cast("bigint")
+    rows = provinces(statistics).select("prov_id", "turn_out", "valid_votes", "counted_vote_stations", "total_vote_stations", "percent_count", units.alias("units"))
     rows = with_lookup(rows, provinces_, "prov_id", "province", F.col("prov_id"))
     return rows.select("prov_id", "province", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("turn_out", "valid_votes", "counted_vote_stations", "total_vote_stations")], F.coalesce("percent_count", F.lit(0.0)).alias("percent_count"), F.coalesce("units", F.lit(0)).alias("units"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritally.functions.shared import workspace
 from veritally.operators import compare, denormalise
@@ -36,8 +37,14 @@ UNIT_ROWS = f"""{PLACED}, winners as (select unit_id, party winner, official_vot
       from counted c left join winners using (unit_id) left join (select * from customer where c_custkey % 7 <> 0) on c_custkey = prov left join (select * from orders where o_orderkey % 3 <> 0) on o_orderkey = o)"""
 
 
-def feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(statistics, provinces, parties, constituencies, candidates): the nested feed and its lookups."""
+ALL = frozenset({"result_party", "constituencies", "candidates"})
+
+
+def feed(spark: SparkSession, sf_dir: str, lists: frozenset[str] = ALL) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(statistics, provinces, parties, constituencies, candidates): the nested feed and its lookups.
+
+    ``lists``: the nested lists to build; the others are null, as they would be in a feed without them.
+    """
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     o, n = F.col("o_orderkey"), F.col("l_linenumber")
     lines = lines.groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg(F.sum("l_quantity").cast("bigint").alias("votes"))
@@ -61,12 +68,15 @@ def feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
         (o % 90).alias("counted_vote_stations"),
         F.when(o % 3 != 1, (o % 50) * 2.0).alias("percent_count"),
         F.when(o % 13 == 0, True).alias("pause_report"),
-        F.transform("listed", lambda x: x["c"]).alias("candidates"),
+        F.transform("listed", lambda x: x["c"]).alias("candidates") if "candidates" in lists else F.lit(None).cast(T.ArrayType(schemas.CANDIDATE_RESULT)).alias("candidates"),
     )
     party = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(8)
     won = orders.groupBy("o_custkey", party.alias("party_id")).agg(F.count("*").alias("party_cons_votes"), F.sum(o % 100).alias("party_list_vote"))
     won = won.groupBy("o_custkey").agg(F.collect_list(F.struct("party_id", "party_cons_votes", "party_list_vote", F.lit(None).cast("bigint").alias("first_mp_app_count"))).alias("result_party"))
-    held = orders.join(listed, "o_orderkey", "left").groupBy("o_custkey").agg(F.collect_list(cons).alias("constituencies"), F.count("*").alias("n")).join(won, "o_custkey").where("o_custkey is not null")
+    units_ = orders.join(listed, "o_orderkey", "left") if "candidates" in lists else orders
+    nested = F.collect_list(cons) if "constituencies" in lists else F.lit(None).cast(T.ArrayType(schemas.CONSTITUENCY_RESULT))
+    held = units_.groupBy("o_custkey").agg(nested.alias("constituencies"), F.count("*").alias("n")).where("o_custkey is not null")
+    held = held.join(won, "o_custkey") if "result_party" in lists else held.withColumn("result_party", F.lit(None).cast(T.ArrayType(schemas.PARTY_RESULT)))
     province = F.struct(
         F.col("o_custkey").cast("string").alias("prov_id"),
         F.when(F.col("o_custkey") % 4 != 0, F.col("n")).alias("turn_out"),
@@ -146,7 +156,7 @@ def unit_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {PARTIES}, sums as (select case o_orderstatus when 'F' then 0 when 'O' then 1 else 8 end party_id, count(*) cons_votes, sum(o_orderkey % 100)::bigint list_votes, 0 seats from orders where o_custkey is not null group by 1)
     select party_id, cons_votes, list_votes, seats, coalesce(party, 'party_' || party_id) party, color party_color, abbr from sums left join known using (party_id) order by cons_votes desc, party_id limit 10""")
 def national_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statistics, _, parties, _, _ = feed(spark, sf_dir)
+    statistics, _, parties, _, _ = feed(spark, sf_dir, frozenset({"result_party"}))
     return denormalise.national_parties(statistics, parties)
 
 
@@ -154,7 +164,7 @@ def national_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     select prov::varchar prov_id, coalesce(c_name, prov::varchar) province, case when prov % 4 = 0 then 0 else n end turn_out, n valid_votes, 0 counted_vote_stations, n * 2 total_vote_stations, 0.0 percent_count, coalesce(units, 0) units
     from n left join u using (prov) left join (select * from customer where c_custkey % 7 <> 0) on c_custkey = prov""")
 def province_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statistics, provinces, _, _, _ = feed(spark, sf_dir)
+    statistics, provinces, _, _, _ = feed(spark, sf_dir, frozenset({"constituencies"}))
     return denormalise.province_summary(statistics, provinces)
 
 
