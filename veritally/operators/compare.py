@@ -131,7 +131,10 @@ def level_rank(level: Column) -> Column:
 
 
 def summarise(units: DataFrame) -> DataFrame:
-    """One row: compared units, units of each level and their percentages (0 without units)."""
+    """One row: compared units, units of each level and their percentages.
+
+    Without units all are 0: a report of nothing is a row that says so, not an error.
+    """
     counts = [F.count_if(F.col("level") == x).alias(x.lower()) for x in LEVELS]
     one = units.agg(F.count("*").alias("total"), *counts)
     return one.select("total", *[x.lower() for x in LEVELS], *[F.coalesce(stats.rate(F.col(x.lower()), F.col("total")), F.lit(0.0)).alias(f"{x.lower()}_pct") for x in LEVELS])

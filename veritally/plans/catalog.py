@@ -772,6 +772,14 @@ def live_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.live_endpoints(probes)
 
 
+@query("""select case page_id % 4 when 0 then 'found' when 1 then 'absent' when 2 then 'reported' else 'error' end outcome, case page_id % 4 when 0 then 200 when 1 then 404 when 2 then 503 end status, count(*) n from pages group by all""")
+def endpoint_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probed addresses by what came of them."""
+    k = F.col("page_id") % 4
+    probes = table(spark, sf_dir, "pages").select("url", F.when(k == 0, 200).when(k == 1, 404).when(k == 2, 503).alias("status"))
+    return scans.endpoint_outcomes(probes).groupBy("outcome", "status").agg(F.count("*").alias("n"))
+
+
 # Thai names: a consonant for each nation in the alphabet's order, every second one behind a vowel that is
 # written first and sorted after it (and stands after all consonants by its number).
 

@@ -135,6 +135,12 @@ def live_endpoints(probes: DataFrame) -> DataFrame:
     return probes.where("status = 200")
 
 
+def endpoint_outcomes(probes: DataFrame) -> DataFrame:
+    """Adds outcome: found (200), absent (404), reported (any other answer), or error (no answer)."""
+    outcome = F.when(F.col("status") == 200, "found").when(F.col("status") == 404, "absent").when(F.col("status").isNotNull(), "reported")
+    return probes.withColumn("outcome", outcome.otherwise("error"))
+
+
 def json_fields(df: DataFrame, json: str) -> DataFrame:
     """(field, rows): top-level keys of a column of JSON objects."""
     return df.select(F.explode(F.json_object_keys(json)).alias("field")).groupBy("field").agg(F.count("*").alias("rows"))
