@@ -383,6 +383,7 @@ def test_vectors_with_equal_hashes_stay_apart(spark, monkeypatch):
 @pytest.mark.parametrize("block", [ann.SHORT_QUERIES, 2])
 def test_queries_with_too_few_in_their_buckets_get_all(spark, monkeypatch, block):
     monkeypatch.setattr(ann, "SHORT_QUERIES", block)
+    monkeypatch.setattr(ann, "PACKED", 7 if block == 2 else ann.PACKED)
     r = np.random.default_rng(4)
     rows = [(i, r.standard_normal(6).tolist()) for i in range(260)] + [(300 + i, r.standard_normal(9).tolist()) for i in range(4)]
     rows += [(400, [1.0, 0.0]), (401, [-1.0, 0.0]), (450, [1.0, 0.0, 0.0])]

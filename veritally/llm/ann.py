@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +43,10 @@ PARTITION_ROWS = 40_000
 FULL_BUCKET = 8_192
 #: Full buckets known to every task at most; the limit above rises to keep to it.
 FULL_BUCKETS = 100_000
-#: Queries whose buckets hold too few that are ranked against all rows at once.
-SHORT_QUERIES = 1_024
+#: Queries whose buckets hold too few that make a block, which is ranked against blocks of all vectors.
+SHORT_QUERIES = 512
+#: Vectors in a block that such a block of queries meets.
+PACKED = 1_024
 #: Queries in the sample that the number of visits is fitted on, and the share of their neighbours to find.
 SAMPLE_QUERIES = 160
 WANTED_RECALL = 0.95
@@ -309,26 +312,60 @@ def ranking(asking, keep: int):
     return run
 
 
+def packed(rows: DataFrame, size: int) -> DataFrame:
+    """(d, part, gids, unit) of (gid, v): up to ``size`` unit vectors of one length, end to end; part numbers hold for one run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            gids = batch.column(0).to_numpy()
+            for at, unit in _units(batch.column(1)):
+                for a in range(0, len(at), size):
+                    columns = [unit.shape[1]], [part], [gids[at[a : a + size]]], [unit[a : a + size].ravel()]
+                    kinds = pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["d", "part", "gids", "unit"])
+                    part += 1
+
+    return rows.select("gid", "v").mapInArrow(run, "d int, part long, gids array<long>, unit array<double>")
+
+
+def block_ranking(keep: int):
+    """A function for mapInArrow: rows (d, asks, asked, gids, unit) of a block of queries and one of vectors to FOUND rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                d, who, mine, gids, unit = (batch.column(k)[r] for k in range(5))
+                who, gids, d = who.values.to_numpy(), gids.values.to_numpy(), d.as_py()
+                cosine = mine.values.to_numpy().reshape(-1, d) @ unit.values.to_numpy().reshape(-1, d).T
+                least = np.partition(cosine, max(0, len(gids) - keep), axis=1)[:, max(0, len(gids) - keep)]
+                q, v = np.nonzero(cosine >= least[:, None])
+                found.append((who[q], gids[v], cosine[q, v]))
+                size += len(q)
+                if size > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(found, keep)], names=FOUND.names)
+                    found, size = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(found, keep)], names=FOUND.names)
+
+    return run
+
+
 def exact(classes: DataFrame, short: DataFrame, keep: int) -> DataFrame | None:
     """FOUND rows of the queries ``short`` (gid, v) against all of ``classes``; None if there is none.
 
-    Blocks of SHORT_QUERIES are broadcast one after the other, so that neither the
-    driver nor a task holds more of them.
+    One job however many they are: blocks of SHORT_QUERIES queries are copied to as
+    many groups as there are shuffle partitions, each of which holds its share of
+    blocks of vectors; every block of queries meets every block of vectors there.
     """
-    spark, out, block = classes.sparkSession, None, []
-
-    def ranked(block: list) -> DataFrame:
-        gids, v = np.array([r["gid"] for r in block], np.int64), pa.array([r["v"] for r in block], pa.list_(pa.float64()))
-        asking = spark.sparkContext.broadcast([(gids[rows], unit) for rows, unit in _units(v)])
-        return checkpoint(classes.select("gid", "v").mapInArrow(ranking(asking, keep), FOUND))
-
-    for row in short.toLocalIterator():
-        block.append(row)
-        if len(block) == SHORT_QUERIES:
-            out, block = ranked(block) if out is None else out.unionByName(ranked(block)), []
-    if block:
-        out = ranked(block) if out is None else out.unionByName(ranked(block))
-    return out
+    if not short.limit(1).count():
+        return None
+    groups = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asking = packed(short, SHORT_QUERIES).select("d", F.col("gids").alias("asks"), F.col("unit").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    parts = packed(classes, PACKED).withColumn("g", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int"))
+    met = asking.join(parts, ["d", "g"]).select("d", "asks", "asked", "gids", "unit")
+    return checkpoint(met.mapInArrow(block_ranking(keep), FOUND))
 
 
 def true_neighbours(classes: DataFrame, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -431,9 +468,9 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
 
     near = checkpoint(ranked(found))
     lengths = rows.select("vec_id", "d")
-    all_of = lengths.groupBy("d").agg(F.count("*").alias("n"))
+    all_of = lengths.groupBy("d").agg(F.count("*").alias("n"))  # a row for each length of vector
     own = lengths.groupBy("d", F.col("vec_id").alias("query_id")).agg(F.count("*").alias("own"))
-    wanted = queries.join(classes.select(F.col("gid").alias("query"), F.size("v").alias("d")), "query").join(all_of, "d").join(own, ["d", "query_id"])
+    wanted = queries.join(classes.select(F.col("gid").alias("query"), F.size("v").alias("d")), "query").join(F.broadcast(all_of), "d").join(own, ["d", "query_id"])
     wanted = wanted.groupBy("query_id").agg(F.max(F.col("n") - F.col("own")).alias("n"))
     got = near.groupBy("query_id").agg(F.count("*").alias("got"))
     short = wanted.join(got, "query_id", "left").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), "n")).select("query_id")
