@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veritally.functions import stats
 from veritally.operators import anomalies, compare, dashboard, denormalise, spatial, statistics, verify
 from veritally.sources import scans, sinks
+from veritally.streaming import snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -745,8 +746,7 @@ def url_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select event_type, cast(json_extract_string(props, '$.k') as bigint) k, count(*) n from events group by 1, 2""")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-    return rows.groupBy("event_type", "k").agg(F.count("*").alias("n"))
+    return scans.field_counts(table(spark, sf_dir, "events"), "props", "k", "bigint", "event_type")
 
 
 @query("""select field, count(*) "rows" from (select unnest(json_keys(props)) field from events) group by 1""")
@@ -804,5 +804,5 @@ def unit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select user_id unit_id, max(ts) ts, arg_max("value", struct_pack(t := ts, e := event_id)) total from events group by 1""")
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last reading of each unit, as the snapshot comparison takes it."""
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy(F.col("user_id").alias("unit_id")).agg(F.max("ts").alias("ts"), F.max_by("value", F.struct("ts", "event_id")).alias("total"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("unit_id"), "ts", "event_id", F.col("value").alias("total"))
+    return snapshots.latest(rows, "event_id")

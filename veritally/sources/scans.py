@@ -146,6 +146,12 @@ def json_fields(df: DataFrame, json: str) -> DataFrame:
     return df.select(F.explode(F.json_object_keys(json)).alias("field")).groupBy("field").agg(F.count("*").alias("rows"))
 
 
+def field_counts(df: DataFrame, json: str, field: str, kind: str, *by: str) -> DataFrame:
+    """(*by, field, n): how often each value of a top-level field of JSON objects stands; null where it is missing."""
+    value = F.get_json_object(json, f"$.{field}").cast(kind).alias(field)
+    return df.select(*by, value).groupBy(*by, field).agg(F.count("*").alias("n"))
+
+
 def entries(json: str) -> Column:
     """Entries of a JSON list, or keys of a JSON object; null for other values."""
     return F.coalesce(F.json_array_length(json), F.size(F.json_object_keys(json)))

@@ -35,9 +35,9 @@ def totals(documents: DataFrame) -> DataFrame:
     return documents.select("unit_id", "ts", F.coalesce(votes, F.lit(0)).alias("total"))
 
 
-def latest(totals: DataFrame) -> DataFrame:
-    """The newest total of each unit."""
-    return totals.groupBy("unit_id").agg(F.max(F.struct("ts", "total")).alias("m")).select("unit_id", "m.ts", "m.total")
+def latest(totals: DataFrame, *ties: str) -> DataFrame:
+    """The newest total of each unit; of equal times the one with the greatest ``ties``, then the greatest total."""
+    return totals.groupBy("unit_id").agg(F.max(F.struct("ts", *ties, "total")).alias("m")).select("unit_id", "m.ts", "m.total")
 
 
 def into_state(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
