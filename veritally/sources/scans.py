@@ -89,7 +89,10 @@ def read_units(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
 
 
 def read_unit_list(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV of unit_id, constituency, province (UTF-8, with or without a byte order mark)."""
+    """A CSV of unit_id, constituency, province (UTF-8, with or without a byte order mark); empty where nothing was written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where):
+        return spark.createDataFrame([], schemas.UNIT_LIST)
     return spark.read.csv(path, header=True, schema=schemas.UNIT_LIST, enforceSchema=True, escape='"')
 
 
