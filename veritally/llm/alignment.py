@@ -35,9 +35,9 @@ from veritally.llm.bpe import byte_letters
 from veritally.llm.common import released
 
 #: Bytes of text in a block of documents, about (a longer text is a block).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Chunks a worker remembers, and their bytes; when full, it starts anew.
-MEMO = 500_000
+MEMO = 400_000
 MEMO_BYTES = 48 << 20
 #: Links of a group over which it is multiplied out by distinct ids.
 LONG_GROUP = 256
