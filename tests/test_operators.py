@@ -251,6 +251,24 @@ def test_unit_fences_of_few_values(spark):
     assert of(-math.inf, 1.0, 2.0)["median"] == 1.0 and math.isnan(of(-math.inf, math.inf)["mean"])
 
 
+def test_summary_rounds_like_its_sql(spark):
+    """Quartiles between two values of two places end in a half that is no double; products and interpolation decide."""
+    import duckdb
+    import numpy as np
+
+    from veritally.plans.catalog import _report_sql
+
+    random = np.random.default_rng(11)
+    for lo in [173.52, *np.round(random.uniform(1, 400, 11), 2).tolist()]:
+        xs = [lo, round(lo + 0.01, 2), round(lo + 0.06, 2), round(lo + 0.11, 2)][: 3 if lo < 200 else 4]
+        df = spark.createDataFrame([(x,) for x in xs], "rate double").coalesce(1)
+        sql = duckdb.sql(_report_sql(f"rates as (select unnest({xs}::double[]) rate)", two_sided=True))
+        want, got = dict(zip(sql.columns, sql.fetchall()[0])), anomalies.fence_report(df, "rate", two_sided=True, wide=True).first().asDict()
+        assert {k: got[k] for k in ("median", "q1", "q3", "iqr", "lower_fence", "upper_fence")} == {k: want[k] for k in ("median", "q1", "q3", "iqr", "lower_fence", "upper_fence")}
+    row = spark.range(1).select(*[stats.round_half_up(F.lit(x), 2).alias(str(i)) for i, x in enumerate((1.005, -1.005, 0.125, -0.125, 1e300, math.inf, None))]).first()
+    assert tuple(row) == (1.0, -1.0, 0.13, -0.13, 1e300, math.inf, None)
+
+
 def test_schema_discovery(spark):
     """Mixed types, lists in lists, broken and missing documents, empty objects."""
     from veritally.sources import discovery

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -52,6 +53,17 @@ def round_half_even(x: Column, digits: int = 2) -> Column:
     return F.when(F.abs(x) < 2.0**52 / scale, (whole + F.when(up, 1).otherwise(0)) / scale).otherwise(x)
 
 
+def round_half_up(x: Column | str, digits: int = 2) -> Column:
+    """``x`` rounded as SQL's ``round`` does a double: its product with the power of ten, halves away from zero.
+
+    Spark's own rounds the shortest decimal that reads as ``x``: 1.005 gives 1.01 there and 1.0 here.
+    """
+    x, scale = F.col(x) if isinstance(x, str) else x, 10.0**digits
+    product = F.abs(x) * scale
+    whole = F.floor(product)
+    return F.when(product < 2.0**52, F.signum(x) * ((whole + F.when(product - whole >= 0.5, 1).otherwise(0)) / scale)).otherwise(x)
+
+
 def exact_mean(x: Column, digits: int, scale: int = 8) -> Column:
     """Mean of values of 0 or more as an aggregate, rounded half up, the same in any order of the rows.
 
@@ -74,7 +86,7 @@ def exact_deviation(x: Column, digits: int, scale: int = 4) -> Column:
 
 def z_score(x: Column, mean: Column, deviation: Column, digits: int = 2) -> Column:
     """Distance from the mean in deviations, rounded; 0 where nothing varies."""
-    return F.round(F.when(deviation > 0, (x - mean) / deviation).otherwise(0.0), digits)
+    return round_half_up(F.when(deviation > 0, (x - mean) / deviation).otherwise(0.0), digits)
 
 
 def first_digit(x: Column) -> Column:
@@ -145,8 +157,15 @@ def unit_counts(df: DataFrame, value: str, digits: int = 2, by: Sequence[str] =
     return checkpoint(df.select(*by, unit.cast("bigint").alias("unit")).where("unit is not null").groupBy(*by, "unit").agg(F.count("*").alias("n")))
 
 
-def unit_quantiles(counts: DataFrame, shares: Sequence[float], by: str | None = None) -> dict[object, tuple[list[float], int, float, float]]:
-    """{group: (exact quantiles by linear interpolation in units, rows, mean, sample deviation)} of :func:`unit_counts`.
+def between(low: float, high: float, part: float) -> float:
+    """Linear interpolation of doubles as SQL's ``quantile_cont`` does it: the sum's one product isn't rounded before."""
+    if low == high or math.isinf(low) or math.isinf(high):
+        return low if low == high else low + (high - low) * part
+    return float(Fraction(low) * Fraction(1 - part) + Fraction(high * part))
+
+
+def unit_quantiles(counts: DataFrame, shares: Sequence[float], by: str | None = None, digits: int = 0) -> dict[object, tuple[list[float], int, float, float]]:
+    """{group: (exact quantiles by linear interpolation, rows, mean, sample deviation)} of :func:`unit_counts`, of units of ``digits`` places.
 
     ``by``: a column of few groups (None: all rows are group None); groups without
     rows are absent.  Coarse bins (sign, digits and the first three of them) come
@@ -181,16 +200,16 @@ def unit_quantiles(counts: DataFrame, shares: Sequence[float], by: str | None =
         for k, (g, _, _, below, ranks) in enumerate(spans):
             narrower += _spans(sorted((c for c in cells if c["span"] == k), key=lambda c: c["lo"]), g, below, ranks, found)
         spans = narrower
-    real = lambda u: math.copysign(math.inf, u) if abs(u) >= ENDLESS else u
+    scale = 10.0**digits
+    real = lambda u: math.copysign(math.inf, u) if abs(u) >= ENDLESS else u / scale
     out = {}
     for g, (total, mean, deviation) in moments.items():
         quantiles = []
         for p in shares:
             at = (total - 1) * p
             low, part = real(found[g, int(at)]), at - int(at)
-            high = real(found[g, int(at) + 1]) if part else low
-            quantiles.append(low if low == high else low + (high - low) * part)
-        out[g] = quantiles, total, mean, deviation
+            quantiles.append(between(low, real(found[g, int(at) + 1]) if part else low, part))
+        out[g] = quantiles, total, mean / scale, deviation / scale
     return out
 
 
@@ -227,8 +246,7 @@ def unit_fences(counts: DataFrame, digits: int = 2) -> dict[str, float | None]:
 def grouped_unit_fences(counts: DataFrame, by: str | None, digits: int = 2) -> dict[object, dict[str, float]]:
     """:func:`unit_fences` of each group, from the same few jobs."""
     out = {}
-    for g, ((q1, q2, q3), n, mean, deviation) in unit_quantiles(counts, (0.25, 0.5, 0.75), by).items():
-        q1, q2, q3, mean, deviation = (x / 10.0**digits for x in (q1, q2, q3, mean, deviation))
+    for g, ((q1, q2, q3), n, mean, deviation) in unit_quantiles(counts, (0.25, 0.5, 0.75), by, digits).items():
         out[g] = dict(zip(FENCES, (mean, q2, deviation, q1, q3, q3 - q1, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1), n)))
     return out
 
@@ -290,8 +308,7 @@ def _quantiles(values: DataFrame, shares: Sequence[float]) -> list[float | None]
     for p in shares:
         at = (n - 1) * p
         low, part = found[int(at)], at - int(at)
-        high = found[int(at) + 1] if part else low
-        out.append(low if low == high else low + (high - low) * part)
+        out.append(between(low, found[int(at) + 1] if part else low, part))
     return out
 
 

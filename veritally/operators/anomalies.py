@@ -85,7 +85,7 @@ def fence_report(df: DataFrame, value: str, two_sided: bool = False, wide: bool
     outside = F.col(value) > F.col("upper_fence")
     outside = outside | (F.col(value) < F.col("lower_fence")) if two_sided else outside
     count = rows.crossJoin(F.broadcast(summary)).agg(F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outlier_count"))
-    rounded = [F.round(c, 2).alias(c) for c in ("mean", "median", "stdev", "q1", "q3", "iqr", "lower_fence", "upper_fence")]
+    rounded = [stats.round_half_up(c, 2).alias(c) for c in ("mean", "median", "stdev", "q1", "q3", "iqr", "lower_fence", "upper_fence")]
     return summary.select(*rounded, "total").crossJoin(F.broadcast(count))
 
 
@@ -194,7 +194,7 @@ def province_patterns(units: DataFrame, province: str, winner: str, turnout_pct:
     rates = units.groupBy(province).agg(zero(stats.exact_mean(came, 1), "avg_turnout"), zero(stats.exact_deviation(came, 1), "turnout_stdev"), zero(stats.exact_mean(share, 2), "avg_invalid_rate"))
     pattern = F.when((F.col("unique_winners") == 1) & (F.col("total_cons") >= 3), "monopoly").when(F.col("turnout_stdev") > VARIATION, "high_variation")
     rows = parties.join(rates, province).withColumn("pattern", pattern).where("pattern is not null")
-    rows = rows.select(province, "pattern", "total_cons", "unique_winners", F.col("best.party").alias("dominant_party"), F.col("best.count").alias("dominant_count"), F.round(F.col("best.count") / F.col("total_cons") * 100, 1).alias("dominant_pct"), "avg_turnout", "turnout_stdev", "avg_invalid_rate")
+    rows = rows.select(province, "pattern", "total_cons", "unique_winners", F.col("best.party").alias("dominant_party"), F.col("best.count").alias("dominant_count"), stats.round_half_up(F.col("best.count") / F.col("total_cons") * 100, 1).alias("dominant_pct"), "avg_turnout", "turnout_stdev", "avg_invalid_rate")
     return rows.orderBy(F.desc(F.col("pattern") == "monopoly"), F.desc("total_cons"), province)
 
 

@@ -141,7 +141,7 @@ def wasted_rate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     group by 1 having sum(l_extendedprice) / any_value(o_totalprice) * 100 > 95 and any_value(o_totalprice) > 0 and sum(l_extendedprice) > 0""")
 def turnout_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = verify.turnout_over(order_turnout(spark, sf_dir), "came", "registered", 0.95)
-    return found.select("unit_id", F.round("turnout_rate", 4).alias("turnout_rate"))
+    return found.select("unit_id", stats.round_half_up("turnout_rate", 4).alias("turnout_rate"))
 
 
 @query("""with t as (select sum(l_extendedprice) came, any_value(o_totalprice) registered from lineitem join orders on l_orderkey = o_orderkey group by l_orderkey)
@@ -217,7 +217,7 @@ def winner_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {DOMINANCE} select round(avg(rate), 2) mean, round(stddev_samp(rate), 2) stdev, count(*) total, count(*) filter (rate > 60) extreme_count from shares")
 def dominance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = anomalies.winner_dominance(races(spark, sf_dir))
-    return rows.agg(F.round(F.avg("winner_pct"), 2).alias("mean"), F.round(F.stddev_samp("winner_pct"), 2).alias("stdev"), F.count("*").alias("total"), F.count_if("is_extreme").alias("extreme_count"))
+    return rows.agg(stats.round_half_up(F.avg("winner_pct"), 2).alias("mean"), stats.round_half_up(F.stddev_samp("winner_pct"), 2).alias("stdev"), F.count("*").alias("total"), F.count_if("is_extreme").alias("extreme_count"))
 
 
 @query(_histogram_sql(DOMINANCE.replace("shares as", "rates as"), stats.EDGES["dominance"]))
@@ -264,9 +264,9 @@ SUMS = """with sums as (select l_orderkey unit_id, round(sum(l_extendedprice), 4
 
 
 def _candidate_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = order_turnout(spark, sf_dir).withColumn("came", F.round("came", 4))
+    units = order_turnout(spark, sf_dir).withColumn("came", stats.round_half_up("came", 4))
     rows = anomalies.sum_errors(units, F.col("came"), F.col("registered"), tolerance=0.005)
-    return rows.withColumn("difference", F.round("difference", 4))
+    return rows.withColumn("difference", stats.round_half_up("difference", 4))
 
 
 @query(f"{SUMS} select unit_id, difference, pct_diff from errors order by difference desc, unit_id limit 30")
@@ -296,7 +296,7 @@ def benford_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {DIGITS} select total, round(x, 2) chi_square, 15.507::double critical_value, x < 15.507 passes from x""")
 def benford_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = anomalies.benford_test(table(spark, sf_dir, "orders"), "o_totalprice")
-    return test.select("total", F.round("chi_square", 2).alias("chi_square"), "critical_value", "passes")
+    return test.select("total", stats.round_half_up("chi_square", 2).alias("chi_square"), "critical_value", "passes")
 
 
 @query("""with d as (select substr(cast(l_quantity as bigint)::varchar, 1, 1)::int digit, count(*) n from lineitem where l_quantity >= 1 group by 1), t as (select sum(n)::bigint total from d),
@@ -305,7 +305,7 @@ def benford_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     select total, round(x, 4) chi_square, round(p, 6) p_value, p > 0.05 conforms, case when p > 0.05 then 'conforms' when p > 0.01 then 'suspicious' else 'violates' end interpretation, total >= 30 valid from p""")
 def benford_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = anomalies.benford_test(table(spark, sf_dir, "lineitem"), "l_quantity", least=1, least_rows=30)
-    return test.select("total", F.round("chi_square", 4).alias("chi_square"), F.round("p_value", 6).alias("p_value"), "conforms", "interpretation", "valid")
+    return test.select("total", stats.round_half_up("chi_square", 4).alias("chi_square"), stats.round_half_up("p_value", 6).alias("p_value"), "conforms", "interpretation", "valid")
 
 
 # --- Provinces -----------------------------------------------------------------------------------------
@@ -556,7 +556,7 @@ SPOTS = "spots as (select c_custkey % 40 x, c_custkey // 40 % 60 y, c_acctbal +
 def spatial_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, k = table(spark, sf_dir, "customer").where("c_acctbal is not null"), F.col("c_custkey")
     found = spatial.morans_i(rows, k % 40, F.floor(k / 40) % 60, F.col("c_acctbal") + 1000 * (k % 40), 5.0)
-    return found.select("units", "pairs", *[F.round(c, 6).alias(c) for c in ("moran_i", "expected")], F.round("z", 4).alias("z"))
+    return found.select("units", "pairs", *[stats.round_half_up(c, 6).alias(c) for c in ("moran_i", "expected")], stats.round_half_up("z", 4).alias("z"))
 
 
 @query(f"""with {SPOTS} select count(*) > 0 tested, 19 permutations, 0 as_far from spots""")
@@ -606,19 +606,19 @@ SWINGS = """swings as (select a.o_custkey unit_id, a.v votes_current, b.v votes_
 
 def _swings(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    year = lambda y: orders.where(F.year("o_orderdate") == y).groupBy(F.col("o_custkey").alias("unit_id")).agg(F.round(F.sum("o_totalprice"), 2).alias("votes"))
+    year = lambda y: orders.where(F.year("o_orderdate") == y).groupBy(F.col("o_custkey").alias("unit_id")).agg(stats.round_half_up(F.sum("o_totalprice"), 2).alias("votes"))
     return statistics.swings(year(1997), year(1996), "unit_id")
 
 
 @query(f"with {SWINGS} select unit_id, votes_current, votes_historical, round(swing, 4) swing_pct from swings, fence where swing < lo or swing > hi")
 def swing_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.swing_outliers(_swings(spark, sf_dir)).withColumn("swing_pct", F.round("swing_pct", 4))
+    return statistics.swing_outliers(_swings(spark, sf_dir)).withColumn("swing_pct", stats.round_half_up("swing_pct", 4))
 
 
 @query(f"with {SWINGS} select count(*) count, round(avg(swing), 4) mean, round(any_value(q2), 4) median, round(any_value(lo), 4) lower_fence, round(any_value(hi), 4) upper_fence, count(*) filter (swing < lo or swing > hi) outliers from swings, fence")
 def swing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = statistics.swing_summary(_swings(spark, sf_dir))
-    return one.select("count", *[F.round(c, 4).alias(c) for c in ("mean", "median", "lower_fence", "upper_fence")], "outliers")
+    return one.select("count", *[stats.round_half_up(c, 4).alias(c) for c in ("mean", "median", "lower_fence", "upper_fence")], "outliers")
 
 
 @query("""select count(*) "rows", round(corr(l_quantity, date_diff('day', o_orderdate::date, l_shipdate::date)), 6) correlation, corr(l_quantity, date_diff('day', o_orderdate::date, l_shipdate::date)) < 0 warning
@@ -626,18 +626,18 @@ def swing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timing_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     one = verify.timing_correlation(rows, F.col("l_quantity"), F.date_diff(F.to_date("l_shipdate"), F.to_date("o_orderdate")))
-    return one.withColumn("correlation", F.round("correlation", 6))
+    return one.withColumn("correlation", stats.round_half_up("correlation", 6))
 
 
 @query("select count(l_quantity) total, count(*) filter (l_quantity % 50 = 0) round_count, round(count(*) filter (l_quantity % 50 = 0) / count(l_quantity) * 100, 6) round_pct, count(*) filter (l_quantity % 50 = 0) / count(l_quantity) * 100 > 20 round_suspicious from lineitem")
 def round_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.round_numbers(table(spark, sf_dir, "lineitem"), "l_quantity").withColumn("round_pct", F.round("round_pct", 6))
+    return statistics.round_numbers(table(spark, sf_dir, "lineitem"), "l_quantity").withColumn("round_pct", stats.round_half_up("round_pct", 6))
 
 
 @query("select round(avg(o_totalprice), 4) mean, round(var_pop(o_totalprice), 1) variance, round(stddev_pop(o_totalprice), 4) stdev, round(stddev_pop(o_totalprice) / avg(o_totalprice) * 100, 6) cv, stddev_pop(o_totalprice) / avg(o_totalprice) * 100 < 10 cv_suspicious from orders")
 def variance_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = statistics.variation(table(spark, sf_dir, "orders"), "o_totalprice")
-    return one.select(F.round("mean", 4).alias("mean"), F.round("variance", 1).alias("variance"), F.round("stdev", 4).alias("stdev"), F.round("cv", 6).alias("cv"), "cv_suspicious")
+    return one.select(stats.round_half_up("mean", 4).alias("mean"), stats.round_half_up("variance", 1).alias("variance"), stats.round_half_up("stdev", 4).alias("stdev"), stats.round_half_up("cv", 6).alias("cv"), "cv_suspicious")
 
 
 LINEAR = "(select o_totalprice x, row_number() over (order by o_orderkey, o_totalprice) - 1 i from orders)"
@@ -645,7 +645,7 @@ LINEAR = "(select o_totalprice x, row_number() over (order by o_orderkey, o_tota
 
 @query(f"""select count(*) "rows", round(corr(i, x), 6) correlation, abs(corr(i, x)) > 0.95 linear_suspicious from {LINEAR}""")
 def linear_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.linear_pattern(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey").withColumn("correlation", F.round("correlation", 6))
+    return statistics.linear_pattern(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey").withColumn("correlation", stats.round_half_up("correlation", 6))
 
 
 @query(f"""with {DIGITS.replace("o_totalprice >= 10", "o_totalprice >= 1")}, p as (select x, exp(-x / 2) * (1 + x / 2 + (x / 2) ** 2 / 2 + (x / 2) ** 3 / 6) p from x),
@@ -654,7 +654,7 @@ def linear_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     select *, case risk_flags when 0 then 'LOW' when 1 then 'MEDIUM' when 2 then 'HIGH' else 'CRITICAL' end risk_level from f""")
 def risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = statistics.risk_report(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey")
-    return one.select(F.round("chi_square", 2).alias("chi_square"), "conforms", "round_suspicious", "cv_suspicious", "linear_suspicious", "risk_flags", "risk_level")
+    return one.select(stats.round_half_up("chi_square", 2).alias("chi_square"), "conforms", "round_suspicious", "cv_suspicious", "linear_suspicious", "risk_flags", "risk_level")
 
 
 # --- Checks --------------------------------------------------------------------------------------------------------
@@ -674,7 +674,7 @@ def structure_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with v as (select o_custkey unit_id, round(sum(o_totalprice), 2) votes_cast from orders group by 1), q as (select quantile_cont(votes_cast, 0.25) q1, quantile_cont(votes_cast, 0.75) q3 from v)
     select unit_id, votes_cast, case when votes_cast < q1 - 1.5 * (q3 - q1) then 'low' else 'high' end side from v, q where votes_cast < q1 - 1.5 * (q3 - q1) or votes_cast > q3 + 1.5 * (q3 - q1)""")
 def votes_cast_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("unit_id")).agg(F.round(F.sum("o_totalprice"), 2).alias("votes_cast"))
+    votes = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("unit_id")).agg(stats.round_half_up(F.sum("o_totalprice"), 2).alias("votes_cast"))
     return verify.value_outliers(votes, "votes_cast")
 
 
@@ -717,7 +717,7 @@ def party_totals_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = rows.select(F.col("p_brand").alias("party"), F.col("l_quantity").cast("bigint").alias("quantity"), "l_extendedprice", F.lit(1).alias("one"))
     sums = denormalise.party_totals(rows, "party", {"cons_votes": "quantity", "list_votes": "l_extendedprice", "seats": "one"})
-    return denormalise.most_votes(sums, "party").withColumn("list_votes", F.round("list_votes", 2))
+    return denormalise.most_votes(sums, "party").withColumn("list_votes", stats.round_half_up("list_votes", 2))
 
 
 @query("""with v as (select n_name province, p_brand party, sum(l_quantity)::bigint votes from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2)
