@@ -269,6 +269,18 @@ def test_summary_rounds_like_its_sql(spark):
     assert tuple(row) == (1.0, -1.0, 0.13, -0.13, 1e300, math.inf, None)
 
 
+def test_report_rounds_like_its_sql(spark):
+    import duckdb
+
+    from veritally.operators import report
+
+    for lo in (173.52, 142.31, 0.99):
+        xs = [lo, round(lo + 0.01, 2), round(lo + 0.02, 2), round(lo + 0.05, 2)]
+        want = duckdb.sql(f"select round(quantile_cont(v, 0.25), 2), round(median(v), 2), round(quantile_cont(v, 0.75), 2) from (select unnest({xs}::double[]) v)").fetchall()[0]
+        got = report.sections_of(spark.createDataFrame(list(enumerate(xs)), "unit int, v double"), "unit", [report.Section("x", F.col("v"), fence="both")])[0].first()
+        assert (got["q1"], got["median"], got["q3"]) == want
+
+
 def test_schema_discovery(spark):
     """Mixed types, lists in lists, broken and missing documents, empty objects."""
     from veritally.sources import discovery

@@ -93,7 +93,7 @@ def sections_of(units: DataFrame, unit: str, sections: Sequence[Section], top: i
     out = summary.join(flagged, "section", "left").join(filled, "section", "left").join(best, "section", "left")
     empty = lambda kind: F.array().cast(T.ArrayType(kind))
     out = out.select(
-        "section", "name", "total", F.coalesce("flagged", F.lit(0)).alias("flagged"), *[F.round(n, 2).alias(n) for n in names],
+        "section", "name", "total", F.coalesce("flagged", F.lit(0)).alias("flagged"), *[stats.round_half_up(n, 2).alias(n) for n in names],
         F.coalesce("histogram", empty(BIN)).alias("histogram"), F.coalesce("findings", empty(FINDING)).alias("findings"),
     )
     return out, findings
