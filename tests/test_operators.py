@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritally.functions import stats
 from veritally.operators import anomalies, compare, dashboard, denormalise, statistics, verify
+from veritally.plans import catalog, feeds
 from veritally.sources import scans, schemas, sinks
 from veritally.streaming import snapshots
 
@@ -158,6 +159,26 @@ def test_nested_feed_to_units(spark, tmp_path):
     assert [(r["party_id"], r["cons_votes"]) for r in top] == [(1, 5), (2, 0)]
 
 
+@pytest.mark.parametrize("name, reads", [("unit_table", 1), ("unit_parties", 2)])
+def test_ballots_are_ordered_where_they_are_nested(spark, sf_dir, name, reads):
+    """No window over all candidates, no names that aren't returned, and no list gathered only to be taken apart."""
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("l_linenumber") and plan.count("collect_list(") <= 3 and plan.count("l_quantity") > 0
+    files = spark.createDataFrame([(plan,)], "p string")
+    assert files.selectExpr("regexp_count(p, 'Relation [^\\n]*l_linenumber')").first()[0] == reads
+
+
+@pytest.mark.parametrize("name", ["landed_feed", "published_units"])
+def test_large_feeds_are_landed_compressed(spark, sf_dir, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(feeds, "workspace", lambda spark, folder: str(tmp_path / folder))
+    n = catalog.QUERIES[name](spark, sf_dir).count()
+    parts = [p for p in tmp_path.rglob("part-*") if "parties.json" not in str(p)]
+    assert n and parts and all(p.name.endswith(".json.gz") for p in parts)
+    if name == "published_units":
+        unit = next(u for d in scans.read_units(spark, str(tmp_path / "published"), lines=True).limit(50).collect() if len((u := d)["candidates"]) > 1)
+        assert [(p["candidate_id"], p["name"], p["official"]) for p in unit["parties"]] == [(c["candidate_id"], c["party"], c["official_votes"]) for c in unit["candidates"]]
+
+
 def test_sinks_and_scans(spark, tmp_path):
     df = spark.createDataFrame([("001", "เขต 1", None)], schemas.UNIT_LIST)
     sinks.write_csv(df, f"{tmp_path}/csv", files=1)

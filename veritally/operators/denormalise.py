@@ -1,8 +1,9 @@
 """From nested official feeds to one flat unit table, and its totals.
 
-Provinces, constituencies and candidates are unnested in one scan.  The lookups
-are reference tables of a country (parties, provinces, constituencies); they are
-broadcast only while Spark's own size threshold says so.
+Provinces and constituencies are unnested in one scan, ballots stay lists.  The
+lookups are reference tables of a country: parties are a map in one row,
+provinces, constituencies and candidates are joined and broadcast only while
+Spark's own size threshold says so.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ NO_RANK = 999
 #: Note of a unit that only the official source has counted so far.
 PENDING_NOTE = "รอข้อมูลชุดที่สอง"
 
+#: Fields of a unit's candidate and their names in its list of parties.
+PARTY_FIELDS = {"party": "name", "party_color": "color", "candidate_id": "candidate_id", "name": "candidate_name", "official_votes": "official", "citizen_votes": "citizen", "percent": "percent", "rank": "rank"}
+
 
 def known_parties(parties: DataFrame) -> DataFrame:
     """(party_id, party, party_color, abbr): defaults for the colour, and the name for an empty abbreviation."""
@@ -50,50 +54,99 @@ def constituencies(provinces: DataFrame) -> DataFrame:
     return rows.where(is_counted(F.col("turn_out"), F.col("valid_votes")))
 
 
-def unit_candidates(cons: DataFrame, parties: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(unit_id, candidate_id, name, number, party, party_color, votes, percent, rank, place).
+def known_by_id(parties: DataFrame) -> DataFrame:
+    """One row with a map ``known`` from party_id to (party, party_color): the parties of a country fit in a row."""
+    one = known_parties(parties).where("party_id is not null").groupBy("party_id").agg(F.min(F.struct("party", "party_color")).alias("p"))
+    return one.agg(F.map_from_entries(F.collect_list(F.struct("party_id", "p"))).alias("known"))
+
+
+def ranked(cons: DataFrame, parties: DataFrame) -> DataFrame:
+    """``cons`` with unit_id and its ``candidates`` by rank, with their parties' names and without their own.
 
-    place is the candidate's number by rank in its unit, from 1; equal and
-    missing ranks keep the feed's order, missing ones last.
+    Equal and missing ranks keep the feed's order, missing ones last.  A ballot is
+    ordered where it is nested, so nothing is shuffled.
     """
-    rows = cons.select(F.col("cons_id").alias("unit_id"), F.posexplode("candidates").alias("pos", "c")).select("unit_id", "pos", "c.*")
-    order = Window.partitionBy("unit_id").orderBy(F.coalesce("mp_app_rank", F.lit(NO_RANK)), "pos")
-    rows = rows.withColumn("place", F.row_number().over(order))
-    rows = with_lookup(rows, known_parties(parties), "party_id", "party", F.concat(F.lit("party_"), F.col("party_id").cast("string")))
-    people = candidates.select("mp_app_id", F.col("mp_app_name").alias("name"), F.col("mp_app_no").alias("number"))
-    rows = with_lookup(rows, people, "mp_app_id", "name", F.lit(""))
+    rank = lambda c, i: F.struct(F.coalesce(c["mp_app_rank"], F.lit(NO_RANK)).alias("rank"), i.alias("pos"), c.alias("c"))
+    rows = cons.withColumnRenamed("cons_id", "unit_id").withColumn("candidates", F.sort_array(F.transform("candidates", rank))).crossJoin(F.broadcast(known_by_id(parties)))
     zero = F.lit(0)
+
+    def entry(x: Column) -> Column:
+        c = x["c"]
+        party = F.try_element_at("known", c["party_id"])
+        return F.struct(
+            c["mp_app_id"].alias("mp_app_id"),
+            F.coalesce(party["party"], F.concat(F.lit("party_"), c["party_id"].cast("string"))).alias("party"),
+            F.coalesce(party["party_color"], F.lit(NO_COLOUR)).alias("party_color"),
+            F.coalesce(c["mp_app_vote"], zero).alias("votes"),
+            F.coalesce(c["mp_app_vote_percent"], F.lit(0.0)).alias("percent"),
+            F.coalesce(c["mp_app_rank"], zero).alias("rank"),
+        )
+
+    return rows.withColumn("first", entry(F.get("candidates", zero))).withColumn("candidates", F.transform("candidates", entry)).drop("known")
+
+
+def unit_candidates(statistics: DataFrame, parties: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates of :func:`units` as rows: unit_id, place (from 1) and an entry's fields; nothing is gathered for them."""
+    rows = ranked(constituencies(provinces(statistics)), parties).select("unit_id", F.posexplode("candidates").alias("pos", "c")).select("unit_id", (F.col("pos") + 1).alias("place"), "c.*")
+    rows = with_lookup(rows, candidates.select("mp_app_id", F.col("mp_app_name").alias("name"), F.col("mp_app_no").alias("number")), "mp_app_id", "name", F.lit(""))
     return rows.select(
-        "unit_id",
-        F.coalesce("mp_app_id", F.lit("")).alias("candidate_id"),
-        "name",
-        F.coalesce("number", zero).alias("number"),
-        "party",
-        F.coalesce("party_color", F.lit(NO_COLOUR)).alias("party_color"),
-        F.coalesce("mp_app_vote", zero).alias("votes"),
-        F.coalesce("mp_app_vote_percent", F.lit(0.0)).alias("percent"),
-        F.coalesce("mp_app_rank", zero).alias("rank"),
-        "place",
-    )
+        "unit_id", "place", F.coalesce("mp_app_id", F.lit("")).alias("candidate_id"), "name", F.coalesce("number", F.lit(0)).alias("number"), "party", "party_color",
+        F.col("votes").alias("official_votes"), F.lit(0).cast("bigint").alias("citizen_votes"), "percent", "rank",
+    )
+
+
+def unit_parties(statistics: DataFrame, parties: DataFrame, candidates: DataFrame) -> DataFrame:
+    """:func:`unit_candidates` under their parties' names."""
+    return unit_candidates(statistics, parties, candidates).select("unit_id", "place", *[F.col(field).alias(name) for field, name in PARTY_FIELDS.items()])
+
 
+def with_names(rows: DataFrame, cons: DataFrame, candidates: DataFrame) -> DataFrame:
+    """:func:`ranked` rows whose candidates have their names and numbers.
 
-def units(statistics: DataFrame, provinces_: DataFrame, parties: DataFrame, info: DataFrame, candidates: DataFrame) -> DataFrame:
+    Only ids are looked up and only names that are known come back, a list for each
+    unit; a ballot bounds it.  The ballots themselves are shuffled once, by unit.
+    """
+    asked = cons.select(F.col("cons_id").alias("unit_id"), F.explode("candidates.mp_app_id").alias("mp_app_id"))
+    people = candidates.select("mp_app_id", F.struct("mp_app_id", F.col("mp_app_name").alias("name"), F.col("mp_app_no").alias("number")).alias("person"))
+    names = asked.join(people, "mp_app_id").groupBy("unit_id").agg(F.collect_list("person").alias("names"))
+
+    def named(c: Column) -> Column:
+        own = F.array_min(F.filter("names", lambda p: p["mp_app_id"] == c["mp_app_id"]))
+        return F.struct(
+            F.coalesce(c["mp_app_id"], F.lit("")).alias("candidate_id"),
+            F.coalesce(own["name"], F.lit("")).alias("name"),
+            F.coalesce(own["number"], F.lit(0)).alias("number"),
+            c["party"].alias("party"),
+            c["party_color"].alias("party_color"),
+            c["votes"].alias("official_votes"),
+            F.lit(0).cast("bigint").alias("citizen_votes"),
+            c["percent"].alias("percent"),
+            c["rank"].alias("rank"),
+        )
+
+    return rows.join(names, "unit_id", "left").withColumn("candidates", F.coalesce(F.transform("candidates", named), F.array())).drop("names")
+
+
+def as_parties(candidates: Column) -> Column:
+    """The same candidates under their parties' names."""
+    return F.transform(candidates, _as_party)
+
+
+def units(statistics: DataFrame, provinces_: DataFrame, parties: DataFrame, info: DataFrame, candidates: DataFrame | None) -> DataFrame:
     """The unit table: a row for each counted constituency, with its labels, counts, winner and candidates.
 
-    The winner is first by rank, not by votes.  A constituency's candidates are
-    gathered in an array of theirs; a ballot bounds it.  parties lists the same
-    candidates under their parties' names.  The second source hasn't counted yet:
-    its votes and the difference are 0, the level is pending.
+    The winner is first by rank, not by votes.  parties lists the same candidates
+    under their parties' names.  ``candidates`` None: without both lists, whose
+    names are the one large lookup.  The second source hasn't counted yet: its votes
+    and the difference are 0, the level is pending.
     """
     cons = constituencies(provinces(statistics))
-    people = unit_candidates(cons, parties, candidates)
-    own = F.struct("place", "candidate_id", "name", "number", "party", "party_color", F.col("votes").alias("official_votes"), F.lit(0).cast("bigint").alias("citizen_votes"), "percent", "rank")
-    listed = people.groupBy("unit_id").agg(F.array_sort(F.collect_list(own)).alias("candidates"))
-    rows = cons.withColumnRenamed("cons_id", "unit_id").drop("candidates").join(listed, "unit_id", "left")
+    rows = ranked(cons, parties)
+    rows = with_names(rows, cons, candidates) if candidates is not None else rows.drop("candidates")
     rows = rows.join(info.select(F.col("cons_id").alias("unit_id"), "zone", "registered_vote", F.col("total_vote_stations").alias("total_stations")), "unit_id", "left")
     rows = with_lookup(rows, provinces_, "prov_id", "province", F.col("prov_id"))
-    first = F.get("candidates", F.lit(0))
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    lists = ["candidates", as_parties(F.col("candidates")).alias("parties")] if candidates is not None else []
     return rows.select(
         "unit_id",
         F.concat("province", F.lit(" เขต "), F.split_part("unit_id", F.lit("_"), F.lit(2))).alias("constituency"),
@@ -114,25 +167,17 @@ def units(statistics: DataFrame, provinces_: DataFrame, parties: DataFrame, info
         F.coalesce("counted_vote_stations", F.lit(0)).alias("counted_stations"),
         F.coalesce("percent_count", F.lit(0.0)).alias("percent_count"),
         F.coalesce("pause_report", F.lit(False)).alias("pause_report"),
-        F.coalesce(first["party"], F.lit("")).alias("winner"),
-        F.coalesce(first["official_votes"], F.lit(0)).alias("winner_votes"),
-        F.coalesce(first["party_color"], F.lit(NO_COLOUR)).alias("winner_color"),
+        F.coalesce("first.party", F.lit("")).alias("winner"),
+        F.coalesce("first.votes", F.lit(0)).alias("winner_votes"),
+        F.coalesce("first.party_color", F.lit(NO_COLOUR)).alias("winner_color"),
         F.lit(False).alias("has_discrepancy"),
         F.lit(PENDING_NOTE).alias("note"),
-        F.coalesce(F.transform("candidates", lambda c: c.dropFields("place")), F.array()).alias("candidates"),
-        F.coalesce(F.transform("candidates", _as_party), F.array()).alias("parties"),
+        *lists,
     )
 
 
 def _as_party(c: Column) -> Column:
-    names = {"party": "name", "party_color": "color", "candidate_id": "candidate_id", "name": "candidate_name", "official_votes": "official", "citizen_votes": "citizen", "percent": "percent", "rank": "rank"}
-    return F.struct(*[c[field].alias(name) for field, name in names.items()])
-
-
-def listed(units: DataFrame, field: str) -> DataFrame:
-    """A row for each entry of a unit's ``candidates`` or ``parties``: unit_id, place (from 1) and the entry's fields."""
-    rows = units.select("unit_id", F.posexplode(field).alias("place", "e"))
-    return rows.select("unit_id", (F.col("place") + 1).alias("place"), "e.*")
+    return F.struct(*[c[field].alias(name) for field, name in PARTY_FIELDS.items()])
 
 
 def national_parties(statistics: DataFrame, parties: DataFrame, limit: int = 10) -> DataFrame:

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_json(df: DataFrame, path: str, files: int | None = None) -> None:
-    """One JSON object a row, null fields kept; ``files``: at most so many (for small reports)."""
-    (df.coalesce(files) if files else df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_json(df: DataFrame, path: str, files: int | None = None, compression: str = "none") -> None:
+    """One JSON object a row, null fields kept; ``files``: at most so many (for small reports).
+
+    ``compression``: "gzip" for large feeds, whose names and repeated words make
+    most of them; such a file is read by one task, so there are as many as tasks wrote.
+    """
+    (df.coalesce(files) if files else df).write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression=compression)
 
 
 def write_csv(df: DataFrame, path: str, files: int | None = None, mark: bool = False) -> None:
