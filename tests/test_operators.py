@@ -302,6 +302,19 @@ def test_report_rounds_like_its_sql(spark):
         assert (got["q1"], got["median"], got["q3"]) == want
 
 
+def test_report_works_its_units_out_once(spark, tmp_path):
+    """The document is read from kept measures and patterns; what they are made of isn't scanned again."""
+    from veritally.operators import report
+
+    spark.createDataFrame([(i, float(i)) for i in range(20)], "unit int, v double").write.parquet(str(tmp_path / "units"))
+    spark.createDataFrame([("p", "monopoly", 3), ("q", "high_variation", 5)], "province string, pattern string, total_cons long").write.parquet(str(tmp_path / "patterns"))
+    more = [report.patterns_section(spark.read.parquet(str(tmp_path / "patterns")), "province")]
+    document = report.document(spark.read.parquet(str(tmp_path / "units")), "unit", [report.Section("x", F.col("v"), over=17)], more)
+    assert "parquet" not in document._jdf.queryExecution().optimizedPlan().toString()
+    one = document.first()
+    assert (one["total_units"], one["flagged_units"], [s["flagged"] for s in one["sections"]]) == (20, 2, [2, 1])
+
+
 def test_schema_discovery(spark):
     """Mixed types, lists in lists, broken and missing documents, empty objects."""
     from veritally.sources import discovery

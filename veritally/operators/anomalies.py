@@ -89,6 +89,14 @@ def fence_report(df: DataFrame, value: str, two_sided: bool = False, wide: bool
     return summary.select(*rounded, "total").crossJoin(F.broadcast(count))
 
 
+def first_two(candidates: DataFrame, unit: str, order: Sequence[Column], votes: str, name: str) -> DataFrame:
+    """(unit, winner, winner_votes, second, second_votes): the first half of :func:`leaders`, for units whose totals are known."""
+    rank = Window.partitionBy(unit).orderBy(*order)
+    first = candidates.withColumn("_r", F.row_number().over(rank)).where("_r <= 2")
+    pick = lambda r, c: F.max(F.when(F.col("_r") == r, F.col(c)))
+    return first.groupBy(unit).agg(pick(1, name).alias("winner"), pick(1, votes).alias("winner_votes"), pick(2, name).alias("second"), pick(2, votes).alias("second_votes"))
+
+
 def leaders(candidates: DataFrame, unit: str, order: Sequence[Column], votes: str, name: str) -> DataFrame:
     """(unit, winner, winner_votes, second, second_votes, n_candidates, total_votes).
 
@@ -96,10 +104,7 @@ def leaders(candidates: DataFrame, unit: str, order: Sequence[Column], votes: st
     rows before the shuffle of the window, and sums partially before that of the
     totals, so that a unit with most of the rows is no hot group.
     """
-    rank = Window.partitionBy(unit).orderBy(*order)
-    first = candidates.withColumn("_r", F.row_number().over(rank)).where("_r <= 2")
-    pick = lambda r, c: F.max(F.when(F.col("_r") == r, F.col(c)))
-    top = first.groupBy(unit).agg(pick(1, name).alias("winner"), pick(1, votes).alias("winner_votes"), pick(2, name).alias("second"), pick(2, votes).alias("second_votes"))
+    top = first_two(candidates, unit, order, votes, name)
     totals = candidates.groupBy(unit).agg(F.count("*").alias("n_candidates"), F.sum(votes).alias("total_votes"))
     return top.join(totals, unit)
 
@@ -174,7 +179,7 @@ def benford_test(df: DataFrame, value: str, least: float = 10, least_rows: int =
     return one.select("total", F.col("x").alias("chi_square"), F.lit(stats.CHI_SQUARE_5_PERCENT).alias("critical_value"), (F.col("x") < stats.CHI_SQUARE_5_PERCENT).alias("passes"), F.col("p").alias("p_value"), (F.col("p") > 0.05).alias("conforms"), meaning.alias("interpretation"), "valid")
 
 
-def province_patterns(units: DataFrame, province: str, winner: str, turnout_pct: str, invalid: str, turn_out: str, order: str) -> DataFrame:
+def province_patterns(units: DataFrame, province: str, winner: str, turnout_pct: str, invalid: str, turn_out: str, order: str, ordered: bool = True) -> DataFrame:
     """Provinces that one party holds (three units or more) or, else, whose turnout varies widely.
 
     Provinces that one party holds come first, those with the most units first.
@@ -183,6 +188,7 @@ def province_patterns(units: DataFrame, province: str, winner: str, turnout_pct:
     a turnout do in the averages: invalid rates unrounded, of units with a
     positive ``turn_out``, and positive turnout percentages.  Provinces without a
     winner are left out.  Averages are exact, whatever the order of the rows.
+    ``ordered`` False: in any order, for what counts them or orders them itself.
     """
     won = units.where(F.col(winner).isNotNull() & (F.col(winner) != ""))
     by_party = won.groupBy(province, winner).agg(F.count("*").alias("n"), F.min(order).alias("seen"))
@@ -195,7 +201,7 @@ def province_patterns(units: DataFrame, province: str, winner: str, turnout_pct:
     pattern = F.when((F.col("unique_winners") == 1) & (F.col("total_cons") >= 3), "monopoly").when(F.col("turnout_stdev") > VARIATION, "high_variation")
     rows = parties.join(rates, province).withColumn("pattern", pattern).where("pattern is not null")
     rows = rows.select(province, "pattern", "total_cons", "unique_winners", F.col("best.party").alias("dominant_party"), F.col("best.count").alias("dominant_count"), stats.round_half_up(F.col("best.count") / F.col("total_cons") * 100, 1).alias("dominant_pct"), "avg_turnout", "turnout_stdev", "avg_invalid_rate")
-    return rows.orderBy(F.desc(F.col("pattern") == "monopoly"), F.desc("total_cons"), province)
+    return rows.orderBy(F.desc(F.col("pattern") == "monopoly"), F.desc("total_cons"), province) if ordered else rows
 
 
 def flags(outliers: DataFrame, category: str, unit: str, value: str, severity_on: str | None = None) -> DataFrame:

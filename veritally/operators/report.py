@@ -1,7 +1,7 @@
 """The nested anomaly report: every analysis' summary, histogram and first findings in one document.
 
-A unit's measures become rows (section, unit, value), once.  All summaries,
-quartiles and histograms come from one table of counts by section and value; the
+A unit's measures are worked out once and kept, a row a unit; from there they become
+rows (section, unit, value).  All summaries, quartiles and histograms come from one table of counts by section and value; the
 findings of each section are cut to the first ``top`` in every task before they
 meet, so nothing sorts a section, and the document's size depends on the number
 of sections, edges and ``top`` alone.  All flags as rows stay a table beside it.
@@ -66,9 +66,17 @@ def _bin(section: Section, x: Column) -> Column:
 
 def sections_of(units: DataFrame, unit: str, sections: Sequence[Section], top: int = 10) -> tuple[DataFrame, DataFrame]:
     """(a row of SECTION for each section in order, (section, unit_id, value, flag) of all findings)."""
-    measured = F.array(*[F.struct(F.lit(k).alias("section"), s.value.cast("double").alias("value")) for k, s in enumerate(sections)])
-    rows = units.select(F.col(unit).cast("string").alias("unit_id"), F.explode(F.filter(measured, lambda m: m["value"].isNotNull() & ~F.isnan(m["value"]))).alias("m"))
-    rows = checkpoint(rows.select("unit_id", "m.section", "m.value"))
+    return _sections_of(measures(units, unit, sections), sections, top)
+
+
+def measures(units: DataFrame, unit: str, sections: Sequence[Section]) -> DataFrame:
+    """(unit_id, v0, v1, ...): a row a unit with each section's value, kept by a checkpoint."""
+    return checkpoint(units.select(F.col(unit).cast("string").alias("unit_id"), *[stats.clean(s.value.cast("double")).alias(f"v{k}") for k, s in enumerate(sections)]))
+
+
+def _sections_of(kept: DataFrame, sections: Sequence[Section], top: int) -> tuple[DataFrame, DataFrame]:
+    measured = F.array(*[F.struct(F.lit(k).alias("section"), F.col(f"v{k}").alias("value")) for k in range(len(sections))])
+    rows = kept.select("unit_id", F.explode(measured).alias("m")).select("unit_id", "m.section", "m.value").where("value is not null")
     counts = stats.unit_counts(rows, "value", by=["section"])
     fences = stats.grouped_unit_fences(counts, "section")
     x, own = F.col("value"), lambda make, default: _chosen(sections, make, default)
@@ -77,7 +85,7 @@ def sections_of(units: DataFrame, unit: str, sections: Sequence[Section], top: i
     tally = counts.withColumn("value", F.col("unit") / 100.0)
     binned = tally.withColumn("flag", flag).withColumn("bin", own(lambda k, s: _bin(s, x) if s.edges else None, F.lit(None).cast("int")))
     bins = binned.groupBy("section", "bin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("flag").isNotNull(), F.col("n")).otherwise(0)).alias("flagged"))
-    spark = units.sparkSession
+    spark = kept.sparkSession
     labels = spark.createDataFrame([(k, i, f"{s.edges[i]}-{s.edges[i + 1]}%") for k, s in enumerate(sections) for i in range(len(s.edges) - 1)], "section int, bin int, label string")
     filled = labels.join(bins.where("bin is not null"), ["section", "bin"], "left").groupBy("section").agg(F.array_sort(F.collect_list(F.struct("bin", "label", F.coalesce("n", F.lit(0)).alias("count")))).alias("h"))
     filled = filled.select("section", F.transform("h", lambda h: F.struct(h["label"].alias("label"), h["count"].alias("count"))).alias("histogram"))
@@ -118,6 +126,7 @@ def digits_section(table: DataFrame, value: str, name: str = "benford") -> DataF
 
 def patterns_section(patterns: DataFrame, province: str, name: str = "province_patterns", top: int = 10) -> DataFrame:
     """Provinces with a pattern as a section: a bin for each pattern; the first are those of one party with the most units."""
+    patterns = checkpoint(patterns.select(province, "pattern", "total_cons"))  # read twice
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("pattern") == "monopoly"), F.desc("total_cons"), F.col(province).cast("string"))
     first = patterns.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= top)
     found = first.agg(F.array_sort(F.collect_list(F.struct("_place", F.col(province).cast("string").alias("unit_id"), F.col("total_cons").cast("double").alias("value"), F.col("pattern").alias("flag")))).alias("f"))
@@ -130,12 +139,13 @@ def patterns_section(patterns: DataFrame, province: str, name: str = "province_p
 
 def document(units: DataFrame, unit: str, sections: Sequence[Section], more: Sequence[DataFrame] = (), top: int = 10) -> DataFrame:
     """One row of REPORT: counts of units, and the sections in order, those of ``more`` last."""
-    rows, findings = sections_of(units, unit, sections, top)
+    kept = measures(units, unit, sections)
+    rows, findings = _sections_of(kept, sections, top)
     for k, other in enumerate(more):
         rows = rows.unionByName(other.withColumn("section", F.lit(len(sections) + k)), allowMissingColumns=True)
     empty = F.array().cast(T.ArrayType(FINDING))
     own = F.struct(*[(F.coalesce("findings", empty) if f.name == "findings" else F.col(f.name)).alias(f.name) for f in SECTION])
     nested = rows.agg(F.array_sort(F.collect_list(F.struct("section", own.alias("s")))).alias("x"))
     found = findings.agg(F.count_distinct("unit_id").alias("flagged_units"))
-    all_ = units.agg(F.count("*").alias("total_units"))
+    all_ = kept.agg(F.count("*").alias("total_units"))
     return all_.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(nested)).select("total_units", "flagged_units", F.size("x").cast("long").alias("analysis_categories"), F.transform("x", lambda x: x["s"]).alias("sections"))

@@ -65,10 +65,10 @@ def _sql() -> str:
 def report_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     by_vote = [F.desc("l_quantity"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
-    led = anomalies.leaders(lines.withColumnRenamed("l_orderkey", "unit"), "unit", by_vote, "l_quantity", "l_linenumber").select("unit", F.col("winner_votes").alias("first"), F.col("second_votes").alias("second"), F.col("total_votes").alias("votes"))
+    led = anomalies.first_two(lines.withColumnRenamed("l_orderkey", "unit"), "unit", by_vote, "l_quantity", "l_linenumber").select("unit", F.col("winner_votes").alias("first"), F.col("second_votes").alias("second"))
     count = lambda test, name: F.count_if(test).alias(name)
     own = lines.groupBy(F.col("l_orderkey").alias("unit")).agg(
-        F.count("*").alias("n"), F.sum("l_extendedprice").alias("came"), count(F.col("l_returnflag") == "R", "invalid"), count(F.col("l_returnflag") == "A", "blank"),
+        F.count("*").alias("n"), F.sum("l_extendedprice").alias("came"), F.sum("l_quantity").alias("votes"), count(F.col("l_returnflag") == "R", "invalid"), count(F.col("l_returnflag") == "A", "blank"),
         count(F.col("l_linestatus") == "F", "wasted"), count(F.col("l_discount") > 0.05, "counted"),
     )
     return own.join(led, "unit").join(orders.select(F.col("o_orderkey").alias("unit"), F.col("o_totalprice").alias("price")), "unit")
@@ -93,7 +93,7 @@ def report_sections() -> list[report.Section]:
 @query(_sql())
 def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's sections, a row each, read from the document as it was written."""
-    patterns = anomalies.province_patterns(catalog.province_units(spark, sf_dir), "province", "winner", "t", "r", "n", "k")
+    patterns = anomalies.province_patterns(catalog.province_units(spark, sf_dir), "province", "winner", "t", "r", "n", "k", ordered=False)
     more = [report.digits_section(table(spark, sf_dir, "orders"), "o_totalprice"), report.patterns_section(patterns, "province", top=TOP)]
     folder = workspace(spark, "report")
     sinks.write_json(report.document(report_units(spark, sf_dir), "unit", report_sections(), more, TOP), folder, files=1)
