@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import accumulate
 
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -212,6 +213,17 @@ def test_alignment_of_nothing(spark):
     assert found.collect() == [] and counts.collect() == []
 
 
+def test_alignment_reads_few_blocks_at_once(spark, frame, corpus, monkeypatch):
+    """However many blocks a task writes, a reader holds the arrays of eight; a block's counts meet it alone."""
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 1)
+    found, _, blocks = alignment.align(frame(corpus + [(1, None, "en", "s"), (2, "", "en", "s")]).coalesce(1), *queries.ALIGNED)
+    parts = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in blocks.inputFiles()]
+    assert sum(m.num_rows for m in parts) == len(corpus) + 2
+    assert max(m.row_group(k).num_rows for m in parts for k in range(m.num_row_groups)) <= 8
+    want, _ = aligned([x for _, x, *_ in corpus] + [None, ""])
+    assert sorted(tuple(r) for r in found.collect()) == sorted((i, *w) for i, w in zip([*(r[0] for r in corpus), 1, 2], want))
+
+
 def test_alignment_query(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want, _ = aligned([x for _, x in docs])

@@ -36,6 +36,8 @@ from veritally.llm.common import released
 
 #: Bytes of text in a block of documents, about (a longer text is a block).
 BLOCK_BYTES = 1 << 20
+#: Blocks, and their bytes, in a row group of the written table, about: readers hold a row group's arrays at once.
+ROW_GROUPS = {"parquet.block.row.count.limit": 8, "parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}
 #: Chunks a worker remembers, and their bytes; when full, it starts anew.
 MEMO = 400_000
 MEMO_BYTES = 48 << 20
@@ -355,29 +357,23 @@ def align(docs: DataFrame, first_path: str, second_path: str) -> tuple[DataFrame
     stride = sentencepiece.SentencePieceProcessor(model_file=second_path).vocab_size()
     found = align_blocks(docs, first_path, second_path)
     digest = F.transform("groups", lambda g: F.when(g == "", "").otherwise(F.sha2(g.cast("binary"), 256)))
-    found.withColumn("groups", digest).withColumnRenamed("groups", "groups_sha256").write.parquet(path)
+    found.withColumn("groups", digest).withColumnRenamed("groups", "groups_sha256").write.options(**ROW_GROUPS).parquet(path)
     blocks = spark.read.parquet(path)
     counts = pair_counts(blocks, stride)
-    asked = blocks.select("block", F.explode("distinct").alias("pair")).join(counts, "pair")
-    told = asked.groupBy("block").agg(F.collect_list(F.struct("pair", "count", "best")).alias("x"))
-    told = told.select("block", F.col("x.pair").alias("known"), F.col("x.count").alias("count"), F.col("x.best").alias("best"))
-    joined = blocks.drop("distinct", "n_docs").join(told, "block", "left")
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs", "pairs", "times", "known", "count", "best"]
+    told = blocks.select("block", F.explode("distinct").alias("pair")).join(counts, "pair").select(F.col("block").alias("of"), "pair", "count", "best")
     kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                x = {name: batch.column(k)[r].values for k, name in enumerate(names)}
-                n, pairs, times = x["n_pairs"].to_numpy(), x["pairs"].to_numpy(), x["times"].to_numpy()
-                if x["known"] is not None and len(x["known"]):
-                    order = np.argsort(known := x["known"].to_numpy())
-                    at = order[np.searchsorted(known[order], pairs)]
-                    gain, best = times * x["count"].to_numpy()[at], times * x["best"].to_numpy(zero_copy_only=False)[at]
-                else:
-                    gain = best = np.zeros(0, np.int64)
-                upto = np.cumsum(n)
-                sums = [np.diff(np.concatenate(([0], np.cumsum(v)))[np.concatenate(([0], upto))]) for v in (best, gain)]
-                yield pa.RecordBatch.from_arrays([x[k] for k in kept] + [pa.array(s, pa.int64()) for s in sums] + [x["groups_sha256"]], names=[*kept, "n_best", "count_sum", "groups_sha256"])
-
-    return joined.select(*names).mapInArrow(released(run), SCORED + ", groups_sha256 string"), counts, blocks
+    held = blocks.select("block", *kept, "groups_sha256", "n_pairs", "pairs", "times")
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        """A block's documents; its row and its pairs' counts are all that a worker holds."""
+        x = {name: block[name][0].values for name in block.column_names if name != "block"}
+        n, pairs, times = x["n_pairs"].to_numpy(), x["pairs"].to_numpy(), x["times"].to_numpy()
+        known, count, best = (told[name].to_numpy() for name in ("pair", "count", "best"))
+        order = np.argsort(known)
+        at = order[np.searchsorted(known[order], pairs)]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        sums = [np.diff(np.concatenate(([0], np.cumsum(times * v[at])))[upto]) for v in (best, count)]
+        return pa.table([x[k] for k in kept] + [pa.array(s, pa.int64()) for s in sums] + [x["groups_sha256"]], names=[*kept, "n_best", "count_sum", "groups_sha256"])
+
+    documents = held.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(run, SCORED + ", groups_sha256 string")
+    return documents, counts, blocks
