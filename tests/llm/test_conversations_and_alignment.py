@@ -224,6 +224,25 @@ def test_alignment_reads_few_blocks_at_once(spark, frame, corpus, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == sorted((i, *w) for i, w in zip([*(r[0] for r in corpus), 1, 2], want))
 
 
+def test_alignment_encodes_few_chunks_at_once(corpus, monkeypatch):
+    """However many chunks of a block are new; the columns are the same."""
+    texts, sizes = [x for _, x, *_ in corpus], []
+    make = lambda: alignment.Aligner(open(queries.ALIGNED[0]).read(), open(queries.ALIGNED[1], "rb").read())
+    whole = make().block(texts)
+    aligner = make()
+
+    class Counted:
+        def encode_batch_fast(self, chunks, **options):
+            sizes.append(len(chunks))
+            return library.encode_batch_fast(chunks, **options)
+
+    library, aligner.a = aligner.a, Counted()
+    monkeypatch.setattr(alignment, "AT_ONCE", 5, raising=False)
+    parts = aligner.block(texts)
+    assert max(sizes) <= 5 < sum(sizes)
+    assert {k: list(v) for k, v in parts.items()} == {k: list(v) for k, v in whole.items()}
+
+
 def test_alignment_query(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want, _ = aligned([x for _, x in docs])

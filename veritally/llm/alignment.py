@@ -17,6 +17,7 @@ corpus count back once, so the corpus' pairs are never gathered or broadcast.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -41,6 +42,8 @@ ROW_GROUPS = {"parquet.block.row.count.limit": 8, "parquet.block.size": 8 << 20,
 #: Chunks a worker remembers, and their bytes; when full, it starts anew.
 MEMO = 400_000
 MEMO_BYTES = 48 << 20
+#: Chunks that are encoded at once.
+AT_ONCE = 4096
 #: Links of a group over which it is multiplied out by distinct ids.
 LONG_GROUP = 256
 #: States of the transducer and their transitions that are remembered.
@@ -193,8 +196,9 @@ class Aligner:
 
     def remember(self, chunks: list[str]) -> np.ndarray:
         """Numbers of chunks; encodes and aligns those not known yet.  One that both sides don't spell alike has no groups."""
-        fresh = list({c for c in chunks if c not in self.memo})
-        if fresh:
+        unknown = list({c for c in chunks if c not in self.memo})
+        for k in range(0, len(unknown), AT_ONCE):
+            fresh = unknown[k : k + AT_ONCE]
             a = [x.ids for x in self.a.encode_batch_fast([" " + c for c in fresh], add_special_tokens=False)]
             b = self.b.encode(fresh, num_threads=1)
             found = [self.transducer.groups(x, y) or ((), ()) for x, y in zip(a, b)]
@@ -273,6 +277,7 @@ _loaded: dict[tuple, Aligner] = {}
 
 
 def _aligner(spec: str, model: bytes) -> Aligner:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread keeps memory of its own
     key = hash(spec), hash(model)
     if key not in _loaded:
         _loaded.clear()
